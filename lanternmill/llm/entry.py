@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import packing, token_files
+from lanternmill.llm import packing, simhash, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.query,
         "op9_best_fit_packing": packing.query,
         "op10_token_files": token_files.query,
     }
