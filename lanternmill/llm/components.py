@@ -29,8 +29,7 @@ def find_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         before = label.copy()
         np.minimum.at(label, label[a], low)
         np.minimum.at(label, label[b], low)
-        label = label[label]
-        while (deeper := label[label]).tolist() != label.tolist() if len(label) < 64 else not np.array_equal(deeper, label):
+        while not np.array_equal(deeper := label[label], label):
             label = deeper
         if np.array_equal(label, before):
             break
@@ -54,7 +53,8 @@ def components(links: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
 
     Nodes of one component share a root, which is one of them. Null ends and links from a node to itself are left out.
     """
-    now = scratch.Saved(links.select("a", "b").where("a < b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a < b")).distinct(), "links")
+    ends = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now = scratch.Saved(ends.distinct(), "links")
     labels: scratch.Saved | None = None
     r = 0
     while (n := now.df.count()) > last_links:

@@ -43,10 +43,16 @@ def train_dictionary(samples: list[bytes], size: int = 64 * 1024) -> bytes:
         return b""
 
 
-def _dictionary(raw: bytes):
+def _dictionary(raw: bytes, level: int | None = None):
+    """For compression at a level, digested once and not for every document."""
     import zstandard
 
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    if not raw:
+        return None
+    out = zstandard.ZstdCompressionDict(raw)
+    if level is not None:
+        out.precompute_compress(level=level)
+    return out
 
 
 class ShardWriter:
@@ -56,7 +62,7 @@ class ShardWriter:
         import zstandard
 
         self.stream, self.width, self.at = stream, width, 0
-        self.compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_checksum=False).compress
+        self.compress = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, level), write_checksum=False).compress
         self.index: list[tuple] = []
         self._put(_HEAD.pack(MAGIC, VERSION, width, hashlib.sha256(dictionary).digest()))
 
@@ -99,8 +105,8 @@ class Shard:
         self.stream.seek(at)
         return self.stream.read(n)
 
-    def _ids(self, row, frame: bytes) -> np.ndarray:
-        n = int(row["tokens"]) * self.width
+    def _ids(self, tokens: int, frame: bytes) -> np.ndarray:
+        n = tokens * self.width
         raw = self.decompress(frame, max_output_size=n) if n else b""
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
@@ -110,19 +116,21 @@ class Shard:
         if not len(found):
             raise KeyError(doc_id)
         row = self.index[found[0]]
-        return self._ids(row, self._read(int(row["offset"]), int(row["length"])))
+        return self._ids(int(row["tokens"]), self._read(int(row["offset"]), int(row["length"])))
 
     def documents(self, at_once: int = 1 << 22) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order; reads about `at_once` bytes together."""
+        offsets, lengths, counts = (self.index[c].tolist() for c in ("offset", "length", "tokens"))
+        ids, known = self.index["doc_id"].tolist(), self.index["known"].tolist()
         first = 0
-        while first < len(self.index):
-            start, last = int(self.index[first]["offset"]), first
-            while last + 1 < len(self.index) and int(self.index[last + 1]["offset"]) + int(self.index[last + 1]["length"]) - start <= at_once:
+        while first < len(ids):
+            start, last = offsets[first], first
+            while last + 1 < len(ids) and offsets[last + 1] + lengths[last + 1] - start <= at_once:
                 last += 1
-            block = self._read(start, int(self.index[last]["offset"]) + int(self.index[last]["length"]) - start)
-            for row in self.index[first : last + 1]:
-                frame = block[int(row["offset"]) - start :][: int(row["length"])]
-                yield (int(row["doc_id"]) if row["known"] else None), self._ids(row, frame)
+            block = self._read(start, offsets[last] + lengths[last] - start)
+            for k in range(first, last + 1):
+                at = offsets[k] - start
+                yield (ids[k] if known[k] else None), self._ids(counts[k], block[at : at + lengths[k]])
             first = last + 1
 
 
@@ -147,12 +155,9 @@ def write(documents: DataFrame, tokenizer_path: str | None = None, end_id: int =
     spark = documents.sparkSession
     path = tokenizer_path or default_path()
     folder = folder or scratch.new_path(spark, "tokens")
-    sample = (
-        documents.where(F.length("text") <= dictionary_doc_chars)
-        .select("doc_id", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(dictionary_docs)
-    )
+    short = documents.where(F.length("text") <= dictionary_doc_chars)
+    chosen = [r.doc_id for r in short.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_docs).collect()]
+    sample = short.where(F.col("doc_id").isin(chosen)).select("text").limit(dictionary_docs) if chosen else short.select("text").limit(0)
     encoder = Encoder(path)
     width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
     kind = "<u2" if width == 2 else "<u4"

@@ -55,7 +55,7 @@ class Encoder:
     The strings of special tokens within a text are ordinary text. A null text counts as empty.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
