@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import packing, simhash, token_files
+from lanternmill.llm import classifier, packing, quality_rules, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
+        "op6_quality_rules": quality_rules.query,
+        "op8_quality_classifier": classifier.query,
         "op9_best_fit_packing": packing.query,
         "op10_token_files": token_files.query,
     }
