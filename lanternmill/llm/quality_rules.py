@@ -19,8 +19,8 @@ LANGUAGES = 63
 #: Common words of a language, and how long they are at most: function words are short.
 COMMON, COMMON_CHARS = 16, 5
 #: Words from which a histogram counts, and the distance above which a document goes.
-CLASS_WORDS, CLASS_DISTANCE = 20, 0.25
-WORD_WORDS, WORD_DISTANCE = 60, 0.5
+CLASS_WORDS, CLASS_DISTANCE = 60, 0.28
+WORD_WORDS, WORD_DISTANCE = 20, 0.43
 
 
 def let(value: Column, body) -> Column:
@@ -143,3 +143,32 @@ def judge(documents: DataFrame, *more: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+SQL = rf"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g')) AS norm FROM documents),
+known AS (SELECT lang FROM d WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {LANGUAGES}),
+w AS (SELECT d.* EXCLUDE (lang), coalesce(known.lang, '') AS ref, CASE WHEN norm = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(norm, ' ') END AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d LEFT JOIN known USING (lang)),
+win AS (SELECT doc_id, list_transform(range(1, len(words) - {WINDOW - 2}), lambda i: array_to_string(words[i : i + {WINDOW - 1}], ' ')) AS s FROM w WHERE len(words) >= {WINDOW}),
+flat AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM win),
+rep AS (SELECT doc_id, i FROM flat QUALIFY count(*) OVER (PARTITION BY doc_id, s) >= 2),
+cov AS (SELECT doc_id, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
+base AS (SELECT w.doc_id, ref, norm, len(words) AS n_words, length(norm) - greatest(len(words) - 1, 0) AS word_chars, len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+  len(regexp_extract_all(norm, '\p{{Lu}}')) AS up, len(regexp_extract_all(norm, '[^\p{{L}} ]')) AS nl, len(regexp_extract_all(norm, '\p{{N}}')) AS dg, len(regexp_extract_all(norm, '[.,;:?''()\-]')) AS mk FROM w LEFT JOIN cov USING (doc_id)),
+cls AS (SELECT doc_id, ref, unnest(range(5)) AS slot, unnest([up, word_chars - nl - up, dg, mk, nl - dg - mk]) AS a FROM base),
+clsref AS (SELECT ref, slot, sum(a) AS b FROM cls GROUP BY ref, slot),
+tok AS (SELECT doc_id, ref, unnest(string_split(lower(norm), ' ')) AS word FROM base WHERE norm <> ''),
+common AS (SELECT ref, word, count(*) AS k, row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, word) AS slot FROM tok WHERE length(word) BETWEEN 1 AND {COMMON_CHARS} GROUP BY ref, word QUALIFY slot <= {COMMON}),
+mine AS (SELECT doc_id, ref, word, count(*) AS c FROM tok GROUP BY doc_id, ref, word),
+hits AS (SELECT b.doc_id, b.ref, common.slot, coalesce(mine.c, 0) AS a, common.k AS b FROM base b JOIN common USING (ref) LEFT JOIN mine ON mine.doc_id = b.doc_id AND mine.word = common.word),
+wordslots AS (SELECT doc_id, slot, a, b FROM hits UNION ALL
+  SELECT base.doc_id, 0, n_words - coalesce(h.a, 0), t.n - coalesce(h.b, 0) FROM base JOIN (SELECT ref, sum(n_words) AS n FROM base GROUP BY ref) t USING (ref) LEFT JOIN (SELECT doc_id, sum(a) AS a, sum(b) AS b FROM hits GROUP BY doc_id) h ON h.doc_id = base.doc_id),
+slots AS (SELECT 'c' AS kind, doc_id, slot, a, b FROM cls JOIN clsref USING (ref, slot) UNION ALL SELECT 'w', doc_id, slot, a, b FROM wordslots),
+shares AS (SELECT kind, doc_id, a / nullif(CAST(sum(a) OVER g AS DOUBLE), 0) AS p, b / nullif(CAST(sum(b) OVER g AS DOUBLE), 0) AS q FROM slots WINDOW g AS (PARTITION BY kind, doc_id)),
+js AS (SELECT kind, doc_id, coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 0) AS v, min(p) IS NULL AS empty FROM shares GROUP BY kind, doc_id),
+judged AS (SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  CASE WHEN c.empty THEN 0 ELSE c.v END AS cd, CASE WHEN x.empty THEN 0 ELSE x.v END AS wd FROM base JOIN js c ON c.doc_id = base.doc_id AND c.kind = 'c' JOIN js x ON x.doc_id = base.doc_id AND x.kind = 'w')
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
+  NOT base_failed AND NOT ((n_words >= {CLASS_WORDS} AND cd > {CLASS_DISTANCE}) OR (n_words >= {WORD_WORDS} AND wd > {WORD_DISTANCE})) AS kept FROM judged
+"""
