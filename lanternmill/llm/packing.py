@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternmill.llm import scratch
-from lanternmill.llm.tokens import Encoder, default_path
+from lanternmill.llm.tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -76,7 +76,7 @@ def pieces(documents: DataFrame, capacity: int = 1024, end_id: int = 2, tokenize
     path = tokenizer_path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), end_id.to_bytes(4, "little")
+        encode, end = encoder(path), end_id.to_bytes(4, "little")
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             rows: list[tuple] = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternmill.llm import scratch
-from lanternmill.llm.tokens import Encoder, default_path
+from lanternmill.llm.tokens import default_path, encoder
 
 MAGIC = b"LMTOKENS"
 VERSION = 1
@@ -158,23 +158,23 @@ def write(documents: DataFrame, tokenizer_path: str | None = None, end_id: int =
     short = documents.where(F.length("text") <= dictionary_doc_chars)
     chosen = [r.doc_id for r in short.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_docs).collect()]
     sample = short.where(F.col("doc_id").isin(chosen)).select("text").limit(dictionary_docs) if chosen else short.select("text").limit(0)
-    encoder = Encoder(path)
-    width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
+    encode = encoder(path)
+    width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
     kind = "<u2" if width == 2 else "<u4"
-    dictionary = train_dictionary([encoder.ids(r.text).astype(kind).tobytes() for r in sample.collect()], dictionary_bytes)
+    dictionary = train_dictionary([encode.ids(r.text).astype(kind).tobytes() for r in sample.collect()], dictionary_bytes)
     files, where = scratch.file_system(folder)
     files.create_dir(where, recursive=True)
-    with files.open_output_stream(f"{where}/dictionary.zdict") as out:
+    with files.open_output_stream(f"{where}/dictionary.zdict", compression=None) as out:
         out.write(dictionary)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name, encode, end = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok", Encoder(path), np.array([end_id], "<u4")
+        name, encode, end = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok", encoder(path), np.array([end_id], "<u4")
         fs, at = scratch.file_system(folder)
         writer, total = None, 0
-        with fs.open_output_stream(f"{at}/{name}") as out:
+        with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
             writer = ShardWriter(out, dictionary, width)
             for batch in batches:
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):

@@ -7,8 +7,11 @@ Texts in which white space could be grouped across a chunk's border are encoded
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -29,12 +32,23 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def _model(path: str):
+    """The file's BPE model without its own cache, which only costs time behind ours."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return BPE(model["vocab"], merges, cache_capacity=0)
+
+
 class _Chunks(dict):
     """chunk -> ids as little-endian 32-bit integers; two generations bound its size."""
 
-    def __init__(self, owner: "Encoder", lead: str):
+    def __init__(self, owner: "Encoder", mark: str):
         super().__init__()
-        self.owner, self.lead, self.old = owner, lead, {}
+        self.owner, self.mark, self.old = owner, mark, {}
+        self.lead = mark and _byte_characters()[ord(mark)]
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
@@ -55,7 +69,7 @@ class Encoder:
     The strings of special tokens within a text are ordinary text. A null text counts as empty.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,8 +78,9 @@ class Encoder:
         self.most = cache_entries
         self._words, self._heads = _Chunks(self, " "), _Chunks(self, "")
         self._dots = {c: self._whole(c) for c in ".,"}
-        self._bytes = {b: c for b, c in _byte_characters().items()}
-        self._model = self.tokenizer.model
+        self._newline = self._whole("\n")
+        self._bytes = _byte_characters()
+        self._tokenize = _model(path).tokenize
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -73,11 +88,14 @@ class Encoder:
 
     def _chunk(self, cache: _Chunks, chunk: str) -> bytes:
         if chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):  # one pre-token
-            ids = [t.id for t in self._model.tokenize((cache.lead + chunk).encode().decode("latin-1").translate(self._bytes))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            marked = cache.lead + chunk if chunk.isascii() else (cache.mark + chunk).encode().decode("latin-1").translate(self._bytes)
+            return array("I", [t.id for t in self._tokenize(marked)]).tobytes()
         if len(chunk) > 1 and chunk[-1] in self._dots and chunk[:-1].isalpha() and max(chunk) < "\u0250":
             return cache[chunk[:-1]] + self._dots[chunk[-1]]
-        return self._whole(cache.lead + chunk)
+        before, line, after = chunk.partition("\n")
+        if line and before and after and "\n" not in after:
+            return cache[before] + self._newline + self._heads[after]
+        return self._whole(cache.mark + chunk)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -93,3 +111,9 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), "<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, which so keep its cache."""
+    return Encoder(path)
