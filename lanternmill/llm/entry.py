@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import classifier, packing, quality_rules, simhash, token_files
+from lanternmill.llm import classifier, packing, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
+        "op2_warc": warc.query,
         "op6_quality_rules": quality_rules.query,
         "op8_quality_classifier": classifier.query,
         "op9_best_fit_packing": packing.query,
@@ -17,5 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.SQL,
         "op6_quality_rules": quality_rules.SQL,
     }
