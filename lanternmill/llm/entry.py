@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import classifier, packing, quality_rules, simhash, token_files, warc
+from lanternmill.llm import classifier, mixing, packing, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
         "op2_warc": warc.query,
+        "op3_mixing": mixing.query,
         "op6_quality_rules": quality_rules.query,
         "op8_quality_classifier": classifier.query,
         "op9_best_fit_packing": packing.query,
