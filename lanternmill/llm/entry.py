@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import classifier, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
+from lanternmill.llm import classifier, embed_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.query,
         "op2_warc": warc.query,
         "op3_mixing": mixing.query,
+        "op4_embedding_dedup": embed_dedup.query,
         "op5_url_filter": url_filter.query,
         "op6_quality_rules": quality_rules.query,
         "op8_quality_classifier": classifier.query,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.SQL,
+        "op4_embedding_dedup": embed_dedup.query,
         "op5_url_filter": url_filter.SQL,
         "op6_quality_rules": quality_rules.SQL,
     }
