@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import classifier, embed_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
+from lanternmill.llm import classifier, embed_dedup, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_embedding_dedup": embed_dedup.query,
         "op5_url_filter": url_filter.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_line_dedup": line_dedup.query,
         "op8_quality_classifier": classifier.query,
         "op9_best_fit_packing": packing.query,
         "op10_token_files": token_files.query,
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embed_dedup.query,
         "op5_url_filter": url_filter.SQL,
         "op6_quality_rules": quality_rules.SQL,
+        "op7_line_dedup": line_dedup.SQL,
     }

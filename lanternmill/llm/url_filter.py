@@ -51,21 +51,22 @@ class Level:
     def __init__(self, members: DataFrame, count: int, rate: float, seed: int):
         self.bits = max(64, 64 * math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
         self.hashes, self.seed = max(1, round(self.bits / max(count, 1) * math.log(2))), seed
-        set_bits = members.select(F.explode(F.array(*self._places())).alias("bit"))
+        set_bits = members.select(F.explode(F.array(*self._places(F.col("key")))).alias("bit"))
         words = set_bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("value"))
         every = words.unionByName(members.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("value")))
         dense = every.groupBy("word").agg(F.bit_or("value").alias("value"))
         # one row of at most MAX_BITS bits
         self.table = scratch.saved(dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "value"))), lambda x: x["value"]).alias("words")), "bloom")
 
-    def _places(self) -> list[Column]:
-        one, two = F.xxhash64(F.col("key"), F.lit(self.seed)), F.xxhash64(F.lit(self.seed), F.col("key"))
+    def _places(self, key: Column) -> list[Column]:
+        one, two = F.xxhash64(key, F.lit(self.seed)), F.xxhash64(F.lit(self.seed), key)
         one, two = F.pmod(one, F.lit(self.bits)), F.pmod(two, F.lit(self.bits))  # so that no sum overflows
         return [F.pmod(one + two * k, F.lit(self.bits)) for k in range(self.hashes)]
 
-    def passes(self) -> Column:
+    def passes(self, key: Column | None = None) -> Column:
+        """Whether a key (column key if none is given) passes."""
         words = self.table.scalar()
-        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1 for p in self._places()]
+        tests = [F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1 for p in self._places(F.col("key") if key is None else key)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
