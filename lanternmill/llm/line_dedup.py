@@ -99,30 +99,25 @@ def matched(lines: DataFrame, classes: DataFrame, threshold: float) -> tuple[scr
 def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All rows and columns of documents with later similar lines taken out of text, and n_lines, n_removed (of lines
     with a word). Lines without a word stay. A null text stays null. A null doc_id comes before all others. Rows that
-    repeat a doc_id are one place: a line number that one of them keeps, all keep. Other columns are passed on.
+    repeat a doc_id are one place: a line number that one of them keeps, all keep. Other columns are passed
+    on, but for an n_lines or n_removed, which these replace.
     """
     classes = scratch.saved(rarity(documents), "rarity")
     lines = _lines(documents)
     sets, later = matched(lines, classes, threshold)
     kept = sets.df.join(scratch.saved(later, "later"), "sid", "left_anti").select("first.doc_id", "first.line")
-    kept = scratch.Saved(kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_kept")), "kept")
+    kept = scratch.Saved(kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
     sets.drop()
-    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
-    joined = rows.join(kept.df.withColumnRenamed("doc_id", "_place"), F.col("_id").eqNullSafe(F.col("_place")), "left")
-    parts = F.split("text", "\n")
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("w")))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*documents.columns).alias("row"))
+    joined = rows.join(kept.df.toDF("place", "kept"), F.col("id").eqNullSafe(F.col("place")), "left")
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("w")))
     none = F.array().cast("array<int>")
-
-    def stay(all_lines: Column) -> Column:
-        chosen = F.coalesce("_kept", none)
-        return F.filter(all_lines, lambda s: ~s["w"] | F.array_contains(chosen, s["i"]))
-
-    joined = joined.withColumn("_lines", numbered)
-    joined = joined.withColumn("_left", stay(F.col("_lines")))
+    left = F.filter("lines", lambda s: ~s["w"] | F.array_contains(F.coalesce("kept", none), s["i"]))
+    joined = joined.select("row", "kept", numbered.alias("lines")).select("row", "lines", left.alias("left"))
     with_word = lambda c: F.coalesce(F.size(F.filter(c, lambda s: s["w"])), F.lit(0)).cast("long")
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_left", lambda s: s["x"]), "\n"))
-    out = joined.withColumns({"_text": text, "n_lines": with_word("_lines"), "n_removed": with_word("_lines") - with_word("_left")})
-    return out.select(*[F.col("_text").alias("text") if c == "text" else c for c in documents.columns], "n_lines", "n_removed")
+    text = F.when(F.col("row.text").isNotNull(), F.array_join(F.transform("left", lambda s: s["x"]), "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, with_word("lines").alias("n_lines"), (with_word("lines") - with_word("left")).alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,10 +118,10 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, block_doc
 def in_mixed_order(documents: DataFrame, **options) -> DataFrame:
     """All rows and columns of documents, laid out in the order of the mix: files and rows ascend with it. Rows that
     repeat a doc_id stay next to each other."""
-    places = mix(documents, **options).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
-    joined = rows.join(places.withColumnRenamed("doc_id", "_place"), F.col("_id").eqNullSafe(F.col("_place")), "left")
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(*documents.columns)
+    places = mix(documents, **options).groupBy("doc_id").agg(F.min("position").alias("position"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*documents.columns).alias("row"))
+    joined = rows.join(places, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
