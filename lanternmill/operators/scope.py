@@ -65,7 +65,11 @@ def lexical_scope(text: Column, section: Column, organizations: Column, lexicon:
     """struct<scope, signals> by the lexicon alone: a direct section decides; else any strong signal does."""
     tagged = lambda tag, found: F.transform(found, lambda t: F.concat(F.lit(tag), t))
     joined = F.concat_ws(" ", text, F.array_join(organizations, " "))
-    inside = lambda terms: F.filter(F.array(*[F.when(F.exists(organizations, lambda o, t=t: norm(o) == norm(F.lit(t))), F.lit(t)) for t in terms]), lambda x: x.isNotNull()) if terms else F.array().cast("array<string>")
+
+    def named(term: str) -> Column:
+        return F.when(F.exists(organizations, lambda o: norm(o) == norm(F.lit(term))), F.lit(term))
+
+    inside = lambda terms: F.filter(F.array(*map(named, terms)), lambda x: x.isNotNull()) if terms else F.array().cast("array<string>")
     strong = F.array_distinct(F.concat(
         tagged("gazetteer:", find_terms(text, lexicon.locations)), tagged("institution:", inside(lexicon.institutions)),
         tagged("political_org:", inside(lexicon.political)), tagged("club:", inside(lexicon.clubs)),

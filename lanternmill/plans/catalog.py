@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanternmill.plans import retrieval
+from lanternmill.plans import archive, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, archive)
 
 
 def queries() -> dict:
