@@ -155,7 +155,7 @@ def linked(fingerprints: DataFrame, radius: int = 3, bands: int = 5, tile: int =
             block = table["block"].to_numpy()
             crossed = (table["i"].to_numpy() != table["j"].to_numpy()).any()
             # a tile of two blocks compares them with each other; within a block, its own tile does
-            side = np.where(table["i"].to_numpy() == table["j"].to_numpy(), np.arange(len(values)), block + (1 << 40)) if crossed else None
+            side = np.where(table["i"].to_numpy() == table["j"].to_numpy(), np.arange(len(values)), block.astype(np.int64) + (1 << 40)) if crossed else None
             root = link_runs(values, starts, side, radius)
             tied = np.flatnonzero(root != np.arange(len(values)))
             yield pa.RecordBatch.from_pydict({"a": values.view(np.int64)[tied], "b": values.view(np.int64)[root[tied]]})
