@@ -225,7 +225,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for row in self._rows(partition):
+        for row in self._rows(partition) if partition is not None else ():  # Spark asks for one part even where there are none
             rows.append(row)
             size += len(row["payload"] or b"") + 200
             if size >= 8 << 20:
