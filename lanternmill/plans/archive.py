@@ -13,7 +13,8 @@ from lanternmill.operators import chunks as C
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
-from lanternmill.session import table
+from lanternmill.session import shared_path, table
+from lanternmill.streaming import ingest
 
 TERMS = ["the", "of and", "ing", "nicht", "la", "des"]
 LEXICON = S.Lexicon(sections=["src1", "src2"], locations=["la", "der"], institutions=["in the", "tion"], terms=["nicht"], weak_institutions=["des"], contextual=["que"])
@@ -209,11 +210,20 @@ def per_day_ingest(spark, d):
 
 
 
+def stream_ingest(spark, d):
+    """The same counts as per_day_ingest, of rows that a stream has loaded file by file."""
+    base = shared_path(spark, "stream")
+    schema = table(spark, d, "events").schema
+    ingest.load_new(ingest.read_folder(spark, d, schema, "events.parquet"), f"{base}/rows", f"{base}/state")
+    loaded = spark.read.schema(schema).parquet(f"{base}/rows")
+    return loaded.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
     scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
-    query_plan, cited_sources, citations, date_range_coverage, per_day_ingest,
+    query_plan, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest,
 )}
 
 
@@ -292,3 +302,4 @@ SQL = {
     "date_range_coverage": "SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, count(event_id) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) g(day) LEFT JOIN events ON CAST(ts AS DATE) = CAST(day AS DATE) GROUP BY day",
     "per_day_ingest": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL",
 }
+SQL["stream_ingest"] = SQL["per_day_ingest"]

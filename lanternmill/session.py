@@ -14,3 +14,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which all machines share; below a temporary folder only where it is unset
+    and Spark is local."""
+    import tempfile
+    import uuid
+
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lanternmill-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
