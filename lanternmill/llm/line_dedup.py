@@ -3,8 +3,12 @@
 A line is the set of its lower-cased words. The words of a set are ordered by rarity: the class of how often words of
 the same hash bucket occur in the corpus, then the word's hash. Two sets of Jaccard similarity t or more share a word
 among the first of both; so each set is filed under its first words only, and of two sets filed together those pairs
-go on whose lengths and positions still allow the similarity. They are verified on all their words. A line goes if an
-earlier line (by doc_id, then line number) is that similar; equal sets are similarity 1.
+go on whose lengths, positions and 64-bit word maps still allow the similarity. They are verified on all their words.
+A line goes if an earlier line (by doc_id, then line number) is that similar; equal sets are similarity 1.
+
+Large families of variants would give pairs with the square of their size, though one earlier match settles a line. So
+each set is first held against the earliest set with the same smallest, and the same largest, word hash, one candidate
+each; sets that this settles are no longer asked about in the join.
 """
 
 from __future__ import annotations
@@ -13,87 +17,156 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternmill.llm import scratch
+from lanternmill.llm.quality_rules import let
 from lanternmill.llm.url_filter import Level
 
 #: Buckets of the table of word frequencies; it has a byte for each and goes into every plan.
 BUCKETS = 1 << 18
 _LOW = (1 << 58) - 1
-_NOT_LINE = r"[\x20\x09\x0B-\x0D]+"
-
 
 def _flat(text: Column) -> Column:
-    """Lower case, white space but line breaks made one space."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_LINE, " ")
+    """Lower case; tabs and other white space but line breaks made spaces."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
+    return F.when(other, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
 def rarity(documents: DataFrame) -> DataFrame:
-    """One row, `classes`: for each hash bucket, the base-2 logarithm of its number of words over all documents."""
-    words = documents.select(F.explode(F.transform(F.split(F.translate(_flat(F.col("text")), "\n", " "), " "), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).alias("bucket"))
-    counts = words.groupBy("bucket").agg(F.count("*").alias("n"))
+    """One row, `classes`: for each hash bucket, the base-2 logarithm of its number of words over all documents, in the
+    five bits above the 58 of a word's hash."""
+    words = documents.select(F.explode(F.split(F.replace(_flat(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket")).agg(F.count("*").alias("n"))
     classes = counts.select("bucket", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("class"))
-    every = classes.unionByName(documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("class")))
+    every = classes.unionByName(documents.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).alias("class")))
     dense = every.groupBy("bucket").agg(F.max("class").alias("class"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("tinyint")).alias("classes"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: F.shiftleft(x["class"].cast("long"), 58)).alias("classes"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc_id, line (from 0), flat: the lines that have a word."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("line", "flat"))
-    return rows.select("doc_id", "line", F.trim("flat").alias("flat")).where("flat <> ''")
+    return rows.where(F.trim("flat") != "")
+
+
+def _keys(hashes: Column, classes: Column) -> Column:
+    """Distinct word hashes as ordered numbers: rarity class, then 58 bits of the hash."""
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, bucket(h)).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+
+
+def _with_words(lines: DataFrame, classes: DataFrame, more: bool) -> DataFrame:
+    """doc_id, line, and a struct w of the line's distinct words: keys; with `more`, also the smallest and largest hash
+    and the word map, four numbers of 64 bits each.
+
+    The table of classes passes through a column, as a subquery may not stand in a lambda function. All is one
+    expression that names this column once, so the optimiser puts the projections together and no row holds the table.
+    """
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("flat", " "), ""), lambda w: F.xxhash64(w)))
+
+    def words(h: Column) -> Column:
+        parts = [_keys(h, F.col("_classes")).alias("keys")]
+        if more:
+            parts += [F.array_min(h).alias("low"), F.array_max(h).alias("high"), _map(h).alias("map")]
+        return F.struct(*parts)
 
+    return lines.withColumn("_classes", classes.scalar()).select("doc_id", "line", let(hashes, words).alias("w"))
 
-def _keys(classes: Column) -> Column:
-    """The words of column flat as ordered distinct numbers: rarity class, then 58 bits of hash."""
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+def _map(hashes: Column) -> Column:
+    """256 bits, of which each word sets one."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    quarter = lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(F.lit(3).cast("long"))
+    one = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda m, h: F.when(quarter(h) == k, m.bitwiseOR(bit(h))).otherwise(m))
+    return F.array(*map(one, range(4)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.split("flat", " "), key)))
 
+_FIRST = -(1 << 63)  # stands for a null doc_id, which comes before all others
 
-def _with_keys(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds keys. The table of classes passes through a column, as a subquery may not stand in a lambda function; the
-    optimiser puts both projections together, so that no row ever holds it."""
-    return lines.withColumn("_classes", classes.scalar()).select(*lines.columns, _keys(F.col("_classes")).alias("keys"))
 
+def _place(doc_id: str, line: str) -> Column:
+    return F.struct(F.coalesce(F.col(doc_id), F.lit(_FIRST)).alias("doc"), F.col(line).alias("line"))
 
-def matched(lines: DataFrame, classes: DataFrame, threshold: float) -> tuple[scratch.Saved, DataFrame]:
-    """(sets: sid, n, doc_id, line of the first line that is each set; later: sid of the sets that have an earlier
-    similar one, equal sets apart)."""
-    least = lambda n, t: F.ceil(n * t - 1e-9).cast("int")
-    tokens = _with_keys(lines, classes).select("doc_id", "line", "keys")
-    n = F.col("n")
+
+def _could_match(threshold: float, wide: bool) -> Column:
+    """Whether sizes na, nb and word maps ma, mb of two sets allow the similarity: every bit in which the maps differ is
+    a word that only one of the sets has. The wide map is an array of 64-bit numbers, the narrow one
+    their union."""
+    na, nb, bits = F.col("na"), F.col("nb"), lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    differ = sum((bits(F.get("ma", F.lit(k)), F.get("mb", F.lit(k))) for k in range(1, 4)), bits(F.get("ma", F.lit(0)), F.get("mb", F.lit(0)))) if wide else bits(F.col("ma"), F.col("mb"))
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (differ <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """later: the later places of distinct pairs (later, earlier) that are similar on all their words.
+
+    The wide word maps go first. The words are read again for the lines in question; a Bloom filter keeps all other
+    lines out of the shuffle. Each later place is tried with its earliest partner; only those that this one does not
+    settle are tried with all others, so what is joined with words is a row a place in most cases.
+    """
+    maps = sets.select("place", "n", "map")
+    close = pairs.join(maps.toDF("later", "na", "ma"), "later").join(maps.toDF("earlier", "nb", "mb"), "earlier").where(_could_match(threshold, True))
+    close = scratch.Saved(close.select("later", "earlier"), "pairs").release().df
+    asked = scratch.saved(close.select(F.col("later").alias("place")).unionByName(close.select(F.col("earlier").alias("place"))).distinct(), "asked")
+    key = lambda doc, line: F.concat_ws(":", doc.cast("string"), line.cast("string"))
+    bloom = Level(asked.select(key(F.col("place.doc"), F.col("place.line")).alias("key")), max(1, asked.count()), 0.02, 11)
+    wanted = _with_words(lines.where(bloom.passes(key(F.coalesce("doc_id", F.lit(_FIRST)), F.col("line")))), classes, False)
+    words = scratch.saved(wanted.select(_place("doc_id", "line").alias("place"), "w.keys").join(asked, "place", "left_semi"), "words")
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.join(words.toDF("later", "ka"), "later").join(words.toDF("earlier", "kb"), "earlier")
+        enough = F.size(F.array_intersect("ka", "kb")) >= (F.size("ka") + F.size("kb")) * (threshold / (1 + threshold)) - 1e-9
+        return both.where(enough).select("later").distinct()
+
+    first = close.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    found = scratch.saved(similar(first), "found")
+    rest = close.join(found, "later", "left_anti").join(first, ["later", "earlier"], "left_anti")
+    return found.unionByName(similar(rest))
+
+
+def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
+    """doc, kept: by document, the numbers of the lines that no earlier line is similar to."""
+    classes = scratch.saved(rarity(documents), "rarity")
+    lines = _lines(documents)
+    n, least = F.col("n"), lambda n, t: F.ceil(n * t - 1e-9).cast("int")
     alone = n / (n + 1) < threshold - 1e-9  # so short that only an equal set is similar
-    prefix = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("keys", 1, n - least(n, threshold) + 1))
-    sets = tokens.select(F.xxhash64("keys").alias("sid"), F.size("keys").alias("n"), "doc_id", "line", "keys").withColumn("prefix", prefix)
-    sets = sets.groupBy("sid", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("prefix").alias("prefix"))
-    sets = scratch.Saved(sets, "sets")
-
-    filed = sets.df.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
-    long, short = filed.toDF("a", "na", "pa", "token"), filed.toDF("b", "nb", "pb", "token")
-    short = short.where(F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9))
-    together = long.join(short, "token").where(
-        ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))))
-        & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-        & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    prefix = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("w.keys", 1, n - least(n, threshold) + 1))
+    sets = _with_words(lines, classes, True).select(_place("doc_id", "line").alias("place"), F.xxhash64("w.keys").alias("sid"), F.size("w.keys").alias("n"), "w")
+    sets = sets.select("place", "sid", "n", "w.map", "w.low", "w.high", prefix.alias("prefix")).groupBy("sid", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("map", "low", "high", "prefix")])
+    saved_sets = scratch.Saved(sets.drop("sid"), "sets").release()
+    sets = saved_sets.df
+
+    guesses = None
+    for c in ("low", "high"):
+        earliest = sets.groupBy(c).agg(F.min("place").alias("earlier"), F.count("*").alias("members")).where("members > 1")
+        met = sets.select(c, F.col("place").alias("later")).join(earliest, c).where("later > earlier").select("later", "earlier")
+        guesses = met if guesses is None else guesses.unionByName(met)
+    settled = scratch.Saved(_verified(guesses.distinct(), sets, lines, classes, threshold), "settled").release().df
+
+    narrow = F.get("map", F.lit(0))
+    for k in range(1, 4):
+        narrow = narrow.bitwiseOR(F.get("map", F.lit(k)))
+    flagged = sets.join(settled.withColumnRenamed("later", "place").withColumn("done", F.lit(True)), "place", "left")
+    filed = flagged.select(F.col("place.doc").alias("d"), F.col("place.line").alias("l"), "n", narrow.alias("m"), F.col("done").isNull().alias("o"), F.posexplode("prefix").alias("p", "token"))
+    a, b = filed.toDF("da", "la", "na", "ma", "oa", "pa", "token"), filed.toDF("db", "lb", "nb", "mb", "ob", "pb", "token")
+    never = F.col("na") < F.col("nb") - (1 << 30)  # keeps conditions from being one side's, so that both sides share one exchange
+    a_later = F.struct("da", "la") > F.struct("db", "lb")
+    indexed = F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9)
+    together = a.join(b, "token").where(
+        ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & a_later))
+        & (indexed | never)
+        & F.when(a_later, F.col("oa")).otherwise(F.col("ob"))
+        & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+        & _could_match(threshold, False)
     )
-    pairs = scratch.saved(together.select("a", "b").distinct(), "candidates")
-
-    # the words of the lines in question: a Bloom filter keeps all other lines out of the shuffle
-    asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    places = scratch.saved(asked.join(sets.df.select("sid", "first.doc_id", "first.line"), "sid"), "places")
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "line")
-    bloom = Level(places.select(key.alias("key")), max(1, places.count()), 0.02, 11)
-    wanted = _with_keys(lines.where(bloom.passes(key)), classes).select("doc_id", "line", "keys")
-    wanted = wanted.select(F.xxhash64("keys").alias("sid"), "keys", F.struct("doc_id", "line").alias("place"))
-    words = places.select("sid", F.struct("doc_id", "line").alias("place")).join(wanted, ["sid", "place"]).groupBy("sid", "place").agg(F.first("keys").alias("keys"))
-    words = scratch.saved(words, "words")
-    both = pairs.join(words.toDF("a", "pa", "ka"), "a").join(words.toDF("b", "pb", "kb"), "b")
-    common = F.size(F.array_intersect("ka", "kb"))
-    similar = common >= (F.size("ka") + F.size("kb")) * (threshold / (1 + threshold)) - 1e-9
-    later = both.where(similar).select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct()
-    return sets, later
+    one, two = F.struct(F.col("da").alias("doc"), F.col("la").alias("line")), F.struct(F.col("db").alias("doc"), F.col("lb").alias("line"))
+    found = together.select(F.when(a_later, one).otherwise(two).alias("later"), F.when(a_later, two).otherwise(one).alias("earlier")).distinct()
+    found = scratch.Saved(found, "met").release().df
+    matched = scratch.Saved(_verified(found, sets, lines, classes, threshold), "matched").release().df
+    kept = sets.select("place").join(settled.unionByName(matched).withColumnRenamed("later", "place"), "place", "left_anti")
+    kept = kept.groupBy("place.doc").agg(F.sort_array(F.collect_list("place.line")).alias("kept"))
+    kept = scratch.Saved(kept, "kept").release().df
+    saved_sets.drop()
+    return kept
 
 
 def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -102,14 +175,9 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     repeat a doc_id are one place: a line number that one of them keeps, all keep. Other columns are passed
     on, but for an n_lines or n_removed, which these replace.
     """
-    classes = scratch.saved(rarity(documents), "rarity")
-    lines = _lines(documents)
-    sets, later = matched(lines, classes, threshold)
-    kept = sets.df.join(scratch.saved(later, "later"), "sid", "left_anti").select("first.doc_id", "first.line")
-    kept = scratch.Saved(kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
-    sets.drop()
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*documents.columns).alias("row"))
-    joined = rows.join(kept.df.toDF("place", "kept"), F.col("id").eqNullSafe(F.col("place")), "left")
+    kept = first_lines(documents, threshold)
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.struct(*documents.columns).alias("row"))
+    joined = rows.join(kept, "doc", "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("w")))
     none = F.array().cast("array<int>")
     left = F.filter("lines", lambda s: ~s["w"] | F.array_contains(F.coalesce("kept", none), s["i"]))

@@ -6,6 +6,7 @@ one read and not a recomputation of every round.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,13 @@ class Saved:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def release(self) -> "Saved":
+        """Lets Spark delete the shuffle files of the plans behind tables that are saved by now: it does so once the
+        driver has collected what refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self
+
     def drop(self) -> None:
         delete(self.spark, self.path)
 
