@@ -9,6 +9,7 @@ from lanternmill.functions import html as H
 from lanternmill.functions import text as T
 from lanternmill.functions import values as V
 from lanternmill.operators import answers as A
+from lanternmill.operators import archive
 from lanternmill.operators import chunks as C
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
@@ -210,6 +211,14 @@ def per_day_ingest(spark, d):
 
 
 
+def archive_answers(spark, d):
+    """All documents in, the questions of the benchmark table out, by the whole chain with its stand-in models."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("section"), F.col("lang").alias("newspaper"), F.lit("2001-05-06").alias("published"), "text")
+    indexed = archive.index(archive.enrich(docs, LEXICON), "all")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return archive.answer(indexed, asked).select("query_id", "intent", "verdict", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
+
+
 def stream_ingest(spark, d):
     """The same counts as per_day_ingest, of rows that a stream has loaded file by file."""
     base = shared_path(spark, "stream")
@@ -223,7 +232,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
     scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
-    query_plan, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest,
+    query_plan, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest, archive_answers,
 )}
 
 
