@@ -21,7 +21,7 @@ from lanternmill.llm.quality_rules import let
 from lanternmill.llm.url_filter import Level
 
 #: Buckets of the table of word frequencies; it has a byte for each and goes into every plan.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 _LOW = (1 << 58) - 1
 
 def _flat(text: Column) -> Column:
@@ -32,14 +32,13 @@ def _flat(text: Column) -> Column:
 
 
 def rarity(documents: DataFrame) -> DataFrame:
-    """One row, `classes`: for each hash bucket, the base-2 logarithm of its number of words over all documents, in the
-    five bits above the 58 of a word's hash."""
+    """One row, `classes`: for each hash bucket, the base-2 logarithm of its number of words over all documents."""
     words = documents.select(F.explode(F.split(F.replace(_flat(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket")).agg(F.count("*").alias("n"))
     classes = counts.select("bucket", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("class"))
     every = classes.unionByName(documents.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).alias("class")))
     dense = every.groupBy("bucket").agg(F.max("class").alias("class"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: F.shiftleft(x["class"].cast("long"), 58)).alias("classes"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("tinyint")).alias("classes"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -51,7 +50,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 def _keys(hashes: Column, classes: Column) -> Column:
     """Distinct word hashes as ordered numbers: rarity class, then 58 bits of the hash."""
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, bucket(h)).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
 def _with_words(lines: DataFrame, classes: DataFrame, more: bool) -> DataFrame:
@@ -73,10 +72,10 @@ def _with_words(lines: DataFrame, classes: DataFrame, more: bool) -> DataFrame:
 
 
 def _map(hashes: Column) -> Column:
-    """256 bits, of which each word sets one."""
+    """256 bits, of which each word flips one; so maps of long lines differ as clearly as those of short ones."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
     quarter = lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(F.lit(3).cast("long"))
-    one = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda m, h: F.when(quarter(h) == k, m.bitwiseOR(bit(h))).otherwise(m))
+    one = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda m, h: F.when(quarter(h) == k, m.bitwiseXOR(bit(h))).otherwise(m))
     return F.array(*map(one, range(4)))
 
 
@@ -88,9 +87,8 @@ def _place(doc_id: str, line: str) -> Column:
 
 
 def _could_match(threshold: float, wide: bool) -> Column:
-    """Whether sizes na, nb and word maps ma, mb of two sets allow the similarity: every bit in which the maps differ is
-    a word that only one of the sets has. The wide map is an array of 64-bit numbers, the narrow one
-    their union."""
+    """Whether sizes na, nb and word maps ma, mb of two sets allow the similarity: each bit in which the maps differ
+    takes a word that only one of the sets has. The wide map is an array of 64-bit numbers, the narrow one their XOR."""
     na, nb, bits = F.col("na"), F.col("nb"), lambda a, b: F.bit_count(a.bitwiseXOR(b))
     differ = sum((bits(F.get("ma", F.lit(k)), F.get("mb", F.lit(k))) for k in range(1, 4)), bits(F.get("ma", F.lit(0)), F.get("mb", F.lit(0)))) if wide else bits(F.col("ma"), F.col("mb"))
     return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (differ <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
@@ -123,28 +121,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, classes: Data
     return found.unionByName(similar(rest))
 
 
-def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
-    """doc, kept: by document, the numbers of the lines that no earlier line is similar to."""
-    classes = scratch.saved(rarity(documents), "rarity")
-    lines = _lines(documents)
-    n, least = F.col("n"), lambda n, t: F.ceil(n * t - 1e-9).cast("int")
-    alone = n / (n + 1) < threshold - 1e-9  # so short that only an equal set is similar
-    prefix = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("w.keys", 1, n - least(n, threshold) + 1))
-    sets = _with_words(lines, classes, True).select(_place("doc_id", "line").alias("place"), F.xxhash64("w.keys").alias("sid"), F.size("w.keys").alias("n"), "w")
-    sets = sets.select("place", "sid", "n", "w.map", "w.low", "w.high", prefix.alias("prefix")).groupBy("sid", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("map", "low", "high", "prefix")])
-    saved_sets = scratch.Saved(sets.drop("sid"), "sets").release()
-    sets = saved_sets.df
-
-    guesses = None
-    for c in ("low", "high"):
-        earliest = sets.groupBy(c).agg(F.min("place").alias("earlier"), F.count("*").alias("members")).where("members > 1")
-        met = sets.select(c, F.col("place").alias("later")).join(earliest, c).where("later > earlier").select("later", "earlier")
-        guesses = met if guesses is None else guesses.unionByName(met)
-    settled = scratch.Saved(_verified(guesses.distinct(), sets, lines, classes, threshold), "settled").release().df
+def _guesses(sets: DataFrame) -> DataFrame:
+    """later, earlier: each set with the earliest that has the same smallest hash, largest hash, first or second word in
+    the order of rarity; at most four pairs a set."""
+    keys = F.array("low", "high", F.get("prefix", F.lit(0)), F.get("prefix", F.lit(1)))
+    under = sets.select("place", F.posexplode(keys).alias("kind", "key")).where("key is not null")
+    earliest = under.groupBy("kind", "key").agg(F.min("place").alias("earlier"), F.count("*").alias("members")).where("members > 1")
+    met = under.select("kind", "key", F.col("place").alias("later")).join(earliest, ["kind", "key"])
+    return met.where("later > earlier").select("later", "earlier")
 
+
+def _met(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier, with repeats: sets that share a word among their first and could be similar, where the later one
+    isn't settled."""
     narrow = F.get("map", F.lit(0))
     for k in range(1, 4):
-        narrow = narrow.bitwiseOR(F.get("map", F.lit(k)))
+        narrow = narrow.bitwiseXOR(F.get("map", F.lit(k)))
     flagged = sets.join(settled.withColumnRenamed("later", "place").withColumn("done", F.lit(True)), "place", "left")
     filed = flagged.select(F.col("place.doc").alias("d"), F.col("place.line").alias("l"), "n", narrow.alias("m"), F.col("done").isNull().alias("o"), F.posexplode("prefix").alias("p", "token"))
     a, b = filed.toDF("da", "la", "na", "ma", "oa", "pa", "token"), filed.toDF("db", "lb", "nb", "mb", "ob", "pb", "token")
@@ -159,14 +151,30 @@ def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
         & _could_match(threshold, False)
     )
     one, two = F.struct(F.col("da").alias("doc"), F.col("la").alias("line")), F.struct(F.col("db").alias("doc"), F.col("lb").alias("line"))
-    found = together.select(F.when(a_later, one).otherwise(two).alias("later"), F.when(a_later, two).otherwise(one).alias("earlier")).distinct()
-    found = scratch.Saved(found, "met").release().df
-    matched = scratch.Saved(_verified(found, sets, lines, classes, threshold), "matched").release().df
-    kept = sets.select("place").join(settled.unionByName(matched).withColumnRenamed("later", "place"), "place", "left_anti")
-    kept = kept.groupBy("place.doc").agg(F.sort_array(F.collect_list("place.line")).alias("kept"))
-    kept = scratch.Saved(kept, "kept").release().df
-    saved_sets.drop()
-    return kept
+    return together.select(F.when(a_later, one).otherwise(two).alias("later"), F.when(a_later, two).otherwise(one).alias("earlier"))
+
+
+def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
+    """doc, kept: by document, the numbers of the lines that no earlier line is similar to."""
+    with scratch.passing():
+        classes = scratch.saved(rarity(documents), "rarity")
+        lines = _lines(documents)
+        n, least = F.col("n"), lambda n, t: F.ceil(n * t - 1e-9).cast("int")
+        alone = n / (n + 1) < threshold - 1e-9  # so short that only an equal set is similar
+        prefix = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("w.keys", 1, n - least(n, threshold) + 1))
+        sets = _with_words(lines, classes, True).select(_place("doc_id", "line").alias("place"), F.xxhash64("w.keys").alias("sid"), F.size("w.keys").alias("n"), "w")
+        sets = sets.select("place", "sid", "n", "w.map", "w.low", "w.high", prefix.alias("prefix")).groupBy("sid", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("map", "low", "high", "prefix")])
+        sets = scratch.Saved(sets.drop("sid"), "sets").release().df
+
+        guesses = _guesses(sets)
+        settled = scratch.Saved(_verified(guesses.distinct(), sets, lines, classes, threshold), "settled").release().df
+
+        found = _met(sets, settled, threshold).distinct()
+        found = scratch.Saved(found, "met").release().df
+        matched = scratch.Saved(_verified(found, sets, lines, classes, threshold), "matched").release().df
+        kept = sets.select("place").join(settled.unionByName(matched).withColumnRenamed("later", "place"), "place", "left_anti")
+        kept = kept.groupBy("place.doc").agg(F.sort_array(F.collect_list("place.line")).alias("kept"))
+        return scratch.keep(scratch.Saved(kept, "kept")).release().df
 
 
 def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ one read and not a recomputation of every round.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_open: list[list[Saved]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,6 +42,8 @@ class Saved:
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _open:
+            _open[-1].append(self)
 
     def release(self) -> "Saved":
         """Lets Spark delete the shuffle files of the plans behind tables that are saved by now: it does so once the
@@ -52,6 +56,25 @@ class Saved:
         delete(self.spark, self.path)
 
 
+@contextlib.contextmanager
+def passing():
+    """Tables saved within are deleted at its end, but for those that keep() was called on."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for table in _open.pop():
+            table.drop()
+
+
+def keep(table: Saved) -> Saved:
+    """Hands a table to the caller of the innermost passing()."""
+    _open[-1].remove(table)
+    if len(_open) > 1:
+        _open[-2].append(table)
+    return table
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
