@@ -46,10 +46,13 @@ def rule(rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
 
 
 class Level:
-    """One Bloom filter: its number of bits and hashes, and the table of one row that holds its words."""
+    """One Bloom filter: its number of bits and hashes, and the table of one row that holds its words.
+
+    It never has over MAX_BITS bits; with more members than that serves, more keys pass by mistake.
+    """
 
     def __init__(self, members: DataFrame, count: int, rate: float, seed: int):
-        self.bits = max(64, 64 * math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
+        self.bits = max(64, min(MAX_BITS, 64 * math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64)))
         self.hashes, self.seed = max(1, round(self.bits / max(count, 1) * math.log(2))), seed
         set_bits = members.select(F.explode(F.array(*self._places(F.col("key")))).alias("bit"))
         words = set_bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("value"))
