@@ -41,7 +41,8 @@ def _map(form: str) -> tuple[str, str]:
 
 def fold(text: Column, form: str = "NFD") -> Column:
     """Without accents: composed letters become their base, free marks go. NFKD also folds width and style variants."""
-    return F.regexp_replace(F.translate(text, *_map(form)), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(text, *_map(form)), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)  # most texts need none of it
 
 
 def tokens(text: Column) -> Column:

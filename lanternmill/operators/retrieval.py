@@ -35,19 +35,18 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score of every document that has a term of the query (Okapi, negative idf raised to a share of
     the mean idf)."""
     words = postings(docs)
-    lengths = words.select("id", F.size("words").alias("dl"), "words")
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counted = lengths.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    # one row each: exact statistics of the filtered documents
-    n = totals.select("n").scalar()
-    per_term = counted.groupBy("term").agg(F.count("*").alias("df"))
+    counted = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    # exact statistics of the filtered documents, one row each: their number reads no text, the rest comes with the terms
+    n = docs.agg(F.count("*")).scalar()
+    per_term = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
     idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rated = per_term.select("term", idf.alias("idf"))
-    mean = rated.agg(F.avg("idf")).scalar()
+    rated = per_term.select("term", idf.alias("idf"), "all")
+    totals = rated.agg(F.struct(F.avg("idf").alias("mean"), F.sum("all").alias("words"))).scalar()
+    mean, avgdl = totals["mean"], totals["words"] / n
     asked = query_terms(queries)
     rated = rated.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
     tf = F.col("tf")
-    part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / totals.select("avgdl").scalar()))
+    part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return counted.join(rated, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
