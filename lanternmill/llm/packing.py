@@ -109,24 +109,33 @@ def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
 STATE = "uid long, length long, sequence_id long, offset long, fill long, bound double, sequences long, shard long"
 
 
+def _ranked(items: DataFrame) -> DataFrame:
+    """uid, length and the rank of the uid from 0: a range partitioning, and one offset for each of its partitions."""
+    placed = items.select("uid", "length").repartitionByRange("uid").sortWithinPartitions("uid").withColumn("row", F.monotonically_increasing_id())
+    placed = scratch.saved(placed, "ranked")
+    part = F.shiftright("row", 33)
+    before, runs = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
+        runs.append((r.part, before))
+        before += r.n
+    runs = items.sparkSession.createDataFrame(runs, "part long, before long")
+    within = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(runs), "part").select("uid", "length", (within + F.col("before")).alias("rank"))
+
+
 def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 32_768, rounds: int = 3, fan: int = 16, in_order: bool = False) -> DataFrame:
     """uid, sequence_id, offset for items (uid unique, length 1 to capacity - 1).
 
-    Items are dealt to shards of about `shard_items`; with `in_order`, a shard holds a range of uids, so a sequence
-    takes neighbours. A shard or pool leaves the exchange once it meets its bound. Otherwise its emptiest sequences,
-    at most shard_items / fan items, join a pool of up to `fan` shards; so no task ever holds more than about
-    2 x shard_items items. An empty table gives an empty result.
+    Items are dealt to shards of about `shard_items`; with `in_order`, at every size, a shard holds a range of uids, so a
+    sequence takes neighbours, and a pool takes neighbouring shards. A shard or pool leaves the exchange once it meets
+    its bound. Otherwise its emptiest sequences, at most shard_items / fan items, join a pool of up to `fan` shards; so
+    no task ever holds more than about 2 x shard_items items. An empty table gives an empty result.
     """
     spark = items.sparkSession
     n = items.count()
     shards = max(1, math.ceil(n / shard_items))
     if in_order and shards > 1:
-        cuts = items.stat.approxQuantile("uid", [i / shards for i in range(1, shards)], 0.1 / shards)
-        shard = F.lit(0)
-        for c in sorted(set(cuts)) if shards <= 64 else []:
-            shard = shard + (F.col("uid") > F.lit(int(c))).cast("long")
-        if shards > 64:
-            shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
+        items, shard = _ranked(items), F.expr(f"rank div {math.ceil(n / shards)}")
     else:
         shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
 
@@ -159,9 +168,11 @@ def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 32_768, roun
         at_least = F.col("sequences") - F.col("bound") > 1e-9
         marked = scratch.Saved(state.where(at_least).groupBy("shard").applyInPandas(give, STATE + ", leaves boolean"), "marked")
         done += [state.where(~at_least), marked.df.where("not leaves").drop("leaves")]
-        pools = max(1, math.ceil(open_shards / fan))
-        pooled = marked.df.where("leaves").drop("leaves").withColumn("pool", F.pmod(F.xxhash64(F.col("shard") + F.lit(7919 * r)), F.lit(pools)))
+        pools = max(1, math.ceil((shards if in_order else open_shards) / fan))
+        pool = F.expr(f"shard div {fan}") if in_order else F.pmod(F.xxhash64(F.col("shard") + F.lit(7919 * r)), F.lit(pools))
+        pooled = marked.df.where("leaves").drop("leaves").withColumn("pool", pool)
         state = scratch.saved(pooled.groupBy("pool").applyInPandas(again, STATE), "packed")
+        shards = pools
         if pools == 1:
             break
     out = state

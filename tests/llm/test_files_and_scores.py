@@ -151,6 +151,20 @@ def test_exchange_saves_sequences(spark):
     assert packing.pack(frame.limit(0), 100).count() == 0
 
 
+def test_packing_in_order_takes_neighbours_in_many_shards(spark):
+    r = np.random.default_rng(5)
+    uids = np.cumsum(r.integers(1, 1 << 34, 3000))  # with gaps, as in the uids of pieces
+    rank = {int(u): i for i, u in enumerate(uids)}
+    frame = spark.createDataFrame([(int(u), int(n)) for u, n in zip(uids, r.integers(1, 100, 3000))], "uid long, length long").repartition(7, "length")
+
+    def spans(rounds):
+        held = packing.pack(frame, 100, shard_items=30, rounds=rounds, fan=4, in_order=True).groupBy("sequence_id").agg(F.collect_list("uid").alias("uids")).collect()
+        assert sorted(u for x in held for u in x.uids) == uids.tolist()
+        return max(max(map(rank.get, x.uids)) - min(map(rank.get, x.uids)) for x in held)
+
+    assert spans(0) < 30 and spans(1) < 4 * 30  # 100 shards, pools of 4
+
+
 def test_pieces_of_documents(spark, encoder):
     rows = [(1, "uno dos tres " * 900), (2, None), (2, ""), (None, "x"), (3, "w " * 511)]
     frame = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, length int")
