@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternmill.llm import line_dedup, mixing, packing, quality_rules, scratch, simhash
+from lanternmill.llm import line_dedup, mixing, near_texts, packing, quality_rules, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id. Rows without a doc_id stay."""
-    first = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(scratch.saved(first, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of texts that are near duplicates by five-word shingles (Jaccard 0.8 or more): the one with
+    the smallest doc_id, of rows that share it the first; rows without a doc_id come last."""
+    rows = near_texts.with_row_keys(docs)
+    return rows.join(near_texts.repeats(rows), near_texts.ROW, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, in_order=True)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("mixing", mix), ("best_fit_packing", pack)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("mixing", mix), ("best_fit_packing", pack)]
 
 #: Packing can't be written in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None

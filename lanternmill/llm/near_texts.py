@@ -1,0 +1,135 @@
+"""Near-duplicate texts by exact Jaccard similarity of their word shingles.
+
+Shingles are put in one order for all texts, so two texts of a similarity of t or more share one of the first
+n - t n + 1 of the n shingles of each (prefix filtering): no pair is missed. The order is that of the shingles' hashes,
+with shingles that a sample finds common last; the sample changes what is compared, never the result. A text is first
+held against one other that often comes with it, then whatever is not connected by then against each other, where the
+prefixes share so much that the whole sets may reach t. A link counts only if the whole sets do.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lanternmill.llm import scratch
+from lanternmill.llm.components import components
+
+#: Documents in the sample for common shingles, and in how many of them a common one is.
+SAMPLE, COMMON = 2048, 3
+ROW = ["_file", "_at"]
+
+
+def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text; of all its words if it has fewer than size."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    buffer, digest, size = b" ".join(words), xxhash.xxh64_intdigest, min(size, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths).tolist(), ends[size - 1 :].tolist()
+    return np.unique(np.fromiter((digest(buffer[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def prefix(hashes: np.ndarray, threshold: float, common: np.ndarray) -> np.ndarray:
+    """The shingles of which a text as similar as the threshold has one in its own prefix; common is sorted."""
+    n = len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    if len(common) and n:
+        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[:n]
+
+
+def with_row_keys(documents: DataFrame) -> DataFrame:
+    """documents with _file and _at, which tell its rows apart and stay the same however often they are read."""
+    if not documents._jdf.queryExecution().analyzed().children().isEmpty() or not documents.inputFiles():
+        documents = scratch.saved(documents, "rows")
+    return documents.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+def _common(documents: DataFrame, size: int) -> np.ndarray:
+    n = documents.count()
+    picked = documents.where(F.pmod(F.xxhash64(*ROW), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), size).view(np.int64))], names=["h"])
+
+    often = picked.mapInArrow(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = often.orderBy(F.desc("n"), "h").limit(1 << 17).collect()  # an order is right with any of them
+    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+
+
+def _may_fit(shared: str, n: str, m: str, threshold: float) -> Column:
+    """Whether sets of n and m shingles with so many in both prefixes can be similar enough: what the prefix that ends
+    first has in common is in both, the rest is at most what is left of that set."""
+    left = F.greatest(*[F.ceil(F.col(x) * F.lit(threshold) - F.lit(1e-9)) - 1 for x in (n, m)])
+    close = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)
+    return close & (F.col(shared) + left >= (F.col(n) + F.col(m)) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+
+
+def repeats(documents: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """_file, _at of all rows of documents (with_row_keys, doc_id, text) but the first of each group of near duplicates.
+
+    Groups are connected by links of at least the threshold; first is the smallest doc_id (none at all comes last), then
+    the smallest row key. Null, empty and blank texts are one group.
+    """
+    documents = documents.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common = documents.sparkSession.sparkContext.broadcast(_common(documents, size))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            found = [shingles(t.as_py(), size) for t in batch["text"]]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
+            first = pa.array([prefix(x, threshold, common.value).view(np.int64) for x in found], pa.list_(pa.int64()))
+            counts = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["_file"], batch["_at"], batch["doc_id"], pa.array(nodes), counts, first], names=["_file", "_at", "doc_id", "node", "n", "prefix"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch["text"]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["node"], sets], names=["node", "hashes"])
+
+    with scratch.passing():
+        rows = scratch.saved(documents.mapInArrow(read, "_file string, _at long, doc_id long, node long, n int, prefix array<long>"), "shingled")
+        key = Window.partitionBy("key")
+        filed = rows.select("node", "n", F.explode("prefix").alias("key")).withColumn("low", F.min(F.struct("node", "n")).over(key)).withColumn("high", F.max("node").over(key))
+        filed = filed.where("low.node <> high").select("key", "node", "n", F.col("low.node").alias("a"), F.col("low.n").alias("m"))
+        filed = scratch.Saved(filed.distinct(), "filed").release().df
+
+        def similar(pairs: DataFrame) -> DataFrame:
+            """The pairs a, b whose whole sets are similar enough."""
+            pairs = scratch.saved(pairs, "pairs")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW)).alias("row")).select("node", "row.*")
+            sets = scratch.Saved(documents.select(*ROW, "text").join(one, ROW).select("node", "text").mapInArrow(whole, "node long, hashes array<long>"), "sets").release().df
+            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+            rated = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
+            found = rated.where(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= threshold).select("a", "b")
+            return scratch.Saved(found, "links").release().df
+
+        stars = filed.where("a <> node").groupBy("a", "node", "n", "m").agg(F.count("*").alias("k")).where(_may_fit("k", "n", "m", threshold))
+        links = similar(stars.groupBy("node").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", F.col("node").alias("b")))
+        named = filed.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crossed = named.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low <> high")
+        crossed = scratch.Saved(crossed.select("key", "node", "n", "root"), "crossed").release().df
+        other = crossed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+        pairs = crossed.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")))
+        pairs = pairs.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("k")).where(_may_fit("k", "n", "m", threshold))
+        links = links.unionByName(similar(pairs.select("a", "b")))
+        placed = rows.drop("prefix", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
+        firsts = placed.groupBy("root").agg(F.min(order).alias("first"))
+        gone = placed.join(firsts, "root").where((F.col("first._file") != F.col("_file")) | (F.col("first._at") != F.col("_at")))
+        return scratch.keep(scratch.Saved(gone.select(*ROW), "copies").release()).df

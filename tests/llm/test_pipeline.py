@@ -59,6 +59,42 @@ def test_stages_equal_plain_versions(spark, tables):
     assert max(filled.values()) <= 1024 and len(filled) <= sum(filled.values()) // 512 + 1
 
 
+def jaccard(x, y, size=5):
+    cut = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}
+    x, y = cut(x.split()), cut(y.split())
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_equal_brute_force_jaccard(spark):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(4000)}"
+    shared = [word() for _ in range(8)]
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(r.randint(60, 300))]
+        base[10:10] = shared if r.random() < 0.5 else []
+        texts.append(" ".join(base))
+        for _ in range(r.randint(0, 3)):  # similarities around the threshold
+            for _ in range(r.randint(1, max(1, len(base) // 40))):
+                base[r.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+    texts += ["a b", "a b", "a c"]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    roots = union_find(len(texts), links)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    rows = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(5)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, rows, "").collect())
+    assert got == [i for i, x in enumerate(roots) if x == i] and 40 < len(got) < len(texts) - 20
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    long = lambda c: " ".join(f"{c}{i}" for i in range(50))
+    rows = [(1, long("a")), (1, long("a")), (2, long("b")), (3, long("b")), (3, long("c")), (None, long("c")), (None, long("d")), (None, long("d")), (4, long("e"))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((x.text[0], x.doc_id) for x in got) == [("a", 1), ("b", 2), ("c", 3), ("d", None), ("e", 4)]
+
+
 def test_stages_keep_columns_and_empty_tables(spark, tables):
     folder, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS words", "2 AS position", "3 AS kept", "4 AS row")
