@@ -47,17 +47,21 @@ def index(enriched: DataFrame, index_scope: str = "argentina", known: DataFrame
 
 def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None, embedder=embed) -> DataFrame:
     """query_id, intent, verdict, top_score, sources, context of questions (query_id, text): filtered retrieval both
-    ways, fusion by the question's weights, rerank, verdict, and the articles behind the best chunks.
+    ways, fusion by the question's weights, rerank, verdict, and the articles behind the best chunks. A question is
+    searched among the rows of the year it names, if it names one; filters hold for all questions.
 
     A batch of questions is one plan; small talk is answered without a search, so its verdict is null.
     """
     asked = questions.select("query_id", "text", answers.plan(F.col("text")).alias("p"), retrieval.query_weights(F.col("text")).alias("w"))
-    search = asked.where("p.intent = 'ARCHIVE_SEARCH'")
+    search = asked.where("p.intent = 'ARCHIVE_SEARCH'").withColumn("part", F.coalesce(F.col("p.year").cast("string"), F.lit("all")))
     rows = store.where_all(indexed, filters or {})
     docs = rows.select(F.col("point_id").alias("id"), "text")
-    lexical = retrieval.top(retrieval.bm25(docs, search.select("query_id", "text")))
-    vectors = search.select("query_id", embedder(F.col("text"), prefix="query: ").alias("qvector"))
-    semantic = retrieval.top(retrieval.semantic(rows.select(F.col("point_id").alias("id"), "vector"), vectors))
+    # a row is in the part of all rows and in that of its year, where a question asks for it
+    parts = rows.select(F.col("point_id").alias("id"), "text", "vector", F.explode(F.array_compact(F.array(F.lit("all"), F.col("year").cast("string")))).alias("part"))
+    parts = parts.join(F.broadcast(search.select("part").distinct()), "part", "left_semi")
+    lexical = retrieval.top(retrieval.bm25_within(parts.select("part", "id", "text"), search.select("query_id", "part", "text")))
+    vectors = search.select("query_id", "part", embedder(F.col("text"), prefix="query: ").alias("qvector"))
+    semantic = retrieval.top(retrieval.semantic(parts.select("part", "id", "vector"), vectors))
     weights = search.select("query_id", "w")
     fused = retrieval.fuse(semantic.join(weights, "query_id"), lexical.join(weights, "query_id"), F.col("w.semantic"), F.col("w.lexical"))
     ranked = retrieval.overlap_rerank(fused.join(docs, "id").join(search.select("query_id", F.col("text").alias("question")), "query_id"))

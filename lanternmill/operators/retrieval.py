@@ -50,6 +50,23 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return counted.join(rated, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25_within(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """bm25 of each query (query_id, part, text) over the documents (part, id, text) of its part only, with the
+    statistics of that part."""
+    words = docs.select("part", "id", spanish_tokens(F.col("text")).alias("words"))
+    counted = words.select("part", "id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("part", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    sizes = docs.groupBy("part").agg(F.count("*").alias("n"))
+    per_term = counted.groupBy("part", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(sizes, "part")
+    rated = per_term.select("part", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "all", "n")
+    totals = rated.groupBy("part").agg(F.avg("idf").alias("mean"), (F.sum("all") / F.max("n")).alias("avgdl"))
+    asked = query_terms(queries).join(queries.select("query_id", "part"), "query_id")
+    rated = rated.select("part", "term", "idf").join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi").join(totals, "part")
+    rated = rated.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
+    tf = F.col("tf")
+    score = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return counted.join(rated, ["part", "term"]).join(asked, ["part", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+
+
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Adds, with score 0, the k smallest ids of docs to each query that lacks them, so that every query has k rows."""
     few = docs.select("id").orderBy("id").limit(2 * k)
@@ -65,8 +82,8 @@ def top(scores: DataFrame, k: int = DEPTH) -> DataFrame:
 
 def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score (cosine) of id, vector and query_id, qvector; the queries are the small, broadcast side, a
-    stated set scored against all rows."""
-    pairs = vectors.join(F.broadcast(queries))
+    stated set scored against all rows, or, where both sides have a column part, against the rows of their part."""
+    pairs = vectors.join(F.broadcast(queries), "part") if "part" in queries.columns else vectors.join(F.broadcast(queries))
     return pairs.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("qvector")), 6).alias("score"))
 
 

@@ -32,6 +32,29 @@ def test_answers(spark, indexed):
     assert all(s.label == "Reforma" for s in only[0].sources or [])
 
 
+def test_a_dated_question_is_searched_in_its_year(spark):
+    topic = "conflicto docente por los salarios de la universidad en 2002 "
+    rows = [(f"o{i:02d}", "Otro", "x", "diario", "1999-03-04", topic * 4 + f"nota {i}") for i in range(40)] + [("right", "Bueno", "x", "diario", "2002-05-06", "El conflicto docente y los salarios siguen sin acuerdo entre las partes en la provincia. " * 2)]
+    found = archive.index(archive.enrich(spark.createDataFrame(rows, "source_id string, title string, section string, newspaper string, published string, text string"), LEXICON), "all").cache()
+    asked = spark.createDataFrame([(0, "conflicto docente salarios en 2002"), (1, "conflicto docente salarios")], "query_id long, text string")
+    got = {r.query_id: r for r in archive.answer(found, asked).collect()}
+    assert got[0].verdict == "SUFFICIENT" and [s.label for s in got[0].sources] == ["Bueno"]
+    assert "Otro" in {s.label for s in got[1].sources}
+
+
+def test_statistics_are_those_of_the_part(spark):
+    from lanternmill.operators import retrieval
+
+    docs = spark.createDataFrame([("a", i, " ".join(["perro"] * (i % 3) + ["gato", f"w{i}"])) for i in range(9)] + [("b", i, f"perro casa x{i % 4}") for i in range(20, 32)], "part string, id long, text string")
+    asked = spark.createDataFrame([(0, "a", "perro w4"), (1, "b", "casa x2 perro"), (2, "c", "perro")], "query_id long, part string, text string")
+    got = {(r.query_id, r.id): r.score for r in retrieval.bm25_within(docs, asked).collect()}
+    want = {}
+    for part in "abc":
+        rows = retrieval.bm25(docs.where(F.col("part") == part), asked.where(F.col("part") == part)).collect() if part != "c" else []
+        want |= {(r.query_id, r.id): r.score for r in rows}
+    assert got == want and got
+
+
 def test_collection(spark, indexed, tmp_path):
     path = str(tmp_path / "collection")
     assert create_collection(spark, path, archive.INDEX).count() == 0
