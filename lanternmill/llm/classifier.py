@@ -21,21 +21,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def subwords(word: str, buckets: int, low: int = 3, high: int = 4, most: int = 64) -> list[int]:
-    """Buckets of a word and of its character n-grams with the word's ends marked.
+#: Characters above which a word, such as a text without spaces, is read slice by slice and not kept.
+LONG = 256
+SLICE = 1 << 15
 
-    A word over `most` characters, such as encoded data, has n-grams at a stride, so its cost stays bounded.
-    """
+
+def subwords(word: str, buckets: int, low: int = 3, high: int = 4) -> list[int]:
+    """Buckets of a word and of all its character n-grams with the word's ends marked."""
+    return [i for ids in slices(word, buckets, low, high) for i in ids]
+
+
+def slices(word: str, buckets: int, low: int = 3, high: int = 4) -> Iterator[list[int]]:
+    """The same in lists of a bounded size."""
     marked = f"<{word}>"
+    yield [zlib.crc32(marked.encode("utf-8", "replace")) % buckets]
     if word == SAME:
-        return [zlib.crc32(marked.encode()) % buckets]
-    out = [zlib.crc32(marked.encode("utf-8", "replace")) % buckets]
+        return
     for n in range(low, high + 1):
-        last = len(marked) - n
-        if last >= 0:
-            stride = 1 + last // most
-            out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace"), n) % buckets for i in range(0, last + 1, stride)]
-    return out
+        for at in range(0, len(marked) - n + 1, SLICE):
+            yield [zlib.crc32(marked[i : i + n].encode("utf-8", "replace"), n) % buckets for i in range(at, min(at + SLICE, len(marked) - n + 1))]
+
+
+def long_word(word: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a long word and how often each comes."""
+    counts = np.zeros(buckets, np.int64)
+    for ids in slices(word, buckets):
+        np.add.at(counts, ids, 1)
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), counts[found]
 
 
 #: Stands for a pair of equal words; no text has it as a word.
@@ -69,6 +82,11 @@ class WordScores(dict):
         self.weights = model.weights.tolist()
 
     def __missing__(self, word: str) -> float:
+        if len(word) > LONG:
+            total, n = 0.0, 0
+            for ids in slices(word, self.buckets):
+                total, n = total + sum([self.weights[i] for i in ids]), n + len(ids)
+            return total / n
         if len(self) >= self.most:
             self.clear()
         ids = subwords(word, self.buckets)
@@ -93,6 +111,11 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
             counts[SAME] = same
         parts, weights = [], []
         for word, c in counts.items():
+            if len(word) > LONG:
+                ids, times = long_word(word, buckets)
+                parts.append(ids)
+                weights.append((times * (c / (times.sum() * total))).astype(np.float32))
+                continue
             ids = known.get(word)
             if ids is None:
                 if len(known) > 200_000:

@@ -243,6 +243,30 @@ def test_classifier_holds_out_and_learns(spark):
     assert classifier.score(documents, classifier.fit(documents, labels.limit(0))).where("score = 0.5").count() == len(got)
 
 
+def test_every_ngram_of_a_long_word_counts():
+    r = random.Random(6)
+    word = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(70_000))
+    marked, want = f"<{word}>", []
+    for n in (3, 4):
+        want += [zlib.crc32(marked[i : i + n].encode(), n) % 4096 for i in range(len(marked) - n + 1)]
+    want.append(zlib.crc32(marked.encode()) % 4096)
+    assert sorted(classifier.subwords(word, 4096)) == sorted(want)
+    ids, times = classifier.long_word(word, 4096)
+    assert np.array_equal(np.repeat(ids, times), np.sort(want))
+    model = classifier.Model(np.random.default_rng(1).normal(size=4096).astype(np.float32), 0.0)
+    scores = classifier.WordScores(model)
+    assert abs(scores[word] - model.weights[want].astype(float).mean()) < 1e-9 and not len(scores)
+
+
+def test_classifier_learns_from_the_middle_of_texts_without_spaces():
+    r = random.Random(9)
+    text = lambda mark: "".join(r.choice("一二三四五六七八九") + (mark if k in r.sample(range(900), 60) else "") for k in range(900))
+    rows = [(text("好的吗" if i % 2 else "坏了啊"), i % 2) for i in range(60)]
+    model = classifier.train([t for t, _ in rows[:40]], [y for _, y in rows[:40]])
+    scores = classifier.WordScores(model)
+    assert all((model.score(t, scores) > 0.5) == (y == 1) for t, y in rows[40:])
+
+
 def test_manifest_of_archive_names_committed_files(spark):
     folder = scratch.new_path(spark, "t")
     warc.archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), folder)
