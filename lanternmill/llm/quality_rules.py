@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternmill.llm import scratch
+
 SPACE = r"[\x20\x09-\x0D]+"
 TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Languages with a reference of their own, the most frequent; the others share one. Bounds what is broadcast.
+#: The limit of languages in the SQL below; the operator has none, so the two agree up to so many languages.
 LANGUAGES = 63
+#: References up to which they are broadcast.
+BROADCAST = 1 << 14
 #: Common words of a language, and how long they are at most: function words are short.
 COMMON, COMMON_CHARS = 16, 5
 #: Words from which a histogram counts, and the distance above which a document goes.
@@ -68,12 +72,9 @@ def _classes() -> list[Column]:
 
 
 def references(documents: DataFrame) -> DataFrame:
-    """lang, words (the common words), word_counts (of each, then of all other words), class_counts; lang '' for all
-    languages that have no reference of their own. At most LANGUAGES + 1 rows of fixed length."""
-    langs = documents.groupBy("lang").agg(F.count("*").alias("n")).where("lang is not null and lang <> ''").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    known = [r.lang for r in langs.collect()]
-    key = F.when(F.col("lang").isin(known), F.col("lang")).otherwise("") if known else F.lit("")
-    rows = _columns(documents).withColumn("lang", key)
+    """lang, words (the common words), word_counts (of each, then of all other words), class_counts of every language;
+    lang '' for documents without one. Rows of fixed length."""
+    rows = _columns(documents).withColumn("lang", F.coalesce("lang", F.lit("")))
     per_class = rows.select("lang", F.size("words").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(_classes())])
     totals = per_class.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"c{i}") for i in range(5)]).alias("class_counts"))
     words = rows.select("lang", F.explode(F.filter(F.split(F.lower("norm"), " "), lambda w: F.length(w).between(1, COMMON_CHARS))).alias("word"))
@@ -86,8 +87,7 @@ def references(documents: DataFrame) -> DataFrame:
     out = totals.join(common, "lang", "left")
     ks = F.coalesce("ks", F.array().cast("array<long>"))
     rest = F.col("n") - F.aggregate(ks, F.lit(0).cast("long"), lambda a, x: a + x)
-    found = out.select("lang", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.concat(ks, F.array(rest)).alias("word_counts"), "class_counts").collect()
-    return documents.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, words array<string>, word_counts array<long>, class_counts array<long>")
+    return scratch.saved(out.select("lang", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.concat(ks, F.array(rest)).alias("word_counts"), "class_counts"), "references")
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -103,18 +103,18 @@ def js_distance(a: Column, b: Column) -> Column:
 def judge(documents: DataFrame, *more: str) -> DataFrame:
     """A row per document: doc_id, the counts, base_failed, class_distance, word_distance, kept, and the columns named.
 
-    A null text has no words and fails; a null or rare language is held against the pooled reference; rows that repeat
-    are judged each; an empty table gives no rows. Text columns are never shuffled: references come in a broadcast
-    of at most LANGUAGES + 1 rows.
+    A null text has no words and fails; documents without a language are held against each other; rows that repeat
+    are judged each; an empty table gives no rows. Text columns are not shuffled: references come in a broadcast, unless
+    there are over BROADCAST languages.
     """
-    refs = references(documents)
-    known = [r.lang for r in refs.select("lang").collect() if r.lang]
-    key = F.when(F.col("lang").isin(known), F.col("lang")).otherwise("") if known else F.lit("")
+    refs = references(documents).toDF("ref", "ref_words", "ref_word_counts", "ref_class_counts")
+    refs = F.broadcast(refs) if refs.count() <= BROADCAST else refs
+    key = F.coalesce("lang", F.lit(""))
     n_words = F.size("words").cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(TRIMMED)) != "")
     padded = F.concat(F.lit(" "), F.replace(F.lower("norm"), F.lit(" "), F.lit("  ")), F.lit(" "))
     found = lambda text: F.transform("ref_words", lambda w: ((F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)))
-    rows = _columns(documents, *more).withColumn("ref", key).join(F.broadcast(refs.toDF("ref", "ref_words", "ref_word_counts", "ref_class_counts")), "ref", "left")
+    rows = _columns(documents, *more).withColumn("ref", key).join(refs, "ref", "left")
     counted = rows.select(
         "doc_id",
         *more,

@@ -243,6 +243,20 @@ def test_classifier_holds_out_and_learns(spark):
     assert classifier.score(documents, classifier.fit(documents, labels.limit(0))).where("score = 0.5").count() == len(got)
 
 
+def test_each_of_many_languages_has_its_reference(spark, monkeypatch):
+    r = random.Random(12)
+    rows = []
+    for k in range(70):
+        own = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "abcdefgh"]
+        rows += [(10 * k + i, " ".join(r.choice(own) for _ in range(90)), f"l{k:02d}") for i in range(2 if k == 69 else 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    alone = {tuple(x) for x in quality_rules.judge(frame.where("lang = 'l69'")).collect()}
+    every = {x.doc_id: x for x in quality_rules.judge(frame).collect()}
+    assert alone == {tuple(x) for i, x in every.items() if i >= 690} and all(x.kept for x in every.values()) and len(every) == len(rows)
+    monkeypatch.setattr(quality_rules, "BROADCAST", 8)
+    assert {x.doc_id: x for x in quality_rules.judge(frame).collect()} == every
+
+
 def test_every_ngram_of_a_long_word_counts():
     r = random.Random(6)
     word = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(70_000))
