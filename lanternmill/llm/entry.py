@@ -23,7 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.SQL,
-        "op4_embedding_dedup": embed_dedup.query,
         "op5_url_filter": url_filter.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op7_line_dedup": line_dedup.SQL,

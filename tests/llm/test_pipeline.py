@@ -9,7 +9,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from lanternmill.llm import quality_rules, tokens  # noqa: E402
+from lanternmill.llm import entry, quality_rules, tokens  # noqa: E402
 from tests.llm.test_near_duplicates import brute_lines, plain_fingerprint, union_find  # noqa: E402
 
 
@@ -59,6 +59,10 @@ def test_stages_equal_plain_versions(spark, tables):
     assert max(filled.values()) <= 1024 and len(filled) <= sum(filled.values()) // 512 + 1
 
 
+def test_sql_twins_are_sql():
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def jaccard(x, y, size=5):
     cut = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}
     x, y = cut(x.split()), cut(y.split())
