@@ -1,14 +1,17 @@
 """Line deduplication by an exact set-similarity join, in DataFrame expressions.
 
-A line is the set of its lower-cased words. The words of a set are ordered by rarity: the class of how often words of
-the same hash bucket occur in the corpus, then the word's hash. Two sets of Jaccard similarity t or more share a word
-among the first of both; so each set is filed under its first words only, and of two sets filed together those pairs
-go on whose lengths, positions and 64-bit word maps still allow the similarity. They are verified on all their words.
-A line goes if an earlier line (by doc_id, then line number) is that similar; equal sets are similarity 1.
+A line is the set of its lower-cased words. The texts are split once: a saved table holds the word hashes of every
+line, and all later steps read it. The words of a set are ordered by rarity: the class of how often words of the same
+hash bucket occur in the corpus, then the word's hash. Two sets of Jaccard similarity t or more share a word among the
+first of both; so each set is filed under its first words only, and of two sets filed together those pairs go on whose
+lengths, positions and 128-bit word maps still allow the similarity. They are verified on all their words. A line goes
+if an earlier line (by doc_id, then line number) is that similar; equal sets are similarity 1.
 
 Large families of variants would give pairs with the square of their size, though one earlier match settles a line. So
-each set is first held against the earliest set with the same smallest, and the same largest, word hash, one candidate
-each; sets that this settles are no longer asked about in the join.
+each set is first held against the earliest set filed under the same word, one candidate for each of its first words;
+sets that this settles are no longer asked about in the join.
+
+Words are compared by 64-bit hashes, sets that count as equal by 128 bits.
 """
 
 from __future__ import annotations
@@ -21,8 +24,19 @@ from lanternmill.llm.quality_rules import let
 from lanternmill.llm.url_filter import Level
 
 #: Buckets of the table of word frequencies; it has a byte for each and goes into every plan.
-BUCKETS = 1 << 20
-_LOW = (1 << 58) - 1
+BUCKETS = 1 << 18
+#: Most words repeat: a Parquet dictionary of this size holds those of a file, so that a row has short numbers for its
+#: hashes.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
+#: A word's place in the order: its class of frequency in the bits above these, then its hash.
+_CLASS_BIT = 58
+#: With how many of its first words a set is held against the earliest set before the join.
+GUESSES = 6
+#: Words up to which a set's map has 64 bits.
+SHORT = 56
+_LOW = (1 << _CLASS_BIT) - 1
+_FIRST = -(1 << 63)  # stands for a null doc_id, which comes before all others
+
 
 def _flat(text: Column) -> Column:
     """Lower case; tabs and other white space but line breaks made spaces."""
@@ -31,150 +45,148 @@ def _flat(text: Column) -> Column:
     return F.when(other, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
-def rarity(documents: DataFrame) -> DataFrame:
-    """One row, `classes`: for each hash bucket, the base-2 logarithm of its number of words over all documents."""
-    words = documents.select(F.explode(F.split(F.replace(_flat(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("bucket")).agg(F.count("*").alias("n"))
-    classes = counts.select("bucket", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("class"))
-    every = classes.unionByName(documents.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).alias("class")))
-    dense = every.groupBy("bucket").agg(F.max("class").alias("class"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("tinyint")).alias("classes"))
-
-
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), flat: the lines that have a word."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("line", "flat"))
-    return rows.where(F.trim("flat") != "")
-
-
-def _keys(hashes: Column, classes: Column) -> Column:
-    """Distinct word hashes as ordered numbers: rarity class, then 58 bits of the hash."""
-    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
-
+def _words(documents: DataFrame) -> DataFrame:
+    """doc, line (from 0), words: the sorted distinct word hashes of the lines that have a word."""
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("line", "flat"))
+    hashes = F.transform(F.split("flat", " "), lambda w: F.xxhash64(w))
+    rows = rows.where(F.trim("flat") != "")
+    return rows.select("doc", "line", F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))).alias("words"))
 
-def _with_words(lines: DataFrame, classes: DataFrame, more: bool) -> DataFrame:
-    """doc_id, line, and a struct w of the line's distinct words: keys; with `more`, also the smallest and largest hash
-    and the word map, four numbers of 64 bits each.
 
-    The table of classes passes through a column, as a subquery may not stand in a lambda function. All is one
-    expression that names this column once, so the optimiser puts the projections together and no row holds the table.
-    """
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split("flat", " "), ""), lambda w: F.xxhash64(w)))
+def rarity(words: DataFrame) -> DataFrame:
+    """One row, `classes`: for each hash bucket, the base-2 logarithm of the number of lines with its words, 0 only if
+    that is one line or none."""
+    bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    counts = words.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
+    classes = counts.select("bucket", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("class"))
+    every = classes.unionByName(words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("class")))
+    dense = every.groupBy("bucket").agg(F.max("class").cast("tinyint").alias("class"))
 
-    def words(h: Column) -> Column:
-        parts = [_keys(h, F.col("_classes")).alias("keys")]
-        if more:
-            parts += [F.array_min(h).alias("low"), F.array_max(h).alias("high"), _map(h).alias("map")]
-        return F.struct(*parts)
+    def in_order(key: str, value: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
 
-    return lines.withColumn("_classes", classes.scalar()).select("doc_id", "line", let(hashes, words).alias("w"))
+    parts = dense.groupBy(F.shiftright("bucket", 9).alias("part")).agg(in_order("bucket", "class").alias("classes"))
+    return parts.agg(F.flatten(in_order("part", "classes")).alias("classes"))
 
 
-def _map(hashes: Column) -> Column:
-    """256 bits, of which each word flips one; so maps of long lines differ as clearly as those of short ones."""
+def _map(words: Column, half: int) -> Column:
+    """Half of 128 bits, of which each word flips one. A short set has all of them in the first half, folded."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-    quarter = lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(F.lit(3).cast("long"))
-    one = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda m, h: F.when(quarter(h) == k, m.bitwiseXOR(bit(h))).otherwise(m))
-    return F.array(*map(one, range(4)))
-
-
-_FIRST = -(1 << 63)  # stands for a null doc_id, which comes before all others
+    own, mask, none = F.lit(half << 57).cast("long"), F.lit(1 << 57).cast("long"), F.lit(0).cast("long")
+    short = none if half else F.aggregate(words, none, lambda m, h: m.bitwiseXOR(bit(h)))
+    return F.when(F.size(words) <= SHORT, short).otherwise(F.aggregate(words, none, lambda m, h: F.when(h.bitwiseAND(mask) == own, m.bitwiseXOR(bit(h))).otherwise(m)))
 
 
-def _place(doc_id: str, line: str) -> Column:
-    return F.struct(F.coalesce(F.col(doc_id), F.lit(_FIRST)).alias("doc"), F.col(line).alias("line"))
-
-
-def _could_match(threshold: float, wide: bool) -> Column:
-    """Whether sizes na, nb and word maps ma, mb of two sets allow the similarity: each bit in which the maps differ
-    takes a word that only one of the sets has. The wide map is an array of 64-bit numbers, the narrow one their XOR."""
-    na, nb, bits = F.col("na"), F.col("nb"), lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    differ = sum((bits(F.get("ma", F.lit(k)), F.get("mb", F.lit(k))) for k in range(1, 4)), bits(F.get("ma", F.lit(0)), F.get("mb", F.lit(0)))) if wide else bits(F.col("ma"), F.col("mb"))
+def _prefix(words: Column, classes: Column, threshold: float) -> Column:
+    """The rarest words, as numbers in the order of rarity, of which a set that similar has one too; none for a set so
+    short that only an equal one is similar."""
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    ordered = F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), _CLASS_BIT).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    n = F.size(words)
+    alone = n / (n + 1) < threshold - 1e-9
+    return F.when(alone, F.array().cast("array<long>")).otherwise(F.slice(ordered, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+
+
+def _sets(words: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """doc, line (of the earliest line), n, m0, m1, prefix of every distinct set."""
+    w = F.col("words")
+    # the table of classes passes through a column, as a subquery may not stand in a lambda function
+    rows = words.withColumn("classes", classes.scalar()).select(
+        F.struct("doc", "line").alias("place"), F.xxhash64("words").alias("s0"), F.xxhash64(F.lit(1), "words").alias("s1"),
+        F.size(w).alias("n"), _map(w, 0).alias("m0"), _map(w, 1).alias("m1"), _prefix(w, F.col("classes"), threshold).alias("prefix"),
+    )
+    out = rows.groupBy("s0", "s1", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("m0", "m1", "prefix")])
+    return out.select("place.doc", "place.line", "n", "m0", "m1", "prefix")
+
+
+def _could_match(threshold: float) -> Column:
+    """Whether sizes na, nb and word maps of two sets allow the similarity: each bit in which the maps differ takes a
+    word that only one of the sets has."""
+    na, nb = F.col("na"), F.col("nb")
+    x, y = F.col("m0a").bitwiseXOR(F.col("m0b")), F.col("m1a").bitwiseXOR(F.col("m1b"))
+    differ = F.when((na <= SHORT) | (nb <= SHORT), F.bit_count(x.bitwiseXOR(y))).otherwise(F.bit_count(x) + F.bit_count(y))
     return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (differ <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, lines: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """later: the later places of distinct pairs (later, earlier) that are similar on all their words.
-
-    The wide word maps go first. The words are read again for the lines in question; a Bloom filter keeps all other
-    lines out of the shuffle. Each later place is tried with its earliest partner; only those that this one does not
-    settle are tried with all others, so what is joined with words is a row a place in most cases.
-    """
-    maps = sets.select("place", "n", "map")
-    close = pairs.join(maps.toDF("later", "na", "ma"), "later").join(maps.toDF("earlier", "nb", "mb"), "earlier").where(_could_match(threshold, True))
-    close = scratch.Saved(close.select("later", "earlier"), "pairs").release().df
-    asked = scratch.saved(close.select(F.col("later").alias("place")).unionByName(close.select(F.col("earlier").alias("place"))).distinct(), "asked")
-    key = lambda doc, line: F.concat_ws(":", doc.cast("string"), line.cast("string"))
-    bloom = Level(asked.select(key(F.col("place.doc"), F.col("place.line")).alias("key")), max(1, asked.count()), 0.02, 11)
-    wanted = _with_words(lines.where(bloom.passes(key(F.coalesce("doc_id", F.lit(_FIRST)), F.col("line")))), classes, False)
-    words = scratch.saved(wanted.select(_place("doc_id", "line").alias("place"), "w.keys").join(asked, "place", "left_semi"), "words")
+def _filed(sets: DataFrame, *more: str) -> DataFrame:
+    """A row for each word among the first of a set: token, p (place in the order), own (struct of place and map). Words
+    that a single line has bring no sets together and are not filed."""
+    rows = sets.select(F.struct("doc", "line", "n", "m0", "m1").alias("own"), *more, F.posexplode("prefix").alias("p", "token"))
+    return rows.where(F.col("token") > _LOW)
 
-    def similar(some: DataFrame) -> DataFrame:
-        both = some.join(words.toDF("later", "ka"), "later").join(words.toDF("earlier", "kb"), "earlier")
-        enough = F.size(F.array_intersect("ka", "kb")) >= (F.size("ka") + F.size("kb")) * (threshold / (1 + threshold)) - 1e-9
-        return both.where(enough).select("later").distinct()
 
-    first = close.groupBy("later").agg(F.min("earlier").alias("earlier"))
-    found = scratch.saved(similar(first), "found")
-    rest = close.join(found, "later", "left_anti").join(first, ["later", "earlier"], "left_anti")
-    return found.unionByName(similar(rest))
+def _sides(a: str, b: str) -> list[Column]:
+    return [F.col(f"{own}.{c}").alias(c + side) for own, side in ((a, "a"), (b, "b")) for c in ("doc", "line", "n", "m0", "m1")]
 
 
-def _guesses(sets: DataFrame) -> DataFrame:
-    """later, earlier: each set with the earliest that has the same smallest hash, largest hash, first or second word in
-    the order of rarity; at most four pairs a set."""
-    keys = F.array("low", "high", F.get("prefix", F.lit(0)), F.get("prefix", F.lit(1)))
-    under = sets.select("place", F.posexplode(keys).alias("kind", "key")).where("key is not null")
-    earliest = under.groupBy("kind", "key").agg(F.min("place").alias("earlier"), F.count("*").alias("members")).where("members > 1")
-    met = under.select("kind", "key", F.col("place").alias("later")).join(earliest, ["kind", "key"])
-    return met.where("later > earlier").select("later", "earlier")
+def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier, with repeats: sets, for each of their first words, with the earliest that has this word among its
+    first, if the two could be similar. Both steps can be split where a word is hot."""
+    filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES)))
+    earliest = filed.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("members")).where("members > 1").select("token", "first")
+    pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where((F.struct("doca", "linea") > F.struct("docb", "lineb")) & _could_match(threshold))
+    return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
 def _met(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
     """later, earlier, with repeats: sets that share a word among their first and could be similar, where the later one
     isn't settled."""
-    narrow = F.get("map", F.lit(0))
-    for k in range(1, 4):
-        narrow = narrow.bitwiseXOR(F.get("map", F.lit(k)))
-    flagged = sets.join(settled.withColumnRenamed("later", "place").withColumn("done", F.lit(True)), "place", "left")
-    filed = flagged.select(F.col("place.doc").alias("d"), F.col("place.line").alias("l"), "n", narrow.alias("m"), F.col("done").isNull().alias("o"), F.posexplode("prefix").alias("p", "token"))
-    a, b = filed.toDF("da", "la", "na", "ma", "oa", "pa", "token"), filed.toDF("db", "lb", "nb", "mb", "ob", "pb", "token")
+    flagged = sets.join(settled.select("later.*", F.lit(True).alias("done")), ["doc", "line"], "left")
+    filed = _filed(flagged.withColumn("open", F.col("done").isNull()), "open").select("token", "p", "open", "own.*")
+    a, b = (filed.select("token", *[F.col(c).alias(c + side) for c in ("doc", "line", "n", "m0", "m1", "open", "p")]) for side in "ab")
     never = F.col("na") < F.col("nb") - (1 << 30)  # keeps conditions from being one side's, so that both sides share one exchange
-    a_later = F.struct("da", "la") > F.struct("db", "lb")
+    a_later = F.struct("doca", "linea") > F.struct("docb", "lineb")
     indexed = F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9)
     together = a.join(b, "token").where(
         ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & a_later))
+        & _could_match(threshold)
         & (indexed | never)
-        & F.when(a_later, F.col("oa")).otherwise(F.col("ob"))
+        & F.when(a_later, F.col("opena")).otherwise(F.col("openb"))
         & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-        & _could_match(threshold, False)
     )
-    one, two = F.struct(F.col("da").alias("doc"), F.col("la").alias("line")), F.struct(F.col("db").alias("doc"), F.col("lb").alias("line"))
+    one, two = F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line"))
     return together.select(F.when(a_later, one).otherwise(two).alias("later"), F.when(a_later, two).otherwise(one).alias("earlier"))
 
 
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """later: the later places of distinct pairs (later, earlier) that are similar on all their words.
+
+    A Bloom filter keeps the words of lines that nothing asks about out of the shuffle. Each later place is tried with
+    its earliest partner; only those that this one does not settle are tried with all others, so what is joined with
+    words is a row a place in most cases.
+    """
+    pairs = scratch.saved(pairs.distinct(), "pairs")
+    asked = scratch.saved(pairs.select(F.col("later").alias("place")).unionByName(pairs.select(F.col("earlier").alias("place"))).distinct(), "asked")
+    key = lambda doc, line: F.xxhash64(doc, line)  # noqa: E731  a number for a place; equal ones only let a row more through
+    bloom = Level(asked.select(key(F.col("place.doc"), F.col("place.line")).alias("key")), max(1, asked.count()), 0.02, 11)
+    wanted = words.where(bloom.passes(key(F.col("doc"), F.col("line")))).select(F.struct("doc", "line").alias("place"), "words")
+    wanted = scratch.saved(wanted.join(asked, "place", "left_semi"), "words")
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.join(wanted.toDF("later", "wa"), "later").join(wanted.toDF("earlier", "wb"), "earlier")
+        enough = F.size(F.array_intersect("wa", "wb")) >= (F.size("wa") + F.size("wb")) * (threshold / (1 + threshold)) - 1e-9
+        return both.where(enough).select("later").distinct()
+
+    first = pairs.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    found = scratch.saved(similar(first), "found")
+    rest = pairs.join(found, "later", "left_anti").join(first, ["later", "earlier"], "left_anti")
+    return found.unionByName(similar(rest))
+
+
 def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
-    """doc, kept: by document, the numbers of the lines that no earlier line is similar to."""
+    """doc, top, bits: by document, the numbers of the lines that no earlier line is similar to, as set bits of numbers
+    (place, value) of 64 bits each, and the largest place."""
     with scratch.passing():
-        classes = scratch.saved(rarity(documents), "rarity")
-        lines = _lines(documents)
-        n, least = F.col("n"), lambda n, t: F.ceil(n * t - 1e-9).cast("int")
-        alone = n / (n + 1) < threshold - 1e-9  # so short that only an equal set is similar
-        prefix = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("w.keys", 1, n - least(n, threshold) + 1))
-        sets = _with_words(lines, classes, True).select(_place("doc_id", "line").alias("place"), F.xxhash64("w.keys").alias("sid"), F.size("w.keys").alias("n"), "w")
-        sets = sets.select("place", "sid", "n", "w.map", "w.low", "w.high", prefix.alias("prefix")).groupBy("sid", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("map", "low", "high", "prefix")])
-        sets = scratch.Saved(sets.drop("sid"), "sets").release().df
-
-        guesses = _guesses(sets)
-        settled = scratch.Saved(_verified(guesses.distinct(), sets, lines, classes, threshold), "settled").release().df
-
-        found = _met(sets, settled, threshold).distinct()
-        found = scratch.Saved(found, "met").release().df
-        matched = scratch.Saved(_verified(found, sets, lines, classes, threshold), "matched").release().df
-        kept = sets.select("place").join(settled.unionByName(matched).withColumnRenamed("later", "place"), "place", "left_anti")
-        kept = kept.groupBy("place.doc").agg(F.sort_array(F.collect_list("place.line")).alias("kept"))
-        return scratch.keep(scratch.Saved(kept, "kept")).release().df
+        words = scratch.Saved(_words(documents), "words", **DICTIONARY).df
+        classes = scratch.saved(rarity(words), "rarity")
+        sets = scratch.saved(_sets(words, classes, threshold), "sets")
+        settled = scratch.saved(_verified(_guesses(sets, threshold), words, threshold), "settled")
+        matched = scratch.saved(_verified(_met(sets, settled, threshold), words, threshold), "matched")
+        kept = sets.select("doc", "line").join(settled.unionByName(matched).select("later.*"), ["doc", "line"], "left_anti")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line").bitwiseAND(63))
+        bits = kept.groupBy("doc", F.shiftright("line", 6).alias("at")).agg(F.bit_or(one).alias("value"))
+        bits = bits.groupBy("doc").agg(F.max("at").alias("top"), F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("bits"))
+        return scratch.keep(scratch.Saved(bits, "kept")).df
 
 
 def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -186,12 +198,16 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     kept = first_lines(documents, threshold)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.struct(*documents.columns).alias("row"))
     joined = rows.join(kept, "doc", "left")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("w")))
-    none = F.array().cast("array<int>")
-    left = F.filter("lines", lambda s: ~s["w"] | F.array_contains(F.coalesce("kept", none), s["i"]))
-    joined = joined.select("row", "kept", numbered.alias("lines")).select("row", "lines", left.alias("left"))
-    with_word = lambda c: F.coalesce(F.size(F.filter(c, lambda s: s["w"])), F.lit(0)).cast("long")
-    text = F.when(F.col("row.text").isNotNull(), F.array_join(F.transform("left", lambda s: s["x"]), "\n"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda at: F.coalesce(F.element_at("bits", at), F.lit(0).cast("long")))
+
+    def marked(bits: Column) -> Column:
+        stays = lambda i: F.coalesce(F.getbit(F.get(bits, F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
+        return F.transform(F.split("text", "\n"), lambda x, i: let(F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "", lambda w: F.struct(x.alias("x"), w.alias("w"), (~w | stays(i)).alias("s"))))
+
+    joined = joined.select("row", let(F.when(F.col("top").isNotNull(), dense), marked).alias("lines"))
+    joined = joined.select("row", "lines", F.filter("lines", lambda x: x["s"]).alias("left"))
+    with_word = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x["w"])), F.lit(0)).cast("long")
+    text = F.when(F.col("row.text").isNotNull(), F.array_join(F.transform("left", lambda x: x["x"]), "\n"))
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, with_word("lines").alias("n_lines"), (with_word("lines") - with_word("left")).alias("n_removed"))
 

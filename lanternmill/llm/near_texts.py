@@ -106,24 +106,24 @@ def repeats(documents: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
         key = Window.partitionBy("key")
         filed = rows.select("node", "n", F.explode("prefix").alias("key")).withColumn("low", F.min(F.struct("node", "n")).over(key)).withColumn("high", F.max("node").over(key))
         filed = filed.where("low.node <> high").select("key", "node", "n", F.col("low.node").alias("a"), F.col("low.n").alias("m"))
-        filed = scratch.Saved(filed.distinct(), "filed").release().df
+        filed = scratch.Saved(filed.distinct(), "filed").df
 
         def similar(pairs: DataFrame) -> DataFrame:
             """The pairs a, b whose whole sets are similar enough."""
             pairs = scratch.saved(pairs, "pairs")
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW)).alias("row")).select("node", "row.*")
-            sets = scratch.Saved(documents.select(*ROW, "text").join(one, ROW).select("node", "text").mapInArrow(whole, "node long, hashes array<long>"), "sets").release().df
+            sets = scratch.Saved(documents.select(*ROW, "text").join(one, ROW).select("node", "text").mapInArrow(whole, "node long, hashes array<long>"), "sets").df
             both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
             rated = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
             found = rated.where(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= threshold).select("a", "b")
-            return scratch.Saved(found, "links").release().df
+            return scratch.Saved(found, "links").df
 
         stars = filed.where("a <> node").groupBy("a", "node", "n", "m").agg(F.count("*").alias("k")).where(_may_fit("k", "n", "m", threshold))
         links = similar(stars.groupBy("node").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", F.col("node").alias("b")))
         named = filed.select("key", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         crossed = named.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low <> high")
-        crossed = scratch.Saved(crossed.select("key", "node", "n", "root"), "crossed").release().df
+        crossed = scratch.Saved(crossed.select("key", "node", "n", "root"), "crossed").df
         other = crossed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
         pairs = crossed.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")))
         pairs = pairs.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("k")).where(_may_fit("k", "n", "m", threshold))
@@ -132,4 +132,4 @@ def repeats(documents: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
         firsts = placed.groupBy("root").agg(F.min(order).alias("first"))
         gone = placed.join(firsts, "root").where((F.col("first._file") != F.col("_file")) | (F.col("first._at") != F.col("_at")))
-        return scratch.keep(scratch.Saved(gone.select(*ROW), "copies").release()).df
+        return scratch.keep(scratch.Saved(gone.select(*ROW), "copies")).df

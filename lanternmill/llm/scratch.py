@@ -7,12 +7,12 @@ one read and not a recomputation of every round.
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: str | None = None
 _open: list[list[Saved]] = []
 
@@ -34,24 +34,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _without_shuffle_files(spark: SparkSession):
+    """Spark removes the shuffle files of what runs within when it has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 class Saved:
-    """A table written once: `df` reads it, `drop()` deletes it when nothing needs it any more."""
+    """A table written once, with options of the writer: `df` reads it, `drop()` deletes it when nothing needs it any more.
 
-    def __init__(self, df: DataFrame, name: str):
+    The shuffle files behind it go as soon as it is written: whatever reads it later reads its files.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        with _without_shuffle_files(self.spark):
+            df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         if _open:
             _open[-1].append(self)
 
-    def release(self) -> "Saved":
-        """Lets Spark delete the shuffle files of the plans behind tables that are saved by now: it does so once the
-        driver has collected what refers to them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return self
-
     def drop(self) -> None:
         delete(self.spark, self.path)
 

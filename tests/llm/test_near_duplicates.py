@@ -183,6 +183,24 @@ def test_lines_equal_brute_force(spark, threshold):
     assert line_dedup.remove_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_long_lines_many_lines_and_families_equal_brute_force(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[r.choice(words) for _ in range(n)] for n in (4, 5, 40, 55, 56, 57, 60, 70, 120, 300)]
+    rows = []
+    for i in range(12):
+        lines = []
+        for _ in range(90):
+            own = list(r.choice(base))
+            for _ in range(r.randint(0, max(1, len(own) // 8))):
+                own[r.randrange(len(own))] = r.choice(words)
+            lines += [" ".join(own), ""]
+        rows.append((i, "\n".join(lines)))
+    got = line_dedup.remove_lines(docs(spark, rows)).collect()
+    assert {x.doc_id: x.text for x in got} == brute_lines(rows, 0.8)
+    assert all(x.n_lines == 90 and x.n_removed for x in got[1:])
+
+
 def test_rows_that_share_a_doc_id_do_not_crash(spark):
     out = line_dedup.remove_lines(docs(spark, [(1, "a b c d\nz"), (1, "a b c d\nz"), (2, "z\nq")])).collect()
     assert sorted((x.doc_id, x.text) for x in out) == [(1, "a b c d\nz"), (1, "a b c d\nz"), (2, "q")]
