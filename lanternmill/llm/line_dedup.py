@@ -128,11 +128,16 @@ def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
-def _met(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+def _flagged(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """The sets with a column open: whether settled lacks them. Both grow with the input, so neither is broadcast."""
+    done = settled.select("later.*", F.lit(True).alias("done")).hint("merge")
+    return sets.join(done, ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
+
+
+def _met(sets: DataFrame, threshold: float) -> DataFrame:
     """later, earlier, with repeats: sets that share a word among their first and could be similar, where the later one
-    isn't settled."""
-    flagged = sets.join(settled.select("later.*", F.lit(True).alias("done")), ["doc", "line"], "left")
-    filed = _filed(flagged.withColumn("open", F.col("done").isNull()), "open").select("token", "p", "open", "own.*")
+    is open."""
+    filed = _filed(sets, "open").select("token", "p", "open", "own.*")
     a, b = (filed.select("token", *[F.col(c).alias(c + side) for c in ("doc", "line", "n", "m0", "m1", "open", "p")]) for side in "ab")
     never = F.col("na") < F.col("nb") - (1 << 30)  # keeps conditions from being one side's, so that both sides share one exchange
     a_later = F.struct("doca", "linea") > F.struct("docb", "lineb")
@@ -179,10 +184,12 @@ def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
     with scratch.passing():
         words = scratch.Saved(_words(documents), "words", **DICTIONARY).df
         classes = scratch.saved(rarity(words), "rarity")
-        sets = scratch.saved(_sets(words, classes, threshold), "sets")
-        settled = scratch.saved(_verified(_guesses(sets, threshold), words, threshold), "settled")
-        matched = scratch.saved(_verified(_met(sets, settled, threshold), words, threshold), "matched")
-        kept = sets.select("doc", "line").join(settled.unionByName(matched).select("later.*"), ["doc", "line"], "left_anti")
+        sets = scratch.Saved(_sets(words, classes, threshold), "sets")
+        settled = scratch.saved(_verified(_guesses(sets.df, threshold), words, threshold), "settled")
+        flagged = scratch.saved(_flagged(sets.df, settled), "flagged")
+        sets.drop()
+        matched = scratch.saved(_verified(_met(flagged, threshold), words, threshold), "matched")
+        kept = flagged.where("open").select("doc", "line").join(matched.select("later.*").hint("merge"), ["doc", "line"], "left_anti")
         one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line").bitwiseAND(63))
         bits = kept.groupBy("doc", F.shiftright("line", 6).alias("at")).agg(F.bit_or(one).alias("value"))
         bits = bits.groupBy("doc").agg(F.max("at").alias("top"), F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("bits"))
@@ -197,7 +204,7 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     kept = first_lines(documents, threshold)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.struct(*documents.columns).alias("row"))
-    joined = rows.join(kept, "doc", "left")
+    joined = rows.join(kept.hint("merge"), "doc", "left")  # a row a document
     dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda at: F.coalesce(F.element_at("bits", at), F.lit(0).cast("long")))
 
     def marked(bits: Column) -> Column:
