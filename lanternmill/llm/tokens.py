@@ -66,14 +66,15 @@ class _Chunks(dict):
 class Encoder:
     """`encode(text)` gives a text's ids as little-endian unsigned 32-bit bytes.
 
-    The strings of special tokens within a text are ordinary text. A null text counts as empty.
+    Texts that hold the string of a special token are encoded whole, as the library finds these strings first. A null
+    text counts as empty.
     """
 
     def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.most = cache_entries
         self._words, self._heads = _Chunks(self, " "), _Chunks(self, "")
@@ -100,7 +101,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\n \n" in text or text.endswith("\n ") or _OTHER_SPACE.search(text):
+        if "  " in text or "\n \n" in text or text.endswith("\n ") or _OTHER_SPACE.search(text) or any(map(text.__contains__, self.special)):
             return self._whole(text)
         head, *rest = text.split(" ")
         words = self._words
