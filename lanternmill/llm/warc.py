@@ -1,7 +1,8 @@
 """WARC archives as a Spark data source, format "warc", for reading and writing.
 
 Writing: a task writes one .warc.gz, a gzip member a record, with an index of the members beside it; the commit lists
-the files that count in _files.json. Reading: the driver plans parts of files from their sizes and indexes; a task
+the files that count in a manifest of its own, _files-*.json, and readers take all of them, so folders can be added
+to. Reading: the driver plans parts from the sizes of files and indexes alone; a task reads its part of the index and
 decodes each record's head first and tests it against the pushed filters; only a record that passes is decoded in
 full, and only if its payload is asked for. Archives of other writers (.warc or .warc.gz, no index) are read too, a
 file a task.
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,9 +66,9 @@ def _parse(lines: bytes) -> dict[str, str]:
 @dataclass
 class Part(InputPartition):
     path: str
-    members: list[tuple[int, int]] | None  # None: the whole file, members unknown
+    members: tuple[int, int] | None  # first and one past the last in the index; None: the whole file, members unknown
 
-    def __init__(self, path: str, members: list[tuple[int, int]] | None):
+    def __init__(self, path: str, members: tuple[int, int] | None):
         self.path, self.members = path, members
 
 
@@ -111,6 +113,15 @@ class _Unpacked:
         return b"".join(parts)
 
 
+def _manifests(names) -> list[str]:
+    return sorted(n for n in names if n.startswith("_files-") and n.endswith(".json"))
+
+
+def _names(fs, path: str) -> list[str]:
+    with fs.open_input_stream(path, compression=None) as s:
+        return json.loads(s.read())
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
@@ -140,9 +151,8 @@ class WarcReader(DataSourceReader):
         from pyarrow.fs import FileSelector
 
         found = {f.base_name: f.size for f in fs.get_file_info(FileSelector(at)) if f.is_file}
-        if "_files.json" in found:
-            with fs.open_input_stream(f"{at}/_files.json", compression=None) as s:
-                names = json.loads(s.read())
+        if manifests := _manifests(found):
+            names = sorted(n for m in manifests for n in _names(fs, f"{at}/{m}"))
         else:
             names = sorted(n for n in found if n.endswith((".warc", ".warc.gz")))
         parts: list[Part] = []
@@ -150,14 +160,9 @@ class WarcReader(DataSourceReader):
             if f"{name}.idx" not in found:
                 parts.append(Part(name, None))
                 continue
-            with fs.open_input_stream(f"{at}/{name}.idx", compression=None) as s:
-                members = list(_MEMBER.iter_unpack(s.read()))
-            first, total = 0, 0
-            for k, (_, length) in enumerate(members):
-                total += length
-                if total >= self.part_bytes or k + 1 == len(members):
-                    parts.append(Part(name, members[first : k + 1]))
-                    first, total = k + 1, 0
+            n = found[f"{name}.idx"] // _MEMBER.size
+            step = max(1, -(-n // max(1, -(-found[name] // self.part_bytes))))
+            parts += [Part(name, (first, min(n, first + step))) for first in range(0, n, step)]
         return parts
 
     def _row(self, head: dict[str, str]) -> dict:
@@ -198,15 +203,17 @@ class WarcReader(DataSourceReader):
                     if wanted:
                         yield self._finish(row, block, "application/http" in head.get("content-type", ""))
             return
+        with fs.open_input_file(f"{at}/{part.path}.idx") as stream:
+            stream.seek(part.members[0] * _MEMBER.size)
+            members = np.frombuffer(stream.read((part.members[1] - part.members[0]) * _MEMBER.size), "<u8").reshape(-1, 2)
         with fs.open_input_file(f"{at}/{part.path}") as stream:
             first = 0
-            while first < len(part.members):  # neighbours in one read of about 4 MB
-                start, last = part.members[first][0], first
-                while last + 1 < len(part.members) and sum(part.members[last + 1]) - start <= 4 << 20:
-                    last += 1
+            while first < len(members):  # neighbours in one read of about 4 MB
+                start = int(members[first, 0])
+                last = max(first, int(np.searchsorted(members[:, 0] + members[:, 1], start + (4 << 20), "right")) - 1)
                 stream.seek(start)
-                held = memoryview(stream.read(sum(part.members[last]) - start))
-                for offset, length in part.members[first : last + 1]:
+                held = memoryview(stream.read(int(members[last].sum()) - start))
+                for offset, length in members[first : last + 1].tolist():
                     member = held[offset - start : offset - start + length]
                     gz = zlib.decompressobj(31)
                     text = gz.decompress(member, 2048)
@@ -243,8 +250,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Takes record_id, record_type, target_uri, refers_to, payload (null: empty)."""
 
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"].rstrip("/"), int(options.get("level", 1))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"].rstrip("/"), int(options.get("level", 1)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -273,8 +280,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, at = scratch.file_system(self.path)
         fs.create_dir(at, recursive=True)
-        with fs.open_output_stream(f"{at}/_files.json", compression=None) as out:
+        from pyarrow.fs import FileSelector
+
+        old = _manifests(f.base_name for f in fs.get_file_info(FileSelector(at)) if f.is_file) if self.overwrite else []
+        with fs.open_output_stream(f"{at}/_files-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(m.name for m in messages if m is not None and m.name)).encode())
+        for manifest in old:
+            gone = _names(fs, f"{at}/{manifest}")
+            for name in (manifest, *gone, *[f"{n}.idx" for n in gone]):
+                fs.delete_file(f"{at}/{name}")
 
     def abort(self, messages: list) -> None:
         fs, at = scratch.file_system(self.path)
@@ -296,7 +310,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -310,12 +324,14 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
-    """Writes a record per row of page_id, url, html to a new folder.
+    """Writes a record per row of page_id, url, html to a folder, beside what is there; payloads are held against those
+    of this call alone.
 
     Of rows with equal payloads of at least `min_bytes` bytes, the one with the largest page_id is a response and the
     others revisit it. A null html is an empty payload; a null url has no target; a null page_id is below all others,
-    and rows that tie for the largest are all responses. Only digests are shuffled: the table of repeated digests is
-    saved first, so that Spark broadcasts it where its size allows and else joins by shuffle.
+    and rows that tie for the largest are all responses. Extra columns are not read; an empty table adds nothing. The
+    table of repeated digests is saved first, so that Spark broadcasts it where its size allows; beyond that, rows are
+    shuffled by digest for the join.
     """
     register(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
