@@ -3,13 +3,18 @@
 A rotation of the principal axes is learned so that the signs of rotated vectors lose as little as possible; the signs
 are the binary code. Several such rotations, from different starts, give a code of several hundred bits. The code is
 cut into substrings, one for each table: vectors of the same label that agree in a substring meet in a cell of that
-table. Members of a cell are compared by their original vectors in double precision, so no pair below the threshold is
+table. Substrings grow with the logarithm of the rows, and tables with them, so that cells stay small and a pair at the
+threshold meets as surely at any size.
+
+Members of a cell are first compared by a part of their codes, in Hamming distance; only members with a neighbour within
+a wide radius fetch their original vectors, which are compared in double precision. So no pair below the threshold is
 linked; a pair that meets in several tables counts in the first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +30,11 @@ from lanternmill.llm.runs import whole_runs
 
 #: Vectors of a cell in a block; larger cells are compared block by block.
 BLOCK = 1024
+#: 64-bit words of the code that are compared before vectors are, and the differing bits up to which a pair goes on.
+SKETCH, RADIUS = 4, 64
+#: Rows of a cell, if all were alike, from which substrings have more bits; the fewest bits; and how likely a pair at
+#: the threshold may miss every table, if bits were independent.
+CELL, SUBSTRING, MISS = 16, 12, 6.5e-5
 
 
 def itq(vectors: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +61,46 @@ class Index:
     tables: int
     substring: int
 
+    @property
+    def bits(self) -> int:
+        return max(self.tables * self.substring, 64 * SKETCH)
+
     def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """A row of table keys for each vector."""
+        """A row of table keys for each vector, then SKETCH numbers of its code."""
         dim = vectors.shape[1]
         models = self.models.get(dim)
         if models is None:  # none in the sample: rotations that aren't fitted
-            models = [(np.zeros(dim), np.linalg.qr(np.random.default_rng([dim, r]).standard_normal((dim, dim)))[0]) for r in range(-(-self.tables * self.substring // dim))]
+            models = [(np.zeros(dim), np.linalg.qr(np.random.default_rng([dim, r]).standard_normal((dim, dim)))[0]) for r in range(-(-self.bits // dim))]
         bits = np.concatenate([(vectors - mean) @ projection >= 0 for mean, projection in models], axis=1)
-        while bits.shape[1] < self.tables * self.substring:  # vectors of so few dimensions have codes that repeat
+        while bits.shape[1] < self.bits:  # vectors of so few dimensions have codes that repeat
             bits = np.concatenate([bits, bits], axis=1)
+        sketch = np.ascontiguousarray(np.packbits(bits[:, : 64 * SKETCH], axis=1)).view(np.int64)
         bits = bits[:, : self.tables * self.substring].reshape(len(vectors), self.tables, self.substring)
-        return bits @ (1 << np.arange(self.substring, dtype=np.int64))
+        return np.concatenate([bits @ (1 << np.arange(self.substring, dtype=np.int64)), sketch], axis=1)
+
+
+def tables_for(rows: int, threshold: float) -> tuple[int, int]:
+    """(tables, bits of a substring) for so many rows."""
+    substring = max(SUBSTRING, math.ceil(math.log2(max(1, rows) / CELL)))
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** substring
+    return math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1, substring
+
+
+def _near(sketches: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Whether rows a to b are within the radius of each row."""
+    own = np.zeros((b - a, len(sketches)), np.int16)
+    for w in range(sketches.shape[1]):
+        own += np.bitwise_count(sketches[a:b, w, None] ^ sketches[None, :, w])
+    return own <= RADIUS
 
 
 def fit(vectors: list[np.ndarray], tables: int, substring: int) -> Index:
-    models = {}
+    index = Index({}, tables, substring)
     for dim in Counter(map(len, vectors)):
         own = np.array([v for v in vectors if len(v) == dim])
         if len(own) >= 2 * dim:
-            models[dim] = [itq(own, dim, seed=r) for r in range(-(-tables * substring // dim))]
-    return Index(models, tables, substring)
+            index.models[dim] = [itq(own, dim, seed=r) for r in range(-(-index.bits // dim))]
+    return index
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +110,10 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in batch["embedding"]:
             v = v.as_py()
             x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
-            norm = float(np.sqrt(x @ x)) if len(x) and np.isfinite(x).all() else 0.0
-            if norm > 0 and not np.isfinite(norm):
-                x = x / np.abs(x).max()
-                norm = float(np.sqrt(x @ x))
+            most = float(np.abs(x).max()) if len(x) and np.isfinite(x).all() else 0.0
+            if most and not 1e-100 < most < 1e100:  # squares would leave the range of doubles
+                x = np.ldexp(x, -np.frexp(most)[1])
+            norm = float(np.sqrt(x @ x)) if most else 0.0
             digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if norm > 0 else None)
             units.append((x / norm).tobytes() if norm > 0 else None)
         yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "label", "digest", "unit"])
@@ -93,7 +123,24 @@ def _matrix(units: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), -1)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tables: int = 16, substring: int = 12, sample: int = 8192) -> DataFrame:
+def _units(units: pa.ChunkedArray, group: np.ndarray) -> np.ndarray:
+    """The unit vectors as rows, filled with zeros where lengths differ (only vectors of one group are compared)."""
+    raw = units.to_pylist()
+    out = np.zeros((len(raw), max(map(len, raw)) // 8))
+    if len(np.unique(group)) == 1:
+        return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    for k, r in enumerate(raw):
+        out[k, : len(r) // 8] = np.frombuffer(r, np.float64)
+    return out
+
+
+def _cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """Cosines of pairs of rows, a bounded number at once."""
+    parts = [np.einsum("ij,ij->i", x[i[a : a + at_once]], x[j[a : a + at_once]]) for a in range(0, len(i), at_once)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, sample: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Vectors are compared if their labels are equal and not null and their lengths are equal. A vector that is null,
@@ -102,8 +149,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tables: int
     and counts last in its component. The index is fitted on at most `sample` distinct vectors, those with the smallest
     digests, and holds every vector.
 
-    Only cells with two vectors or more are gathered; large cells are compared in tiles of two blocks, and a tile gives
-    a count for each member and a spanning forest of its links, not the pairs.
+    Only cells with two vectors or more are gathered, and of these only members with a neighbour by code are gathered
+    with their vectors; large cells are compared in tiles of two blocks, and a tile gives a count for each member and a
+    spanning forest of its links, not the pairs.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -114,58 +162,84 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, tables: int
     groups = linkable.groupBy("label", "digest").agg(F.min(F.coalesce("vec_id", F.lit((1 << 63) - 1))).alias("first"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     distinct = scratch.saved(groups.withColumn("id", F.monotonically_increasing_id()), "distinct")
     picked = distinct.select("unit").orderBy(F.xxhash64("digest", "label")).limit(sample)
+    tables, substring = tables_for(distinct.count(), threshold)
     index = fit([np.frombuffer(r.unit, np.float64) for r in picked.collect()], tables, substring)
+    width = tables + SKETCH
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(u) for u in batch["unit"].to_pylist()]) if batch.num_rows else np.zeros(0, int)
-            keys = np.zeros((batch.num_rows, tables), np.int64)
+            keys = np.zeros((batch.num_rows, width), np.int64)
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 keys[own] = index.keys(_matrix(batch["unit"].take(pa.array(own))))
-            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
+            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, width, dtype=np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["n"], batch["unit"], flat], names=["id", "label", "n", "unit", "keys"])
 
     coded = scratch.saved(distinct.select("id", "label", "n", "unit").mapInArrow(code, "id long, label string, n long, unit binary, keys array<long>"), "codes")
-    dim = F.octet_length("unit").alias("dim")
-    cells = coded.select("label", dim, F.posexplode("keys").alias("at", "key")).groupBy("label", "dim", "at", "key").agg(F.count("*").alias("members")).where("members > 1")
-    met = coded.select("id", "label", dim, "n", "unit", "keys", F.posexplode("keys").alias("at", "key")).join(scratch.saved(cells, "cells"), ["label", "dim", "at", "key"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # cells are told apart by a hash; the label and key columns stay in it, and equal hashes of two cells only cost a comparison
-    tile = F.xxhash64("label", "dim", "at", "key", F.least("block", "other"), F.greatest("block", "other"))
-    tiles = dealt.select(tile.alias("tile"), "at", "key", "label", "dim", "block", (F.col("block") != F.col("other")).alias("crossed"), "id", "n", "unit", "keys")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_runs(batches, ["tile", "at", "key", "label", "dim"], 4096):
-            ids, n, block = (table[c].to_numpy() for c in ("id", "n", "block"))
-            crossed, at, units = table["crossed"].to_numpy(), table["at"].to_numpy(), table["unit"]
-            keys = table["keys"].combine_chunks()
-            keys = keys.flatten().to_numpy().reshape(len(ids), tables)
-            links, roots = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-                if b - a < 2:
-                    continue
-                x = _matrix(units.slice(a, b - a).combine_chunks())
-                close = x @ x.T >= threshold
-                np.fill_diagonal(close, False)
-                if crossed[a]:
-                    close &= block[a:b, None] != block[None, a:b]
-                i, j = np.nonzero(close)
-                for t in range(int(at[a])):  # a pair counts in the first table where it meets
-                    if not len(i):
-                        break
-                    new = keys[a + i, t] != keys[a + j, t]
+    # cells are told apart by a hash of all that makes them; equal hashes of two cells would only cost comparisons, as
+    # pairs are held against labels, lengths and keys too
+    group = F.xxhash64("label", F.octet_length("unit")).alias("group")
+    sketches = [F.get("keys", F.lit(tables + k)).alias(f"s{k}") for k in range(SKETCH)]
+    filed = coded.select("id", group, *sketches, F.posexplode(F.slice("keys", 1, tables)).alias("at", "key"))
+    filed = filed.select("id", "group", "at", F.xxhash64("group", "at", "key").alias("cell"), *[f"s{k}" for k in range(SKETCH)])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def tiled(rows: DataFrame, *columns: str) -> DataFrame:
+        """The rows of cells with two or more, in tiles of two blocks, sorted by tile."""
+        cells = scratch.saved(rows.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1"), "cells")
+        dealt = rows.join(cells, "cell").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tile = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
+        dealt = dealt.select(tile, "cell", "id", "group", "at", "block", (F.col("block") != F.col("other")).alias("crossed"), *columns)
+        return dealt.repartition(parts, "tile").sortWithinPartitions("tile", "cell", "id")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+        for table, starts in whole_runs(batches, ["tile", "cell"], 4096):
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                if b - a > 1:
+                    yield table.slice(a, b - a).combine_chunks(), a, b
+
+    def candidates(near: np.ndarray, table: pa.Table, a: int, b: int) -> np.ndarray:
+        """near without pairs of a row with itself, of two groups, and of one block where a tile has two."""
+        group, block = table["group"].to_numpy(), table["block"].to_numpy()
+        near &= group[a:b, None] == group[None, :]
+        if table["crossed"][0].as_py():
+            near &= block[a:b, None] != block[None, :]
+        near[np.arange(b - a), np.arange(a, b)] = False
+        return near
+
+    def by_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _, _ in runs(batches):
+            s = np.stack([table[f"s{k}"].to_numpy() for k in range(SKETCH)], axis=1)
+            some = np.concatenate([candidates(_near(s, a, min(a + 256, len(s))), table, a, min(a + 256, len(s))).any(axis=1) for a in range(0, len(s), 256)])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(table[c].to_numpy()[some]) for c in ("id", "at", "cell")], names=["id", "at", "cell"])
+
+    def by_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _, _ in runs(batches):
+            ids, n, at = (table[c].to_numpy() for c in ("id", "n", "at"))
+            keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), width)
+            links, left, right = np.zeros(len(ids), np.int64), [], []
+            x = _units(table["unit"], table["group"].to_numpy())
+            for a in range(0, len(ids), 256):
+                i, j = np.nonzero(candidates(_near(keys[:, tables:], a, min(a + 256, len(ids))), table, a, min(a + 256, len(ids))))
+                i += a
+                for t in range(int(at[0])):  # a pair counts in the first table where it meets
+                    new = keys[i, t] != keys[j, t]
                     i, j = i[new], j[new]
-                links[a:b] += np.bincount(i, weights=n[a + j], minlength=b - a).astype(np.int64)
-                if len(i):
-                    roots[a:b] = a + find_roots(i, j, b - a)
+                good = _cosines(x, i, j) >= threshold
+                i, j = i[good], j[good]
+                links += np.bincount(i, weights=n[j], minlength=len(ids)).astype(np.int64)
+                left.append(i)
+                right.append(j)
             some = np.flatnonzero(links)
+            roots = find_roots(np.concatenate(left), np.concatenate(right), len(ids))
             yield pa.RecordBatch.from_pydict({"id": ids[some], "links": links[some], "root": ids[roots[some]]})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "at", "key", "label", "dim").mapInArrow(compare, "id long, links long, root long")
+    near = scratch.saved(tiled(filed, *[f"s{k}" for k in range(SKETCH)]).mapInArrow(by_code, "id long, at int, cell long").distinct(), "neighbours")
+    fetched = near.join(coded.select("id", group, "n", "unit", "keys"), "id")
+    found = tiled(fetched, "n", "unit", "keys").mapInArrow(by_vector, "id long, links long, root long")
     found = scratch.saved(found, "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
