@@ -102,25 +102,23 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
 
     A null url, or one without ://, has an empty host and path and so the key ''. Null keys of the list don't count,
     repeated ones count once, and keys that no page has only cost space in nothing: the universe holds the corpus's
-    keys alone. If the first level would take over max_bits, keys are dealt by hash to segments with a cascade each,
-    and each segment's rows are judged by its own.
+    keys alone. Repeated rows are judged each; extra columns are not read. If a level would take over max_bits, keys are
+    dealt by hash to segments with a cascade each; the pages are still read once, each row tested by its own segment's.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("key", F.concat("host", "path"))
     keys = rows.select("key", F.lit(False).alias("listed"), F.lit(True).alias("seen")).unionByName(listed.where("key is not null").select("key", F.lit(True).alias("listed"), F.lit(False).alias("seen")))
     universe = keys.groupBy("key").agg(F.bool_or("listed").alias("listed"), F.bool_or("seen").alias("seen")).where("seen").drop("seen")
     universe = scratch.saved(universe, "universe")
-    count = universe.where("listed").count()
-    segments = max(1, math.ceil(count * -math.log(FIRST_RATE) / math.log(2) ** 2 / max_bits))
+    sizes = universe.agg(F.count_if("listed").alias("inside"), F.count("*").alias("all")).first()
+    bits = lambda n, rate: n * -math.log(rate) / math.log(2) ** 2
+    segments = max(1, math.ceil(max(bits(sizes.inside, FIRST_RATE), bits(sizes.all * FIRST_RATE, LATER_RATE) if sizes.inside else 0) / max_bits))
     text, verdict = rule(rules)
-    out: DataFrame | None = None
-    for s in range(segments):
-        own = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(segments)) == s
-        mine, part = (universe, rows) if segments == 1 else (universe.where(own), rows.where(own))
-        method = F.when(Cascade(mine).listed(), "block").otherwise("allow")
-        judged = part.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
-        out = judged if out is None else out.unionByName(judged)
-    return out
+    segment = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(segments))
+    listed = Cascade(universe).listed() if segments == 1 else F.lit(False)
+    for s in range(segments if segments > 1 else 0):
+        listed = F.when(segment == s, Cascade(universe.where(segment == s)).listed()).otherwise(listed)
+    return rows.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, F.when(listed, "block").otherwise("allow")).alias("verdict"))
 
 
 def referred(pages: DataFrame) -> DataFrame:
