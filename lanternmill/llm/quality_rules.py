@@ -16,8 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: The limit of languages in the SQL below; the operator has none, so the two agree up to so many languages.
-LANGUAGES = 63
 #: References up to which they are broadcast.
 BROADCAST = 1 << 14
 #: Common words of a language, and how long they are at most: function words are short.
@@ -147,7 +145,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g')) AS norm FROM documents),
-known AS (SELECT lang FROM d WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {LANGUAGES}),
+known AS (SELECT lang FROM d WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang),
 w AS (SELECT d.* EXCLUDE (lang), coalesce(known.lang, '') AS ref, CASE WHEN norm = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(norm, ' ') END AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d LEFT JOIN known USING (lang)),
 win AS (SELECT doc_id, list_transform(range(1, len(words) - {WINDOW - 2}), lambda i: array_to_string(words[i : i + {WINDOW - 1}], ' ')) AS s FROM w WHERE len(words) >= {WINDOW}),
 flat AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM win),
