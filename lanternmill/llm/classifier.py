@@ -154,10 +154,11 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(b[1] - b[0]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4096, text_budget: int = 64 << 20) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4096) -> Model:
     """Trains on at most `max_rows` labelled documents outside the held-out fold, those with the smallest hash of
-    doc_id, and on no more of them than hold `text_budget` characters. Rows without a text, an id or a 0/1 label don't
-    count; of several labels of a document, the largest does."""
+    doc_id, with their whole texts. Rows without a text, an id or a 0/1 label don't count; of several labels of a
+    document, the largest does, and of several texts, the first in order. Without labels or documents, the model gives
+    0.5 to all."""
     spark = documents.sparkSession
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out("doc_id"))
     chosen = marked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
@@ -165,13 +166,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 4096, text_budg
         return train([], [])
     few = spark.createDataFrame([(r.doc_id, r.y) for r in chosen], "doc_id long, y int")  # max_rows rows at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    picked, total = {}, 0
-    for r in texts.toLocalIterator():
-        if r.doc_id not in picked and total + len(r.text) <= text_budget:
-            picked[r.doc_id] = (r.text, r.y)
-            total += len(r.text)
-    rows = [picked[k] for k in sorted(picked)]
-    return train([t for t, _ in rows], [y for _, y in rows])
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").collect()  # max_rows rows at most
+    return train([r.text for r in rows], [r.y for r in rows])
 
 
 def held_out(doc_id: str):
