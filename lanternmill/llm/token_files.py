@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -143,12 +144,12 @@ class TokenFiles:
     dictionary: bytes
 
 
-def write(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, dictionary_docs: int = 512, dictionary_doc_chars: int = 16_384, dictionary_bytes: int = 64 * 1024, folder: str | None = None) -> TokenFiles:
+def write(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, dictionary_docs: int = 512, dictionary_doc_chars: int = 16_384, dictionary_bytes: int = 64 * 1024, shard_docs: int = 1 << 16, folder: str | None = None) -> TokenFiles:
     """Writes the ids of each whole text (null: empty) and `end_id`, in ascending doc_id order (nulls first).
 
     The dictionary is trained on at most `dictionary_docs` documents of at most `dictionary_doc_chars` characters,
     those with the smallest hash of doc_id; every document is encoded with it. Rows that repeat a doc_id are all
-    written, next to each other. Ids take 2 bytes if the vocabulary fits, else 4. Each task writes a shard under a
+    written, next to each other. Shards have about `shard_docs` documents at most. Ids take 2 bytes if the vocabulary fits, else 4. Each task writes a shard under a
     name of its own; the manifest, saved before it is read, names the shards that count, so what a lost or repeated
     task has left behind is ignored. Extra columns are not read.
     """
@@ -187,7 +188,7 @@ def write(documents: DataFrame, tokenizer_path: str | None = None, end_id: int =
             return
         yield pa.RecordBatch.from_pydict({"name": [name], "part": [task.partitionId()], "docs": [len(writer.index)], "tokens": [total]}, schema=pa.schema({"name": pa.string(), "part": pa.int64(), "docs": pa.int64(), "tokens": pa.int64()}))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(documents.count() / shard_docs))
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     manifest = scratch.saved(ordered.mapInArrow(shard, "name string, part long, docs long, tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
@@ -215,7 +216,7 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     shards = files.manifest.select("name", "start")
-    return shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards.count())).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
