@@ -69,7 +69,7 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, block_doc
 
     Weights are target shares by source, scaled to 1; sources without one, or all where none are given, get their
     number of documents to `power`, in the same scale as the rest. A null source counts as ''. Within a source, rows
-    keep the order of doc_id (nulls first; ties in any order), block_docs to a block. Positions ascend with the mix and
+    keep the order of doc_id (nulls first; ties in any order), block_docs to a block. A weight of 0 or less is an error. Positions ascend with the mix and
     skip what a source's last block lacks. An empty table gives no rows; extra columns aren't read.
 
     Ranks within a source come from a range partitioning and one offset for each source and partition, so a hot source
@@ -116,8 +116,10 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, block_doc
 
 
 def in_mixed_order(documents: DataFrame, **options) -> DataFrame:
-    """All rows and columns of documents, laid out in the order of the mix: files and rows ascend with it. Rows that
-    repeat a doc_id stay next to each other."""
+    """All rows and columns of documents, laid out in the order of the mix: saved, the names of files and the rows in
+    them ascend with it. (Spark may read files in another order; simhash_texts.with_row_keys and packing in order go by
+    file and row.) Rows that repeat a doc_id stay next to each other; null texts and sources are rows like any other; an
+    empty table stays empty."""
     places = mix(documents, **options).groupBy("doc_id").agg(F.min("position").alias("position"))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*documents.columns).alias("row"))
     joined = rows.join(places, F.col("id").eqNullSafe(F.col("doc_id")), "left")

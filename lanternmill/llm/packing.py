@@ -68,8 +68,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return sequence, offset
 
 
-def pieces(documents: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the pieces of every whole text and its end id (null text: empty).
+def pieces(documents: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of the pieces of every whole text and its end id (null text: empty), and
+    the columns named.
 
     Only documents over the capacity are cut; their first piece takes the remainder. Partitions are kept.
     """
@@ -77,21 +78,22 @@ def pieces(documents: DataFrame, capacity: int = 1024, end_id: int = 2, tokenize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), end_id.to_bytes(4, "little")
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[None] * len(keys))
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, text, *own in zip(batch["doc_id"].to_pylist(), batch["text"], *[batch[k].to_pylist() for k in keys]):
                 ids = encode.encode(text.as_py()) + end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n % capacity or min(n, capacity)) if start == 0 else capacity
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), *own))
                     start, piece = start + length, piece + 1
             for at in range(0, len(rows), 20_000):
                 columns = list(zip(*rows[at : at + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", *keys])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    types = dict(documents.dtypes)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(cut, ", ".join([PIECES, *[f"{k} {types[k]}" for k in keys]]))
 
 
 def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -109,9 +111,9 @@ def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
 STATE = "uid long, length long, sequence_id long, offset long, fill long, bound double, sequences long, shard long"
 
 
-def _ranked(items: DataFrame) -> DataFrame:
-    """uid, length and the rank of the uid from 0: a range partitioning, and one offset for each of its partitions."""
-    placed = items.select("uid", "length").repartitionByRange("uid").sortWithinPartitions("uid").withColumn("row", F.monotonically_increasing_id())
+def _ranked(items: DataFrame, order: list[str]) -> DataFrame:
+    """uid, length and the rank from 0 by columns: a range partitioning, and one offset for each of its partitions."""
+    placed = items.repartitionByRange(*order).sortWithinPartitions(*order).select("uid", "length", F.monotonically_increasing_id().alias("row"))
     placed = scratch.saved(placed, "ranked")
     part = F.shiftright("row", 33)
     before, runs = 0, []
@@ -123,11 +125,11 @@ def _ranked(items: DataFrame) -> DataFrame:
     return placed.withColumn("part", part).join(F.broadcast(runs), "part").select("uid", "length", (within + F.col("before")).alias("rank"))
 
 
-def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 32_768, rounds: int = 3, fan: int = 16, in_order: bool = False) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 32_768, rounds: int = 3, fan: int = 16, in_order: list[str] | None = None) -> DataFrame:
     """uid, sequence_id, offset for items (uid unique, length 1 to capacity - 1).
 
-    Items are dealt to shards of about `shard_items`; with `in_order`, at every size, a shard holds a range of uids, so a
-    sequence takes neighbours, and a pool takes neighbouring shards. A shard or pool leaves the exchange once it meets
+    Items are dealt to shards of about `shard_items`; with `in_order`, at every size, a shard holds a range by these
+    columns, so a sequence takes neighbours, and a pool takes neighbouring shards. A shard or pool leaves the exchange once it meets
     its bound. Otherwise its emptiest sequences, at most shard_items / fan items, join a pool of up to `fan` shards; so
     no task ever holds more than about 2 x shard_items items. An empty table gives an empty result.
     """
@@ -135,7 +137,7 @@ def pack(items: DataFrame, capacity: int = 1024, shard_items: int = 32_768, roun
     n = items.count()
     shards = max(1, math.ceil(n / shard_items))
     if in_order and shards > 1:
-        items, shard = _ranked(items), F.expr(f"rank div {math.ceil(n / shards)}")
+        items, shard = _ranked(items, in_order), F.expr(f"rank div {math.ceil(n / shards)}")
     else:
         shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
 
@@ -185,11 +187,16 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, end_id: int = 2,
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null doc_id stays null, rows that repeat a doc_id are packed each on its own, extra columns are not read. Full
-    pieces fill a sequence alone. Sequence numbers are odd for packed sequences, even for full pieces.
+    pieces fill a sequence alone. Sequence numbers are odd for packed sequences, even for full pieces. With `in_order`,
+    sequences take neighbours by the files and rows of documents, in whatever order Spark reads them.
     """
-    cut = scratch.saved(pieces(documents, capacity, end_id, tokenizer_path).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    from lanternmill.llm.simhash_texts import ROW, with_row_keys
+
+    order = ROW if in_order else []
+    documents = with_row_keys(documents) if in_order else documents
+    cut = scratch.saved(pieces(documents, capacity, end_id, tokenizer_path, tuple(order)).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == capacity
-    placed = pack(cut.where(~whole).select("uid", "length"), capacity, in_order=in_order)
+    placed = pack(cut.where(~whole).select("uid", "length", "start", *order), capacity, in_order=[*order, "start"] if in_order else None)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = cut.where(whole).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(cut.where(~whole).join(placed, "uid").select(*columns))

@@ -26,27 +26,37 @@ BITS = 64
 TILE = 2048
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a whole text over word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a whole text, repeats included, in arrays of a bounded size; of the whole sequence
+    if it has fewer words, nothing without words."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: only A-Z fall, only ASCII space splits
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    buffer, digest = b" ".join(words), xxhash.xxh64_digest
+        return
+    buffer, digest, size = b" ".join(words), xxhash.xxh64_digest, min(size, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths).tolist(), ends[shingle - 1 :].tolist()
-    n = len(ends)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):  # bounds what a very long text takes
+    starts, ends = (ends - lengths).tolist(), ends[size - 1 :].tolist()
+    for at in range(0, len(ends), 1 << 15):
         h = b"".join([digest(buffer[a:b], seed) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])])
-        counts += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(h, ">u8")
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The number whose bits are 1 where over half of the hashes have a 1; 0 of none."""
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for h in hashes:
+        n += len(h)
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a whole text over word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, batch.num_rows)

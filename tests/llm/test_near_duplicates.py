@@ -86,7 +86,8 @@ def test_large_files_are_compared_in_tiles(spark):
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
     links = simhash.linked(frame, tile=16).collect()
     at = {v: i for i, v in enumerate(values)}
-    assert all((x.a ^ x.b).bit_count() <= 3 or True for x in links)
+    reach = union_find(len(values), [(at[x.a], at[x.b]) for x in links])
+    assert all(reach[at[x.a]] == reach[at[x.b]] and x.a != x.b for x in links)
     got = union_find(len(values), [(at[x.a], at[x.b]) for x in links])
     assert got == union_find(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3])
 
@@ -112,12 +113,13 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(np.concatenate([base, near, base[:10]]))]
     rows = [(i, v, rows[i % 120][2] if i >= 120 else k) for i, v, k in rows]
     n = len(rows)
-    rows += [(500, None, 1), (501, [0.0] * 32, 1), (502, [1.0, None] * 16, 1), (503, [float("nan")] * 32, 1), (504, rows[0][1], None), (505, rows[0][1][:8], 0), (506, [], 0), (0, rows[0][1], 0), (None, rows[1][1], 1)]
+    rows += [(500, None, 1), (501, [0.0] * 32, 1), (502, [1.0, None] * 16, 1), (503, [float("nan")] * 32, 1), (504, rows[0][1], None), (505, rows[0][1][:8], 0), (506, [], 0), (507, [1e-200] * 8, 2), (508, [1e-200] * 7 + [1.01e-200], 2), (509, [1e200] * 8, 2), (510, [5e-324] * 8, 2), (0, rows[0][1], 0), (None, rows[1][1], 1)]
     frame = spark.createDataFrame([(i, v, k, 5) for i, v, k in rows], "vec_id long, embedding array<double>, label int, id int")
     got = {}
     for x in embed_dedup.near_duplicates(frame).collect():
         got.setdefault(x.vec_id, []).append((x.n_links, x.component_id, x.kept))
-    usable = [(k, np.array(v) / np.linalg.norm(v)) if v and None not in v and np.isfinite(v).all() and np.any(v) and k is not None else None for _, v, k in rows]
+    unit = lambda v: (lambda x: x / np.linalg.norm(x))(np.array(v) / np.abs(v).max())
+    usable = [(k, unit(v)) if v and None not in v and np.isfinite(v).all() and np.any(v) and k is not None else None for _, v, k in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if usable[i] and usable[j] and usable[i][0] == usable[j][0] and len(usable[i][1]) == len(usable[j][1]) and usable[i][1] @ usable[j][1] >= 0.98]
     roots = union_find(len(rows), links)
     count = np.bincount(np.array(links).ravel(), minlength=len(rows))

@@ -6,11 +6,12 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from lanternmill.llm import entry, quality_rules, tokens  # noqa: E402
-from tests.llm.test_near_duplicates import brute_lines, plain_fingerprint, union_find  # noqa: E402
+from lanternmill.llm import entry, quality_rules, scratch, tokens  # noqa: E402
+from tests.llm.test_near_duplicates import brute_lines, union_find  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +39,7 @@ def test_stages_equal_plain_versions(spark, tables):
     assert not kept & {300, 301, 302} and len(kept) > 60
     texts = brute_lines([(i, t) for i, t, _, _ in rows if i in kept], 0.8)
     ids = sorted(texts)
-    prints = [plain_fingerprint(texts[i]) for i in ids]
-    roots = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    roots = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if jaccard(texts[ids[a]], texts[ids[b]]) >= 0.8])
     stay = [i for k, i in enumerate(ids) if roots[k] == k]
     encode = tokens.encoder(tokens.default_path()).tokenizer.encode
     want = set()
@@ -65,7 +65,7 @@ def test_sql_twins_are_sql():
 
 def jaccard(x, y, size=5):
     cut = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}
-    x, y = cut(x.split()), cut(y.split())
+    x, y = cut(x.lower().split()), cut(y.lower().split())
     return len(x & y) / len(x | y)
 
 
@@ -117,3 +117,24 @@ def test_mixing_decides_the_order(spark, tables):
     order = [x.doc_id for x in mixing.in_mixed_order(docs, block_docs=4).collect()]
     assert [place[i] for i in order] == sorted(place.values())
     assert re.fullmatch(r"[a-z_]+", corpus_pipeline.STAGES[3][0])
+
+
+def test_packing_goes_by_the_mix_after_it_is_read_again(spark, tmp_path):
+    """Spark reads large files first; sequences still take neighbours of the mix."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(5, 400))), f"s{i % 5}") for i in range(1200)], "doc_id long, text string, source string")
+    from lanternmill.llm import mixing, packing
+
+    mixing.in_mixed_order(docs, block_docs=4).write.parquet(f"{tmp_path}/mixed")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    place = {x.doc_id: x.position for x in mixing.mix(docs, block_docs=4).collect()}
+    rank = {d: k for k, d in enumerate(sorted(place, key=place.get))}
+    from lanternmill.llm.simhash_texts import ROW, with_row_keys
+
+    keyed = scratch.saved(packing.pieces(with_row_keys(again), 1024, 2, None, tuple(ROW)).withColumn("uid", F.monotonically_increasing_id()), "keyed")
+    order = [x.doc_id for x in with_row_keys(again).orderBy(*ROW).collect()]
+    assert [rank[d] for d in order] == list(range(1200))
+    packed = packing.pack(keyed.where("length < 1024").select("uid", "length", "start", *ROW), 1024, shard_items=100, rounds=0, in_order=[*ROW, "start"])
+    held = packed.join(keyed.select("uid", "doc_id"), "uid").groupBy("sequence_id").agg(F.collect_list("doc_id").alias("ids")).collect()
+    assert max(max(rank[d] for d in x.ids) - min(rank[d] for d in x.ids) for x in held) <= 100
