@@ -16,6 +16,8 @@ Words are compared by 64-bit hashes, sets that count as equal by 128 bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +33,27 @@ DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 #: A word's place in the order: its class of frequency in the bits above these, then its hash.
 _CLASS_BIT = 58
 #: With how many of its first words a set is held against the earliest set before the join.
-GUESSES = 6
+GUESSES = 4
+#: Places (of 12 bytes each) up to which a set of them is broadcast.
+BROADCAST_PLACES = 1 << 18
+#: The join goes over the words in so many parts, one after the other, each with its share of the shuffle files.
+PARTS = 2
 #: Words up to which a set's map has 64 bits.
 SHORT = 56
 _LOW = (1 << _CLASS_BIT) - 1
 _FIRST = -(1 << 63)  # stands for a null doc_id, which comes before all others
 
 
-def _flat(text: Column) -> Column:
-    """Lower case; tabs and other white space but line breaks made spaces."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
-    return F.when(other, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
-
-
 def _words(documents: DataFrame) -> DataFrame:
-    """doc, line (from 0), words: the sorted distinct word hashes of the lines that have a word."""
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("line", "flat"))
+    """doc, line (from 0), words: the sorted distinct word hashes of the lines that have a word.
+
+    White space but line breaks is made spaces. Each step is a projection of its own, so that none is worked out twice.
+    """
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    other = F.col("low").contains("\t") | F.col("low").contains("\r") | F.col("low").contains("\x0b") | F.col("low").contains("\x0c")
+    rows = rows.select("doc", F.when(other, F.translate("low", "\t\r\x0b\x0c", "    ")).otherwise(F.col("low")).alias("flat"))
+    rows = rows.select("doc", F.posexplode(F.split("flat", "\n")).alias("line", "flat")).where(F.trim("flat") != "")
     hashes = F.transform(F.split("flat", " "), lambda w: F.xxhash64(w))
-    rows = rows.where(F.trim("flat") != "")
     return rows.select("doc", "line", F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))).alias("words"))
 
 
@@ -69,12 +73,12 @@ def rarity(words: DataFrame) -> DataFrame:
     return parts.agg(F.flatten(in_order("part", "classes")).alias("classes"))
 
 
-def _map(words: Column, half: int) -> Column:
-    """Half of 128 bits, of which each word flips one. A short set has all of them in the first half, folded."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-    own, mask, none = F.lit(half << 57).cast("long"), F.lit(1 << 57).cast("long"), F.lit(0).cast("long")
-    short = none if half else F.aggregate(words, none, lambda m, h: m.bitwiseXOR(bit(h)))
-    return F.when(F.size(words) <= SHORT, short).otherwise(F.aggregate(words, none, lambda m, h: F.when(h.bitwiseAND(mask) == own, m.bitwiseXOR(bit(h))).otherwise(m)))
+def _maps(words: Column) -> list[Column]:
+    """m0, m1: 128 bits, of which each word flips one. A short set has all of them in the first half, folded."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    flipped = lambda bit: F.aggregate(words, none, lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", bit(h), F.shiftrightunsigned(h, 58).cast("int"))))
+    second = F.when(F.size(words) <= SHORT, none).otherwise(flipped(lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(one)))
+    return [flipped(lambda h: one).bitwiseXOR(second).alias("m0"), second.alias("m1")]
 
 
 def _prefix(words: Column, classes: Column, threshold: float) -> Column:
@@ -93,7 +97,7 @@ def _sets(words: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     # the table of classes passes through a column, as a subquery may not stand in a lambda function
     rows = words.withColumn("classes", classes.scalar()).select(
         F.struct("doc", "line").alias("place"), F.xxhash64("words").alias("s0"), F.xxhash64(F.lit(1), "words").alias("s1"),
-        F.size(w).alias("n"), _map(w, 0).alias("m0"), _map(w, 1).alias("m1"), _prefix(w, F.col("classes"), threshold).alias("prefix"),
+        F.size(w).alias("n"), *_maps(w), _prefix(w, F.col("classes"), threshold).alias("prefix"),
     )
     out = rows.groupBy("s0", "s1", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("m0", "m1", "prefix")])
     return out.select("place.doc", "place.line", "n", "m0", "m1", "prefix")
@@ -128,24 +132,30 @@ def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
-def _flagged(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """The sets with a column open: whether settled lacks them. Both grow with the input, so neither is broadcast."""
-    done = settled.select("later.*", F.lit(True).alias("done")).hint("merge")
-    return sets.join(done, ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
+def _flagged(sets: scratch.Saved, settled: DataFrame) -> DataFrame:
+    """The sets with a column open: whether settled lacks them. Few settled ones are broadcast; with more than a stated
+    number, the flagged sets are a table of their own in place of sets, so that this shuffle's files are gone before
+    the next one's are there."""
+    done, few = settled.select("later.*", F.lit(True).alias("done")), settled.count() <= BROADCAST_PLACES
+    out = sets.df.join(done.hint("broadcast" if few else "merge"), ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
+    if few:
+        return out
+    out = scratch.saved(out, "flagged")
+    sets.drop()
+    return out
 
 
-def _met(sets: DataFrame, threshold: float) -> DataFrame:
+def _met(sets: DataFrame, threshold: float, part: int = 0, parts: int = 1) -> DataFrame:
     """later, earlier, with repeats: sets that share a word among their first and could be similar, where the later one
-    is open."""
-    filed = _filed(sets, "open").select("token", "p", "open", "own.*")
+    is open. Of two sets the longer (or, of equal length, the later) is asked with all its first words, the other filed
+    under those from which the rest could still reach the threshold. Only words of the part, by hash, are looked at."""
+    filed = _filed(sets, "open").where(F.pmod("token", F.lit(parts)) == part).select("token", "p", "open", "own.*")
     a, b = (filed.select("token", *[F.col(c).alias(c + side) for c in ("doc", "line", "n", "m0", "m1", "open", "p")]) for side in "ab")
-    never = F.col("na") < F.col("nb") - (1 << 30)  # keeps conditions from being one side's, so that both sides share one exchange
+    b = b.where(F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9))
     a_later = F.struct("doca", "linea") > F.struct("docb", "lineb")
-    indexed = F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9)
-    together = a.join(b, "token").where(
+    together = a.join(b.hint("merge"), "token").where(
         ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & a_later))
         & _could_match(threshold)
-        & (indexed | never)
         & F.when(a_later, F.col("opena")).otherwise(F.col("openb"))
         & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     )
@@ -186,9 +196,9 @@ def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
         classes = scratch.saved(rarity(words), "rarity")
         sets = scratch.Saved(_sets(words, classes, threshold), "sets")
         settled = scratch.saved(_verified(_guesses(sets.df, threshold), words, threshold), "settled")
-        flagged = scratch.saved(_flagged(sets.df, settled), "flagged")
-        sets.drop()
-        matched = scratch.saved(_verified(_met(flagged, threshold), words, threshold), "matched")
+        flagged = _flagged(sets, settled)
+        met = [scratch.saved(_met(flagged, threshold, part, PARTS).distinct(), "met") for part in range(PARTS)]
+        matched = scratch.saved(_verified(reduce(DataFrame.unionByName, met), words, threshold), "matched")
         kept = flagged.where("open").select("doc", "line").join(matched.select("later.*").hint("merge"), ["doc", "line"], "left_anti")
         one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line").bitwiseAND(63))
         bits = kept.groupBy("doc", F.shiftright("line", 6).alias("at")).agg(F.bit_or(one).alias("value"))

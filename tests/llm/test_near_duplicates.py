@@ -185,7 +185,9 @@ def test_lines_equal_brute_force(spark, threshold):
     assert line_dedup.remove_lines(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_long_lines_many_lines_and_families_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 1 << 18])
+def test_long_lines_many_lines_and_families_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", broadcast)
     r = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     base = [[r.choice(words) for _ in range(n)] for n in (4, 5, 40, 55, 56, 57, 60, 70, 120, 300)]
