@@ -33,7 +33,7 @@ DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 #: A word's place in the order: its class of frequency in the bits above these, then its hash.
 _CLASS_BIT = 58
 #: With how many of its first words a set is held against the earliest set before the join.
-GUESSES = 4
+GUESSES = 6
 #: Places (of 12 bytes each) up to which a set of them is broadcast.
 BROADCAST_PLACES = 1 << 18
 #: The join goes over the words in so many parts, one after the other, each with its share of the shuffle files.
