@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternmill.functions.text import collapse
+from lanternmill.functions.values import coerce_date, is_archive_url, resolved, url_section, without_fragment
 
 MIN_TEXT = 120
 _DROPPED = {"script", "style", "nav", "footer", "aside", "noscript", "header", "form"}
@@ -27,8 +28,42 @@ def meta(html: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(tag, r"(?is)content\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
 
 
+def meta_first(html: Column, *selectors: tuple[str, str]) -> Column:
+    """The first content that is not empty of meta tags chosen by (attribute, value), in the selectors' order."""
+
+    def one(key: str, value: str) -> Column:
+        tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{key}\s*=\s*[\"']{value}[\"'][^>]*>", 0)
+        return F.nullif(collapse(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
+
+    return F.coalesce(*[one(k, v) for k, v in selectors])
+
+
+def _own(sidecar: Column | None) -> list[Column]:
+    return [F.nullif(sidecar, F.lit(""))] if sidecar is not None else []
+
+
+def author(html: Column, sidecar: Column | None = None) -> Column:
+    return F.coalesce(*_own(sidecar), meta_first(html, ("name", "author"), ("property", "article:author")))
+
+
+def section_in_markup(html: Column) -> Column:
+    """The text of the first element whose class names a section or category, up to the next end of such a tag."""
+    found = F.regexp_extract(html, r"(?is)<(\w+)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:section|seccion|category|categoria)[^\"']*[\"'][^>]*>(.*?)</\1>", 2)
+    return F.nullif(collapse(F.regexp_replace(found, r"<[^>]*>", " ")), F.lit(""))
+
+
+def section(html: Column, sidecar: Column | None = None) -> Column:
+    named = meta_first(html, ("property", "article:section"), ("name", "section"), ("name", "categoria"))
+    return F.coalesce(*_own(sidecar), named, section_in_markup(html))
+
+
+def published(html: Column, sidecar: Column | None = None) -> Column:
+    found = meta_first(html, ("property", "article:published_time"), ("name", "date"), ("name", "pubdate"), ("itemprop", "datePublished"))
+    return coerce_date(F.coalesce(*_own(sidecar), found))
+
+
 def title(html: Column, sidecar: Column | None = None) -> Column:
-    options = [meta(html, "og:title"), inner(html, "h1"), inner(html, "title")]
+    options = [meta_first(html, ("property", "og:title"), ("name", "twitter:title")), inner(html, "h[12]"), inner(html, "title")]
     return F.coalesce(*([F.nullif(sidecar, F.lit(""))] if sidecar is not None else []), *options)
 
 
@@ -90,14 +125,103 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def absolute(href: Column, base: Column) -> Column:
-    """href against the base url, fragment cut; ../ steps are kept as they are."""
+    """href against the base url, fragment cut, . and .. steps taken."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
     clean = F.regexp_replace(href, "#.*$", "")
-    return (
+    joined = (
         F.when(clean.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), clean)
         .when(clean.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), clean))
         .when(clean.startswith("/"), F.concat(origin, clean))
         .when(clean == "", F.regexp_replace(base, "#.*$", ""))
         .otherwise(F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.concat(origin, F.lit("/"))), clean))
     )
+    start, path, rest = (F.regexp_extract(joined, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)$", k) for k in (1, 2, 3))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(start, resolved(path), rest)).otherwise(joined)
+
+
+_STOPS = {"a", "h1", "h2", "h3"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Tree(HTMLParser):
+    """Elements as [tag, attributes, parent, children]; texts are children too. An end tag closes up to its own start."""
+
+    def __init__(self):
+        super().__init__()
+        self.root = self.at = ["", {}, None, []]
+        self.anchors: list[list] = []
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), self.at, []]
+        self.at[3].append(node)
+        if tag == "a" and node[1].get("href") is not None:
+            self.anchors.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node[2] is not None and node[0] != tag:
+            node = node[2]
+        if node[2] is not None:
+            self.at = node[2]
+
+    def handle_data(self, data):
+        self.at[3].append(data)
+
+
+def _said(node) -> str:
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            todo += reversed(x[3])
+    return " ".join(" ".join(out).split())
+
+
+def _around(anchor) -> tuple[str, str]:
+    """The text of the article, list item or block that an anchor is in; the anchor's and that of the elements after it,
+    up to the next anchor or heading."""
+    block = anchor[2]
+    while block[2] is not None and block[0] not in ("article", "li", "div"):
+        block = block[2]
+    block = block if block[2] is not None else anchor[2]
+    beside = [x for x in anchor[2][3] if not isinstance(x, str)]
+    near = [_said(anchor)]
+    for x in beside[next(i for i, x in enumerate(beside) if x is anchor) + 1 :]:
+        if x[0] in _STOPS:
+            break
+        near.append(_said(x))
+    return _said(block), " ".join(t for t in near if t)
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, url, pos, href, title, snippet, nearby of every anchor of page_id, url, html, in page order. Python, as
+    only a parser knows what is around an anchor."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"]):
+                tree = _Tree()
+                tree.feed(page or "")
+                tree.close()
+                for pos, a in enumerate(tree.anchors):
+                    snippet, nearby = _around(a)
+                    rows.append((page_id, url, pos, a[1]["href"], _said(a) or None, snippet or None, nearby or None))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "title", "snippet", "nearby"])
+
+    kind = dict(pages.dtypes)["page_id"]
+    return pages.select("page_id", "url", "html").mapInPandas(parse, f"page_id {kind}, url string, pos long, href string, title string, snippet string, nearby string")
+
+
+def edition_links(pages: DataFrame, expected: Column | None = None) -> DataFrame:
+    """page_id, pos, link, title, snippet, section of the archive's articles that a page links to, each link once, at its
+    first place; snippet is the nearby text, else that of the block."""
+    rows = anchors(pages).withColumn("link", without_fragment(absolute(F.col("href"), F.col("url"))))
+    rows = rows.where(is_archive_url(F.col("link"), expected))
+    first = rows.groupBy("page_id", "link").agg(F.min_by(F.struct("pos", "title", F.coalesce("nearby", "snippet").alias("snippet")), "pos").alias("first"))
+    return first.select("page_id", "first.pos", "link", "first.title", "first.snippet", url_section(F.col("link")).alias("section"))

@@ -6,7 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Spanish stop words of the tokeniser.
@@ -45,9 +45,17 @@ def fold(text: Column, form: str = "NFD") -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)  # most texts need none of it
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased, folded words of letters, digits and underscores."""
-    return F.regexp_extract_all(fold(F.lower(text)), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-cased, folded words of letters, digits and underscores. Words are cut before they are folded, as letters and
+    their marks are both parts of words; so only the few words with other than ASCII are folded."""
+    low = F.lower(text)
+    cut = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+    folded = F.array_remove(F.transform(cut, lambda w: F.when(is_ascii(w), w).otherwise(fold(w))), "")
+    return F.when(is_ascii(low), F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))).otherwise(folded)
 
 
 def without_stop_words(words: Column) -> Column:
@@ -115,8 +123,8 @@ def clean_markdown(text: Column) -> Column:
         part = F.regexp_replace(part, r"(?m)[ \t]+$", "")
         return F.regexp_replace(part, r"\n{3,}", "\n\n")
 
-    pieces = F.split(text, "```")  # odd pieces are code
-    return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).otherwise(prose(p))), "```"), r"^\n+|\n+$", ""))
+    pieces = F.split(text, "```")  # odd pieces are code, but for the last, whose fence nothing closes
+    return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & (i < F.size(pieces) - 1), p).otherwise(prose(p))), "```"), r"^\n+|\n+$", ""))
 
 
 def front_matter(text: Column) -> Column:
@@ -133,3 +141,32 @@ def without_front_matter(text: Column) -> Column:
 
 def years(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
+
+
+def contains_phrase(text: Column, phrase: str) -> Column:
+    """Whether the text has the phrase, whatever the case and white space."""
+    return F.lower(collapse(text)).contains(" ".join(phrase.lower().split()))
+
+
+#: Characters from which a cleaned document counts.
+MIN_CLEAN = 30
+
+
+def front_matter_field(block: Column, key: str, lists_only: bool = False) -> Column:
+    """A top-level field of a front matter block: a plain or quoted value, or a list in brackets or on lines, joined by
+    commas; null without one (with lists_only, also for a plain value)."""
+    bare = lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")
+    joined = lambda items: F.array_join(F.filter(F.transform(items, bare), lambda x: x != ""), ", ")
+    value = F.trim(F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    lines = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)", 1)
+    out = F.when(lines != "", joined(F.regexp_extract_all(lines, F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1)))).when(value.startswith("["), joined(F.split(F.btrim(value, F.lit("[]")), ",")))
+    return out if lists_only else out.when(value != "", bare(value))
+
+
+def markdown_documents(files: DataFrame) -> DataFrame:
+    """files (text and other columns) with clean texts and doc_title, doc_description, keywords, tags of the front
+    matter; documents with fewer than MIN_CLEAN characters left go. The block goes whether it can be read or not."""
+    block = F.regexp_extract("text", r"\A---\s*\n([\s\S]*?)\n---\s*\n", 1)
+    fields = {"doc_title": "title", "doc_description": "description", "keywords": "keywords", "tags": "tags"}
+    out = files.withColumns({c: front_matter_field(block, k, k == "tags") for c, k in fields.items()})
+    return out.withColumn("text", clean_markdown(without_front_matter(F.col("text")))).where(F.length(F.trim("text")) >= MIN_CLEAN)

@@ -93,3 +93,37 @@ def without_fragment(url: Column) -> Column:
 def safe_file_name(name: Column) -> Column:
     base = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"[^a-zA-Z0-9._-]+", "-")
     return F.when(base.endswith(".html"), base).otherwise(F.concat(base, F.lit(".html")))
+
+
+def date_argument(value: Column) -> Column:
+    """A date given as DD-MM-YYYY; anything else is an error."""
+    ok = F.when(value.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(value, "dd-MM-yyyy"))
+    return F.coalesce(ok, F.raise_error(F.concat(F.lit("not a date as DD-MM-YYYY: "), F.coalesce(value, F.lit("null")))).cast("date"))
+
+
+def edition_urls(day: Column, base: str) -> Column:
+    """Where the front page of a day's edition may be."""
+    iso, place = F.date_format(day, "yyyy-MM-dd"), lambda *parts: F.concat(F.lit(base), *parts)
+    return F.array(
+        place(F.lit("/diario/secciones/index-"), iso, F.lit(".html")), place(F.lit("/diario/principal/index-"), iso, F.lit(".html")),
+        place(F.date_format(day, "/yyyy/MM-yyyy"), F.lit("/dia/"), F.date_format(day, "dd-MM-yyyy"), F.lit(".html")),
+    )
+
+
+def day_folder(day: Column) -> Column:
+    """Year and month of a day as folders."""
+    return F.date_format(day, "yyyy/MM")
+
+
+def article_path(day: Column, url: Column) -> Column:
+    """Where the page of a url is kept: in its day's folder under a safe name."""
+    return F.concat_ws("/", day_folder(day), safe_file_name(url_path(url)))
+
+
+def resolved(path: Column) -> Column:
+    """A path without . and .. steps."""
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    tail = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)

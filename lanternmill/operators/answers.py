@@ -89,3 +89,39 @@ def context(docs: Column) -> Column:
     """Numbered blocks of an array of structs title, published, url, text."""
     block = lambda d, i: F.concat(F.lit("[Documento "), (i + 1).cast("string"), F.lit("]\nTítulo: "), F.coalesce(d["title"], F.lit("Artículo sin título")), F.lit("\nFecha: "), F.coalesce(d["published"], F.lit("s/f")), F.lit("\nURL: "), F.coalesce(d["url"], F.lit("")), F.lit("\n---\n"), d["text"], F.lit("\n---"))
     return F.array_join(F.transform(docs, block), "\n\n")
+
+
+# What a model may answer about a question.
+INTENTS = ("CHITCHAT", "OUT_OF_SCOPE", "ARCHIVE_SEARCH")
+PLAN = "intent string, year int, decade int, publication_date string, section string, newspaper string, search_query string"
+#: The filters of a plan, all by equality.
+PLAN_FILTERS = ("year", "decade", "publication_date", "section", "newspaper")
+
+
+def planned(question: Column, answer: Column, newspaper: str | None = None) -> Column:
+    """struct of intent, the filters and query. Small talk is told without a model; else the model's answer (JSON) counts
+    if it names an intent, with its section and date put right; without such an answer the question is searched as it
+    is, in the first year that it names."""
+    said = F.from_json(answer, PLAN)
+    ok = said["intent"].isin(*INTENTS)
+    talk, none = intent(question) == "CHITCHAT", lambda kind: F.lit(None).cast(kind)
+    paper = F.lit(newspaper).cast("string")
+    pick = lambda of_talk, of_model, fallback: F.when(talk, of_talk).when(ok, of_model).otherwise(fallback)
+    year = F.get(years(question), F.lit(0)).cast("int")
+    return F.struct(
+        pick(F.lit("CHITCHAT"), said["intent"], F.lit("ARCHIVE_SEARCH")).alias("intent"), pick(none("int"), said["year"], year).alias("year"),
+        pick(none("int"), said["decade"], none("int")).alias("decade"), pick(none("string"), planned_date(said["publication_date"], question), none("string")).alias("publication_date"),
+        pick(none("string"), planned_section(said["section"]), none("string")).alias("section"), pick(paper, F.coalesce(said["newspaper"], paper), paper).alias("newspaper"),
+        pick(question, F.coalesce(F.nullif(F.trim(said["search_query"]), F.lit("")), question), question).alias("query"),
+    )
+
+
+def messages(question: Column, context: Column, system: str, user: str = "{question}") -> Column:
+    """The turns that a model is given: {context} and {question} of the templates filled in."""
+    turn = lambda role, template, slot, value: F.struct(F.lit(role).alias("role"), F.replace(F.lit(template), F.lit(slot), F.coalesce(value, F.lit(""))).alias("content"))
+    return F.array(turn("system", system, "{context}", context), turn("user", user, "{question}", question))
+
+
+def routed(plan: Column) -> Column:
+    """Where a plan's question goes: small talk and other subjects are answered without a search."""
+    return F.when(plan["intent"] == "CHITCHAT", "reply").when(plan["intent"] == "OUT_OF_SCOPE", "decline").otherwise("search")

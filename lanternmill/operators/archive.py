@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +50,24 @@ def index(enriched: DataFrame, index_scope: str = "argentina", known: DataFrame
 def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None, embedder=embed) -> DataFrame:
     """query_id, intent, verdict, top_score, sources, context of questions (query_id, text): filtered retrieval both
     ways, fusion by the question's weights, rerank, verdict, and the articles behind the best chunks. A question is
-    searched among the rows of the year it names, if it names one; filters hold for all questions.
+    searched among the rows that its plan's filters (year, decade, date, section, newspaper) leave, with their statistics;
+    the plan is a model's where questions have a column plan_answer, else names the first year. filters hold for all
+    questions.
 
-    A batch of questions is one plan; small talk is answered without a search, so its verdict is null.
+    A batch of questions is one plan; small talk and other subjects are answered without a search, so their verdict is
+    null.
     """
-    asked = questions.select("query_id", "text", answers.plan(F.col("text")).alias("p"), retrieval.query_weights(F.col("text")).alias("w"))
-    search = asked.where("p.intent = 'ARCHIVE_SEARCH'").withColumn("part", F.coalesce(F.col("p.year").cast("string"), F.lit("all")))
+    said = F.col("plan_answer") if "plan_answer" in questions.columns else F.lit(None).cast("string")
+    asked = questions.select("query_id", "text", answers.planned(F.col("text"), said).alias("p"), retrieval.query_weights(F.col("text")).alias("w"))
+    keys = [F.col(f"p.{f}").alias(f"p_{f}") for f in answers.PLAN_FILTERS]
+    search = asked.where(answers.routed(F.col("p")) == "search").select("*", *keys).withColumn("part", F.sha2(F.to_json(F.struct(*[f"p_{f}" for f in answers.PLAN_FILTERS])), 256))
     rows = store.where_all(indexed, filters or {})
     docs = rows.select(F.col("point_id").alias("id"), "text")
-    # a row is in the part of all rows and in that of its year, where a question asks for it
-    parts = rows.select(F.col("point_id").alias("id"), "text", "vector", F.explode(F.array_compact(F.array(F.lit("all"), F.col("year").cast("string")))).alias("part"))
-    parts = parts.join(F.broadcast(search.select("part").distinct()), "part", "left_semi")
-    lexical = retrieval.top(retrieval.bm25_within(parts.select("part", "id", "text"), search.select("query_id", "part", "text")))
+    # a row is in the part of every set of filters that it meets, of those that a question asks for
+    kinds = search.select("part", *[f"p_{f}" for f in answers.PLAN_FILTERS]).distinct()
+    meets = reduce(Column.__and__, [F.col(f"p_{f}").isNull() | F.coalesce(F.col(f) == F.col(f"p_{f}"), F.lit(False)) for f in answers.PLAN_FILTERS])
+    parts = rows.join(retrieval.if_few(kinds, retrieval.QUERY_BLOCK), meets).select(F.col("point_id").alias("id"), "text", "vector", "part")
+    lexical = retrieval.top(retrieval.bm25(parts.select("part", "id", "text"), search.select("query_id", "part", "text")))
     vectors = search.select("query_id", "part", embedder(F.col("text"), prefix="query: ").alias("qvector"))
     semantic = retrieval.top(retrieval.semantic(parts.select("part", "id", "vector"), vectors))
     weights = search.select("query_id", "w")
@@ -73,7 +81,7 @@ def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None
     )
     places = best.select("query_id", "source_id", (F.col("rerank_position") - 1).alias("rank"), F.col("rerank_score").alias("score"))
     articles = chunks.rebuild(rows.select("source_id", "chunk_index", "text"), places)
-    heads = rows.where("chunk_index = 0").groupBy("source_id").agg(F.first("article_title").alias("title"), F.first("publication_date").alias("published"))
+    heads = rows.where("chunk_index = 0").groupBy("source_id").agg(F.min(F.struct(F.col("article_title").alias("title"), F.col("publication_date").alias("published"))).alias("h")).select("source_id", "h.*")
     told = articles.join(heads, "source_id", "left").withColumn("url", F.col("source_id"))
     listed = F.sort_array(F.collect_list(F.struct("rank", "title", "published", "url", "text")))
     blocks = told.groupBy("query_id").agg(answers.context(listed).alias("context"))

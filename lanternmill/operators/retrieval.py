@@ -5,6 +5,8 @@ All take batches of queries; ties go to the smaller document id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lanternmill.functions.values import cosine
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 DEPTH, RERANK_DEPTH = 20, 8
+#: Distinct query terms up to which they are broadcast; queries that one pass over the vectors answers.
+FEW_TERMS, QUERY_BLOCK = 1 << 16, 4096
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -26,45 +30,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """id, words, of columns id, text. Filter docs before: all statistics are those of what is left."""
-    return docs.select("id", spanish_tokens(F.col("text")).alias("words"))
+def if_few(side: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has no more rows than stated; else Spark joins by shuffle."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of every document that has a term of the query (Okapi, negative idf raised to a share of
-    the mean idf)."""
-    words = postings(docs)
-    counted = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    # exact statistics of the filtered documents, one row each: their number reads no text, the rest comes with the terms
-    n = docs.agg(F.count("*")).scalar()
-    per_term = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
-    idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rated = per_term.select("term", idf.alias("idf"), "all")
-    totals = rated.agg(F.struct(F.avg("idf").alias("mean"), F.sum("all").alias("words"))).scalar()
-    mean, avgdl = totals["mean"], totals["words"] / n
+    """query_id, id, score of every document (id, text) that has a term of the query (Okapi, negative idf raised to a
+    share of the mean idf). Filter docs before: all statistics are those of what is left. Where both sides have a
+    column part, a query is scored over the documents of its part, with that part's statistics.
+
+    Two passes over the texts. The statistics shuffle a row a term and task, in which a term of none stands for the
+    document itself; the scores explode the words and keep those asked for before anything is shuffled.
+    """
+    part = ["part"] if "part" in queries.columns else []
+    words = docs.select(*part, "id", spanish_tokens(F.col("text")).alias("words"))
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("words"))
+    marks = F.concat(F.transform(F.array_distinct("words"), lambda w: one(w, F.lit(0))), F.array(one(F.lit(None).cast("string"), F.size("words"))))
+    counts = words.select(*part, F.explode(marks).alias("m")).groupBy(*part, "m.term").agg(F.count("*").alias("df"), F.sum("m.words").alias("words"))
+    whole = F.col("term").isNull()
+    sizes = counts.where(whole).select(*part, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    per_term = counts.where(~whole)
+    rated = per_term.join(sizes, "part") if part else per_term.join(F.broadcast(sizes))  # one row
+    rated = rated.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    means = rated.groupBy(*part).agg(F.avg("idf").alias("mean"))
     asked = query_terms(queries)
-    rated = rated.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
-    tf = F.col("tf")
-    part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return counted.join(rated, "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def bm25_within(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """bm25 of each query (query_id, part, text) over the documents (part, id, text) of its part only, with the
-    statistics of that part."""
-    words = docs.select("part", "id", spanish_tokens(F.col("text")).alias("words"))
-    counted = words.select("part", "id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("part", "id", "dl", "term").agg(F.count("*").alias("tf"))
-    sizes = docs.groupBy("part").agg(F.count("*").alias("n"))
-    per_term = counted.groupBy("part", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(sizes, "part")
-    rated = per_term.select("part", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "all", "n")
-    totals = rated.groupBy("part").agg(F.avg("idf").alias("mean"), (F.sum("all") / F.max("n")).alias("avgdl"))
-    asked = query_terms(queries).join(queries.select("query_id", "part"), "query_id")
-    rated = rated.select("part", "term", "idf").join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi").join(totals, "part")
-    rated = rated.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
+    asked = asked.join(queries.select("query_id", "part"), "query_id") if part else asked
+    terms = if_few(asked.select(*part, "term").distinct(), FEW_TERMS)
+    rated = rated.join(terms, [*part, "term"], "left_semi")
+    rated = rated.join(means, "part") if part else rated.join(F.broadcast(means))
+    rated = rated.select(*part, "term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    found = words.select(*part, "id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, [*part, "term"], "left_semi")
+    found = found.groupBy(*part, "id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf")
     score = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.join(rated, ["part", "term"]).join(asked, ["part", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+    return found.join(rated, [*part, "term"]).join(asked, [*part, "term"]).groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
 
 
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -77,14 +77,19 @@ def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -
 def top(scores: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, score, rank (from 0) of the k best of each query."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k).withColumn("rank", F.col("rank").cast("long"))
+    # the bound is on the row number itself, so each task keeps its k best before the shuffle
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
 def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score (cosine) of id, vector and query_id, qvector; the queries are the small, broadcast side, a
-    stated set scored against all rows, or, where both sides have a column part, against the rows of their part."""
-    pairs = vectors.join(F.broadcast(queries), "part") if "part" in queries.columns else vectors.join(F.broadcast(queries))
-    return pairs.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("qvector")), 6).alias("score"))
+    """query_id, id, score (cosine) of id, vector and query_id, qvector: a stated set of queries against all rows, or,
+    where both sides have a column part, against the rows of their part. The queries are broadcast in blocks of at most
+    QUERY_BLOCK, each a pass over the vectors."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    on = "part" if "part" in queries.columns else None
+    pairs = [vectors.join(F.broadcast(queries.where(block == k) if blocks > 1 else queries), on) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, pairs).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("qvector")), 6).alias("score"))
 
 
 def fuse(semantic_top: DataFrame, lexical_top: DataFrame, w_semantic: Column | float = 0.5, w_lexical: Column | float = 0.5) -> DataFrame:
@@ -119,4 +124,27 @@ def overlap_rerank(candidates: DataFrame, n: int = RERANK_DEPTH) -> DataFrame:
     score = F.size(F.array_intersect(asked, spanish_tokens(F.col("text")))) / F.greatest(F.size(asked), F.lit(1))
     best = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id")
     rated = candidates.select("query_id", "id", F.round(score, 6).alias("rerank_score"))
-    return rated.withColumn("rerank_position", F.row_number().over(best).cast("long")).where(F.col("rerank_position") <= n)
+    return rated.withColumn("rerank_position", F.row_number().over(best)).where(F.col("rerank_position") <= n).withColumn("rerank_position", F.col("rerank_position").cast("long"))
+
+
+# More words that mark a question about ideas, where a tagger has read it.
+MORE_IDEA_WORDS = ("filosofia", "definicion", "resumen", "contexto")
+
+
+def tagged_weights(text: Column, has_entity: Column, has_name: Column, has_number: Column) -> Column:
+    """query_weights with a tagger's word: whether it has found entities, proper names or numbers. Numbers of two or four
+    digits and months are facts too; "por que" asks for ideas."""
+    words = F.transform(F.regexp_extract_all(F.trim(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)), lambda w: F.lower(w))
+    number = text.rlike(r"(?U)\b(19\d{2}|20\d{2}|\d{2})\b")
+    fact = F.coalesce(has_entity, F.lit(False)) | F.coalesce(has_name, F.lit(False)) | F.coalesce(has_number, F.lit(False)) | F.exists(words, lambda w: w.isin(*MONTHS)) | number
+    why = F.array_contains(F.zip_with(words, F.slice(words, 2, 1 << 20), lambda a, b: (a == "por") & F.coalesce(b == "que", F.lit(False))), True)
+    idea = F.exists(words, lambda w: w.isin(*IDEA_WORDS, *MORE_IDEA_WORDS)) | why | (F.size(words) > 8)
+    pair = lambda s, b: F.struct(F.lit(s).alias("semantic"), F.lit(b).alias("lexical"))
+    return F.when(fact, pair(0.4, 0.6)).when(idea, pair(0.6, 0.4)).otherwise(pair(0.5, 0.5))
+
+
+def ordered(fused: DataFrame) -> DataFrame:
+    """fused rows with their position (from 0) in each query: the best first; of equal ones, those of the semantic list
+    in its order, then the others in the lexical list's."""
+    own = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("bm25_rank"), "id")
+    return fused.withColumn("position", F.row_number().over(own).cast("long") - 1)

@@ -38,6 +38,55 @@ def find_terms(text: Column, terms: list[str], loose_spaces: bool = False) -> Co
     return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
 
 
+def match_lexicon(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, term of docs (id, text) and terms (term): the same matches as find_terms, for lexicons too large for a plan.
+    Texts and terms meet by equal runs of words, so it is an equi-join whatever the number of terms; the text between
+    the words is verified after."""
+    words = lambda c: F.regexp_extract_all(norm(c), F.lit(r"(?U)\w+"), F.lit(0))
+    known = terms.where(F.trim("term") != "").dropDuplicates(["term"]).select("term", norm(F.trim("term")).alias("plain"), words(F.col("term")).alias("w")).where(F.size("w") > 0)
+    known = known.select("term", "plain", F.size("w").alias("size"), F.array_join("w", " ").alias("gram"))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # lengths of terms, a handful
+    own = docs.select("id", norm(F.col("text")).alias("flat"), words(F.col("text")).alias("w"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    none = F.array().cast("array<string>")
+    runs = F.array_distinct(F.concat(*[F.when(F.size("w") >= n, grams(n)).otherwise(none) for n in sizes])) if sizes else none
+    met = own.select("id", "flat", F.explode(runs).alias("gram")).join(known, "gram")
+    return met.where(F.regexp(F.col("flat"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("plain"), F.lit(r"\E(?!\w)")))).select("id", "term").distinct()
+
+
+def is_known(value: Column, aliases: list[str]) -> Column:
+    """Whether a place, whatever its case and accents, is one of the aliases."""
+    plain = F.trim(norm(value))
+    return (plain != "") & F.array_contains(F.transform(F.array(*map(F.lit, aliases)) if aliases else F.array().cast("array<string>"), lambda a: F.trim(norm(a))), plain)
+
+
+def read_gazetteer(spark, path: str) -> "Lexicon":
+    """The lexicon of a JSON file. Places come in the order country (or city), city, provinces, cities, neighbourhoods,
+    nearby districts, landmarks, with repeats; lists named strong_ win over those without."""
+    names = ["provinces", "cities", "neighborhoods", "nearby_partidos", "landmarks", "direct_argentina_sections", "ambiguous_institutions", "contextual_terms"]
+    strong = {"institutions": "strong_institutions", "political_organizations": "strong_political_organizations", "clubs": "strong_clubs", "keywords": "strong_terms"}
+    schema = "country string, city string, " + ", ".join(f"{n} array<string>" for n in [*names, *strong, *strong.values()])
+    row = spark.read.schema(schema).option("multiLine", "true").json(path).first()  # one object
+    if row is None or row.city is None:
+        raise ValueError("the gazetteer names no city")
+    of = lambda n: list(row[n] or [])
+    places = [row.country or row.city, row.city, *[x for n in names[:5] for x in of(n)]]
+    own = {n: of(s) or of(n) for n, s in strong.items()}
+    return Lexicon(of("direct_argentina_sections"), places, own["institutions"], own["political_organizations"], own["clubs"], own["keywords"], of("ambiguous_institutions"), of("contextual_terms"))
+
+
+#: Kinds of signals of which a preview shows the first chunk each.
+SIGNAL_KINDS = {"section": ("seccion:",), "lexicon": ("gazetteer:", "term:", "institution:", "political_org:", "club:"), "anchors": ("emb_",), "model": ("llm_",)}
+
+
+def first_with_signals(chunks: DataFrame, order: str) -> DataFrame:
+    """kind, found: for each kind of signal, the first chunk (a struct of its columns, by `order`) that has one; null for
+    none. One pass."""
+    has = lambda prefixes: F.exists("signals", lambda s: _any(s.startswith(p) for p in prefixes))
+    firsts = chunks.agg(*[F.min_by(F.when(has(p), F.struct(*chunks.columns)), F.when(has(p), F.col(order))).alias(k) for k, p in SIGNAL_KINDS.items()])
+    return firsts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in SIGNAL_KINDS])).alias("x")).select("x.*")
+
+
 def primary_location(found: Column, country: str) -> Column:
     return F.when(F.array_contains(found, country), F.lit(country)).otherwise(F.get(found, F.lit(0)))
 
@@ -97,6 +146,48 @@ def anchor_scope(vector: Column, anchors: dict[str, list[list[float]]], margin:
     return F.struct(ranked[0]["name"].alias("scope"), F.round(gap, 6).alias("margin"), (gap > margin).alias("final"))
 
 
+def anchor_scores(vector: Column, anchors: dict[str, list[list[float]]], margin: float = MARGIN) -> Column:
+    """struct<scope, final, signals>: as anchor_scope, with the scores and the margin as signals."""
+    best = {c: F.array_max(F.array(*[cosine(vector, F.array(*map(F.lit, a))) for a in anchors[c]])) for c in CLASSES}
+    found, scores = anchor_scope(vector, anchors, margin), F.sort_array(F.array(*best.values()), asc=False)
+    shown = lambda tag, x: F.format_string(f"emb_{tag}:%.3f", x)
+    signals = F.array(shown("arg", best["argentina"]), shown("int", best["international"]), shown("unknown", best["unknown"]), shown("margin", scores[0] - scores[1]))
+    return F.struct(F.when(found["final"], found["scope"]).otherwise("unknown").alias("scope"), found["final"].alias("final"), signals.alias("signals"))
+
+
+#: Characters from which a model is asked, and how many it is shown.
+MODEL_CHARS, PROMPT_CHARS = 150, 3500
+
+
+def cascade(rows: DataFrame, lexicon: "Lexicon", anchors: dict[str, list[list[float]]] | None = None, ask=None, model: str = "", margin: float = MARGIN) -> DataFrame:
+    """rows (text, section, organizations, vector and others) with scope and signals, by three layers: the lexicon; where
+    that leaves a text of some length open, the anchors; where their margin is small, a model.
+
+    ask takes the open texts (key, prompt), each text once whatever its number of rows, and gives key, answer; a null or
+    missing answer is an error of the model. Rows without a vector skip the second layer, rows under MODEL_CHARS the third.
+    """
+    none = F.array().cast("array<string>")
+    one = lexical_scope(F.col("text"), F.col("section"), F.col("organizations"), lexicon)
+    rows = rows.withColumn("_one", one)
+    is_open = (F.col("_one.scope") == "unknown") & (F.length(F.trim("text")) >= MIN_CHARS)
+    two = F.when(is_open & F.col("vector").isNotNull(), anchor_scores(F.col("vector"), anchors, margin)) if anchors else F.lit(None).cast("struct<scope:string,final:boolean,signals:array<string>>")
+    rows = rows.withColumn("_two", two)
+    grey = F.coalesce(is_open, F.lit(False)) & ~F.coalesce(F.col("_two.final"), F.lit(False))
+    asked = grey & (F.length(F.trim("text")) >= MODEL_CHARS)
+    rows = rows.withColumn("_key", F.when(asked, F.sha2("text", 256)) if ask else F.lit(None).cast("string"))
+    if ask:
+        texts = rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first(F.substring("text", 1, PROMPT_CHARS)).alias("prompt"))
+        rows = rows.join(ask(texts).select(F.col("key").alias("_key"), F.col("answer").alias("_answer")), "_key", "left")
+    label = label_of(F.col("_answer")) if ask else F.lit("unknown")
+    said = F.when(~asked, F.lit("llm_skipped:short_text")).otherwise(F.lit("llm_skipped:disabled"))
+    if ask:
+        said = F.when(~asked, F.lit("llm_skipped:short_text")).when(F.col("_answer").isNull(), F.lit(f"llm_error:{model}")).otherwise(F.concat(F.lit(f"llm_local:{model}:"), label))
+    last = F.when(F.col("_answer").isNotNull(), label).otherwise("unknown") if ask else F.lit("unknown")
+    scope = F.when(grey, last).when(F.coalesce(F.col("_two.final"), F.lit(False)), F.col("_two.scope")).otherwise(F.col("_one.scope"))
+    signals = F.concat(F.col("_one.signals"), F.coalesce(F.col("_two.signals"), none), F.when(grey, F.array(said)).otherwise(none))
+    return rows.withColumn("scope", scope).withColumn("signals", signals).drop("_one", "_two", "_key", "_answer")
+
+
 def article_scope(chunks: DataFrame) -> DataFrame:
     """source_id, scope of source_id, scope, signals: a firm argentine chunk decides; then two that a model named; then
     any international one; else unknown."""

@@ -50,3 +50,38 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int | None) -> DataF
     if n is None:
         return df
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_place") <= n).drop("_place")
+
+
+def wanted(rows: DataFrame, order: str, sections: list[str] | None = None, per_section: int | None = None, most: int | None = None) -> DataFrame:
+    """rows (section and others) of the sections wanted, whatever their case, a null one being "none"; of each section the
+    first by `order`, then the first of all these."""
+    named = F.lower(F.trim(F.coalesce("section", F.lit("none"))))
+    rows = rows.where(named.isin([s.strip().lower() for s in sections if s.strip()])) if sections else rows
+    rows = top_per_group(rows.withColumn("_section", named), "_section", order, per_section).drop("_section")
+    return rows if most is None else rows.orderBy(order).limit(most)
+
+
+def inspect(store: DataFrame, filters: dict, order: str, limit: int = 10, chars: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(the first rows under the filters with their texts cut short, the facets of these rows)."""
+    from lanternmill.functions.text import truncate
+
+    rows = where_all(store, filters).orderBy(order).limit(limit)
+    there = [c for c in ("article_country_scope", "country_scope", "section") if c in store.columns]
+    return rows.withColumn("text", truncate(F.coalesce("text", F.lit("")), chars)), facets(rows, there)
+
+
+#: The columns that a preview of chunks shows.
+PREVIEW = (
+    "source_id", "chunk_id", "newspaper", "section", "article_title", "publication_date", "date_imputed", "year", "decade", "country_scope", "article_country_scope", "scope_signals",
+    "primary_location", "location_mentions", "persons", "organizations", "chunk_index", "total_chunks",
+)
+
+
+def preview(chunks: DataFrame, chars: int = 800) -> DataFrame:
+    """The columns that a preview shows, and the start of the text."""
+    return chunks.select(*[c for c in PREVIEW if c in chunks.columns], F.substring("text", 1, chars).alias("text"))
+
+
+def payload(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """point_id and a JSON payload of the columns, nulls left out."""
+    return documents.select("point_id", F.to_json(F.struct(*columns)).alias("payload"))

@@ -126,8 +126,9 @@ def whitespace(spark, d):
 
 
 def mojibake(spark, d):
-    broken = F.concat(F.lit("â€œ"), F.substring("text", 1, 50), F.lit("â€¦"))
-    return table(spark, d, "documents").select("doc_id", T.replace_broken_punctuation(F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.col("text"))).alias("text"))
+    broken = F.concat(F.lit("â€œ"), F.col("text"), F.lit("â€¦"))
+    fixed = T.replace_broken_punctuation(F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(fixed, "UTF-8")).alias("text_md5"))
 
 
 def year_extract(spark, d):
@@ -179,12 +180,12 @@ def last_user_turn(spark, d):
 
 def chitchat_intent(spark, d):
     turns = table(spark, d, "conversations")
-    said = F.when(F.col("turn") % 3 == 0, "Hola, buenas tardes!").when(F.col("turn") % 3 == 1, F.col("text")).otherwise("Muchas gracias.")
-    return turns.select("conv_id", "turn", A.intent(said).alias("intent"))
+    polite = F.when(F.col("turn") % 2 == 0, "Hola, buenas tardes!").otherwise("Muchas gracias.")
+    return turns.select("conv_id", "turn", A.intent(F.col("text")).alias("intent"), A.intent(polite).alias("polite"), A.intent(F.concat(polite, F.lit(" "), F.col("text"))).alias("both"))
 
 
 def query_plan(spark, d):
-    asked = F.concat(F.lit("notas de "), F.when(F.col("turn") % 2 == 0, "1998 y 2003: ").otherwise(""), F.substring("text", 1, 30))
+    asked = F.concat(F.lit("notas de "), F.when(F.col("turn") % 2 == 0, "1998 y 2003: ").otherwise(""), F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", A.plan(asked).alias("p")).select("conv_id", "turn", F.col("p.intent").alias("intent"), F.col("p.year").alias("year"))
 
 
@@ -211,6 +212,78 @@ def per_day_ingest(spark, d):
 
 
 
+def planned_query(spark, d):
+    """Plans by a stated model answer a turn: none, one of each intent with filters, and one that isn't JSON."""
+    k = F.col("turn") % 4
+    answer = F.when(k == 1, '{"intent":"OUT_OF_SCOPE"}').when(k == 2, '{"intent":"ARCHIVE_SEARCH","year":2004,"publication_date":"2004-05-01","section":"El Pa\u00eds","search_query":"  "}').when(k == 3, "not json")
+    p = A.planned(F.col("text"), answer, "diario")
+    return table(spark, d, "conversations").select("conv_id", "turn", p.alias("p"), A.routed(p).alias("route")).select("conv_id", "turn", "route", "p.intent", "p.year", "p.publication_date", "p.section", "p.newspaper", F.md5("p.query").alias("query_md5"))
+
+
+def scope_cascade(spark, d):
+    """All three layers: the lexicon, twelve stated anchors, and a stand-in for a model that is asked once a text."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    found = e.where("vec_id < 12").orderBy("vec_id").collect()  # twelve stated anchors, four a class
+    anchors = {c: [list(map(float, r.embedding)) for r in found if r.vec_id % 3 == k] for k, c in enumerate(S.CLASSES)}
+    rows = docs.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.col("source").alias("section"), F.array().cast("array<string>").alias("organizations"), "vector")
+    ask = lambda texts: texts.select("key", F.when(F.col("prompt").contains("ing"), "International, creo.").when(F.col("prompt").contains("ado"), "argentina").alias("answer"))
+    few = S.Lexicon(sections=["src1"], locations=["der"], terms=["nicht"], contextual=["que"])
+    return S.cascade(rows, few, anchors, ask, "stand-in", 0.05).select("doc_id", "scope", F.array_join("signals", "|").alias("signals"))
+
+
+def lexicon_join(spark, d):
+    """The matches of lexicon_match by an equi-join of runs of words."""
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    return S.match_lexicon(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), terms).select(F.col("id").alias("doc_id"), "term")
+
+
+def known_location(spark, d):
+    place = F.concat(F.when(F.col("doc_id") % 2 == 0, " Córdoba ").otherwise(" x"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")))
+    return table(spark, d, "documents").select("doc_id", S.is_known(place, ["CORDOBA", "Xsrc1"]).alias("known"))
+
+
+def signal_previews(spark, d):
+    return S.first_with_signals(_scopes(spark, d), "doc_id").select("kind", F.col("found.doc_id").alias("doc_id"))
+
+
+def page_metadata(spark, d):
+    n = F.col("page_id")
+    head = F.concat(
+        F.when(n % 2 == 0, "<meta property='og:title' content='  Un  t\u00edtulo '>").otherwise("<meta name='twitter:title' content=''>"), F.when(n % 3 == 0, '<meta name="author" content="Ana">').otherwise(""),
+        F.when(n % 5 == 0, "<meta name='section' content='Sociedad'>").otherwise("<p class='nota-seccion chica'>El <b>mundo</b></p>"), F.when(n % 4 == 0, '<meta itemprop="datePublished" content="2004-05-06T10:00">').otherwise(""),
+    )
+    page, own = F.concat(head, F.col("html")), F.when(n % 7 == 0, "Propio")
+    return table(spark, d, "pages").select("page_id", H.title(page, own).alias("title"), H.author(page).alias("author"), H.section(page, own).alias("section"), H.published(page).alias("published"))
+
+
+def markdown_documents(spark, d):
+    n = F.col("doc_id")
+    block = F.when(n % 3 == 0, "---\ntitle: 'Un t\u00edtulo'\nkeywords: [a, \"b c\"]\ntags: solo\n---\n").when(n % 3 == 1, "---\ndescription: d\ntags:\n- x\n- 'y z'\n---\n").otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(block, F.col("text"), F.lit("  \n\n\n\n<b>fin</b>")).alias("text"))
+    return T.markdown_documents(docs).select("doc_id", "doc_title", "doc_description", "keywords", "tags", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def section_limit(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit(" "), F.upper("source"))).alias("section"))
+    return ST.wanted(rows, "doc_id", ["SRC1", " src2 ", "none", ""], 5, 12)
+
+
+def inspect_listing(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("section"), F.col("source").alias("country_scope"), "text")
+    return ST.inspect(docs, {"section": "es", "country_scope": None}, "doc_id", 25, 60)[0].select("doc_id", "section", "text")
+
+
+def inspect_facets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("section"), F.col("source").alias("country_scope"), "text")
+    return ST.inspect(docs, {}, "doc_id", 40)[1]
+
+
+def edition_pages(spark, d):
+    day = V.date_argument(F.date_format("o_orderdate", "dd-MM-yyyy"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(V.edition_urls(day, "https://h"), " ").alias("urls"), V.article_path(day, F.lit("https://h/a/b c.html?x")).alias("path"))
+
+
 def archive_answers(spark, d):
     """All documents in, the questions of the benchmark table out, by the whole chain with its stand-in models."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("section"), F.col("lang").alias("newspaper"), F.lit("2001-05-06").alias("published"), "text")
@@ -232,7 +305,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
     scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
-    query_plan, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest, archive_answers,
+    query_plan, planned_query, scope_cascade, lexicon_join, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest, archive_answers,
 )}
 
 
@@ -294,7 +367,7 @@ SQL = {
     "html_text": f"SELECT page_id, coalesce({_INNER('h1')}, {_INNER('title')}) AS title, md5({_BODY}) AS text_md5, length({_BODY}) >= 120 AS kept FROM pages",
     "clean_text": "WITH d AS (SELECT doc_id, '{{< note >}}' || chr(10) || '<b>' || text || '</b>' || chr(10) || '-----' || repeat(chr(10), 4) || '![x](a.png) end  ' || chr(10) AS m FROM documents) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(" + _CLEAN + r", '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))) AS text_md5 FROM d",
     "whitespace": f"WITH d AS (SELECT doc_id, {_flat('text')} AS t FROM documents) SELECT doc_id, md5(t) AS text_md5, CASE WHEN length(t) > 40 THEN substr(t, 1, 37) || '...' ELSE t END AS preview FROM d",
-    "mojibake": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'â€œ' || substr(text, 1, 50) || 'â€¦' ELSE text END AS x FROM documents) SELECT doc_id, CASE WHEN contains(x, 'Ã') OR contains(x, 'â€') OR contains(x, 'Â') THEN {_BROKEN} ELSE x END AS text FROM d",
+    "mojibake": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'â€œ' || text || 'â€¦' ELSE text END AS x FROM documents) SELECT doc_id, md5(CASE WHEN contains(x, 'Ã') OR contains(x, 'â€') OR contains(x, 'Â') THEN {_BROKEN} ELSE x END) AS text_md5 FROM d",
     "year_extract": r"SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all('del ' || strftime(o_orderdate, '%d-%m-%Y') || ' ' || o_orderkey, '\b(?:19|20)\d{2}\b'), lambda x: x), ',') AS years FROM orders",
     "date_coerce": "WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-13-%d') ELSE ' s/f ' END AS raw FROM orders), c AS (SELECT o_orderkey, raw, try_cast(substr(raw, 1, 10) AS DATE) AS d FROM r) SELECT o_orderkey, CAST(coalesce(d, DATE '1900-01-01') AS VARCHAR) AS day, CAST(year(coalesce(d, DATE '1900-01-01')) AS INTEGER) AS year, CAST(year(coalesce(d, DATE '1900-01-01')) // 10 * 10 AS INTEGER) AS decade, coalesce(CAST(d AS VARCHAR), trim(raw)) AS coerced FROM c",
     "point_ids": "WITH n AS (SELECT doc_id, sha1('\\x6B\\xA7\\xB8\\x11\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::BLOB || encode(coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id || '::chunk::0' END, sha1(text)))) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (instr('0123456789abcdef', h[17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM n",
@@ -304,8 +377,26 @@ SQL = {
     "vector_reuse": "SELECT doc_id AS vec_id, embedding IS NOT NULL AS reused, round(CASE WHEN embedding IS NULL THEN doc_id ELSE embedding[1] END::DOUBLE, 6) AS first, CASE WHEN embedding IS NULL THEN 2 ELSE len(embedding) END AS dim FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 5 <> 0) e ON e.vec_id = doc_id",
     "evidence_verdict": "WITH r AS (SELECT doc_id % 97 AS query_id, doc_id % 97 % 3 = 0 AS dated, CASE WHEN doc_id % 97 % 2 = 0 THEN 0.6 ELSE 0.4 END AS w, source, 1990 + doc_id % 13 AS year, (doc_id * 37 % 100) / 250::DOUBLE + quality * 0.01::DOUBLE AS score FROM labels JOIN documents USING (doc_id)), a AS (SELECT query_id, bool_or(NOT dated OR year = 1999) AS fits, max(w) AS w, max(score) AS top_score, count(*) FILTER (WHERE score >= 0.25) AS relevant_count, count(DISTINCT source) FILTER (WHERE score >= 0.25) AS n_sources FROM r GROUP BY query_id) SELECT query_id, CASE WHEN NOT fits THEN 'INSUFFICIENT' WHEN w > 0.5 THEN CASE WHEN n_sources >= 1 AND (relevant_count >= 2 OR top_score >= 0.3) THEN 'SUFFICIENT' WHEN n_sources >= 1 THEN 'LOW_CONFIDENCE' ELSE 'INSUFFICIENT' END WHEN relevant_count >= 3 AND n_sources >= 2 THEN 'SUFFICIENT' WHEN relevant_count >= 1 AND n_sources >= 1 THEN 'LOW_CONFIDENCE' ELSE 'INSUFFICIENT' END AS verdict, round(top_score, 6) AS top_score, relevant_count, n_sources FROM a",
     "last_user_turn": "SELECT conv_id, coalesce(nullif(max_by(text, turn) FILTER (WHERE role = 'user'), ''), 'Hola') AS question FROM conversations GROUP BY conv_id",
-    "chitchat_intent": f"WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Hola, buenas tardes!' WHEN 1 THEN text ELSE 'Muchas gracias.' END AS said FROM conversations) SELECT conv_id, turn, CASE WHEN {_TALK} THEN 'CHITCHAT' ELSE 'ARCHIVE_SEARCH' END AS intent FROM s",
-    "query_plan": f"WITH s AS (SELECT conv_id, turn, 'notas de ' || CASE WHEN turn % 2 = 0 THEN '1998 y 2003: ' ELSE '' END || substr(text, 1, 30) AS said FROM conversations) SELECT conv_id, turn, CASE WHEN {_TALK} THEN 'CHITCHAT' ELSE 'ARCHIVE_SEARCH' END AS intent, CAST(nullif(regexp_extract(said, '\\b(?:19|20)\\d{{2}}\\b'), '') AS INTEGER) AS year FROM s",
+    "chitchat_intent": "WITH s AS (SELECT conv_id, turn, text, CASE turn % 2 WHEN 0 THEN 'Hola, buenas tardes!' ELSE 'Muchas gracias.' END AS polite FROM conversations) SELECT conv_id, turn, " + ", ".join(f"CASE WHEN {_TALK.replace('(said,', f'({x},')} THEN 'CHITCHAT' ELSE 'ARCHIVE_SEARCH' END AS {name}" for x, name in (("text", "intent"), ("polite", "polite"), ("polite || ' ' || text", '"both"'))) + " FROM s",
+    "planned_query": f"WITH s AS (SELECT conv_id, turn, text AS said, turn % 4 AS k FROM conversations), t AS (SELECT *, {_TALK} AS talk FROM s), p AS (SELECT conv_id, turn, CASE WHEN talk THEN 'CHITCHAT' WHEN k = 1 THEN 'OUT_OF_SCOPE' ELSE 'ARCHIVE_SEARCH' END AS intent, CASE WHEN talk OR k = 1 THEN NULL WHEN k = 2 THEN 2004 ELSE CAST(nullif(regexp_extract(said, '\\b(?:19|20)\\d{{2}}\\b'), '') AS INTEGER) END AS year, CASE WHEN NOT talk AND k = 2 AND regexp_matches(lower(strip_accents(said)), '\\b(1|uno|primero|1ro)\\b') THEN '2004-05-01' END AS publication_date, CASE WHEN NOT talk AND k = 2 THEN 'elpais' END AS section, 'diario' AS newspaper, md5(said) AS query_md5 FROM t) SELECT *, CASE intent WHEN 'CHITCHAT' THEN 'reply' WHEN 'OUT_OF_SCOPE' THEN 'decline' ELSE 'search' END AS route FROM p",
+    "scope_cascade": f"""WITH sc AS (SELECT doc_id, text, source, length(trim(text)) AS n, {_list([("gazetteer:", "der", _has("text", "der")), ("term:", "nicht", _loose("nicht"))])} AS strong, {_list([("contextual_term:", "que", _loose("que"))])} AS weak FROM documents),
+one AS (SELECT doc_id, text, n, CASE WHEN n >= 100 AND (source = 'src1' OR len(strong) > 0) THEN 'argentina' ELSE 'unknown' END AS scope, CASE WHEN n < 100 THEN [] WHEN source = 'src1' THEN ['seccion:src1'] ELSE strong || weak END AS signals FROM sc),
+c AS (SELECT one.doc_id, a.vec_id % 3 AS place, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) AS score FROM one JOIN embeddings e ON e.vec_id = one.doc_id, (SELECT * FROM embeddings WHERE vec_id < 12) a WHERE one.scope = 'unknown' AND n >= 100 GROUP BY ALL),
+two AS (SELECT doc_id, list(score ORDER BY place) AS by_class, list(score ORDER BY score DESC) AS best, arg_max(place, score) AS place FROM c GROUP BY doc_id),
+m AS (SELECT one.*, scope = 'unknown' AND n >= 100 AS open, best[1] - best[2] > 0.05 AS final, two.place, CASE WHEN best IS NULL THEN [] ELSE [printf('emb_arg:%.3f', by_class[1]), printf('emb_int:%.3f', by_class[2]), printf('emb_unknown:%.3f', by_class[3]), printf('emb_margin:%.3f', best[1] - best[2])] END AS emb, CASE WHEN contains(substr(text, 1, 3500), 'ing') THEN 'international' WHEN contains(substr(text, 1, 3500), 'ado') THEN 'argentina' END AS said FROM one LEFT JOIN two USING (doc_id)),
+g AS (SELECT *, open AND NOT coalesce(final, false) AS grey FROM m)
+SELECT doc_id, CASE WHEN grey THEN CASE WHEN n >= 150 THEN coalesce(said, 'unknown') ELSE 'unknown' END WHEN open THEN ['argentina', 'international', 'unknown'][place + 1] ELSE scope END AS scope,
+array_to_string(signals || CASE WHEN open THEN emb ELSE [] END || CASE WHEN NOT grey THEN [] WHEN n < 150 THEN ['llm_skipped:short_text'] WHEN said IS NULL THEN ['llm_error:stand-in'] ELSE ['llm_local:stand-in:' || said] END, '|') AS signals FROM g""",
+    "lexicon_join": f"WITH f AS (SELECT doc_id, {_FOUND} AS found FROM documents) SELECT doc_id, unnest(found) AS term FROM f",
+    "known_location": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 ELSE doc_id % 2 = 1 AND source = 'src1' END AS known FROM documents",
+    "signal_previews": f"WITH {_SCOPES} SELECT 'section' AS kind, min(doc_id) FILTER (WHERE len(list_filter(signals, lambda s: starts_with(s, 'seccion:'))) > 0) AS doc_id FROM sc UNION ALL SELECT 'lexicon', min(doc_id) FILTER (WHERE len(list_filter(signals, lambda s: regexp_matches(s, '^(gazetteer|term|institution|political_org|club):'))) > 0) FROM sc UNION ALL SELECT 'anchors', NULL UNION ALL SELECT 'model', NULL",
+    "page_metadata": f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'Propio' WHEN page_id % 2 = 0 THEN 'Un t\u00edtulo' ELSE coalesce({_INNER('h[12]').replace('</h[12]>', '</h[12]>')}, {_INNER('title')}) END AS title, CASE WHEN page_id % 3 = 0 THEN 'Ana' END AS author, CASE WHEN page_id % 7 = 0 THEN 'Propio' WHEN page_id % 5 = 0 THEN 'Sociedad' ELSE 'El mundo' END AS section, CASE WHEN page_id % 4 = 0 THEN '2004-05-06' END AS published FROM pages",
+    "markdown_documents": "WITH d AS (SELECT doc_id, text || '  ' || repeat(chr(10), 4) || '<b>fin</b>' AS m FROM documents), c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(" + _CLEAN + r", '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS t FROM d) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Un t" + "\u00ed" + r"tulo' END AS doc_title, CASE WHEN doc_id % 3 = 1 THEN 'd' END AS doc_description, CASE WHEN doc_id % 3 = 0 THEN 'a, b c' END AS keywords, CASE WHEN doc_id % 3 = 1 THEN 'x, y z' END AS tags, md5(t) AS text_md5 FROM c WHERE length(trim(t)) >= 30",
+    "section_limit": "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN ' ' || upper(source) END AS section FROM documents), w AS (SELECT * FROM s WHERE coalesce(lower(trim(section)), 'none') IN ('src1', 'src2', 'none') QUALIFY row_number() OVER (PARTITION BY coalesce(lower(trim(section)), 'none') ORDER BY doc_id) <= 5) SELECT * FROM w ORDER BY doc_id LIMIT 12",
+    "inspect_listing": f"WITH l AS (SELECT doc_id, lang AS section, {_flat('text')} AS t FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 25) SELECT doc_id, section, CASE WHEN length(t) > 60 THEN substr(t, 1, 57) || '...' ELSE t END AS text FROM l",
+    "inspect_facets": "WITH l AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN lang END, 'missing') AS section, source AS country_scope FROM documents ORDER BY doc_id LIMIT 40) SELECT 'section' AS facet, section AS value, count(*) AS n FROM l GROUP BY section UNION ALL SELECT 'country_scope', country_scope, count(*) FROM l GROUP BY country_scope",
+    "edition_pages": "SELECT o_orderkey, strftime(o_orderdate, 'https://h/diario/secciones/index-%Y-%m-%d.html https://h/diario/principal/index-%Y-%m-%d.html https://h/%Y/%m-%Y/dia/%d-%m-%Y.html') AS urls, strftime(o_orderdate, '%Y/%m/') || 'b-c.html' AS path FROM orders",
+    "query_plan": f"WITH s AS (SELECT conv_id, turn, 'notas de ' || CASE WHEN turn % 2 = 0 THEN '1998 y 2003: ' ELSE '' END || text AS said FROM conversations) SELECT conv_id, turn, CASE WHEN {_TALK} THEN 'CHITCHAT' ELSE 'ARCHIVE_SEARCH' END AS intent, CAST(nullif(regexp_extract(said, '\\b(?:19|20)\\d{{2}}\\b'), '') AS INTEGER) AS year FROM s",
     "cited_sources": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '2' WHEN 2 THEN '2' WHEN 6 THEN '2' ELSE (doc_id % 7) || ',2' END AS cited FROM documents",
     "citations": f"WITH r AS (SELECT page_id % 10 AS query_id, page_id AS rank, {_HOST} AS label, 1.0::DOUBLE / (1 + page_id) AS score FROM pages), f AS (SELECT query_id, label, min(rank) AS rank, arg_min(score, rank) AS score FROM r GROUP BY query_id, label) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation_id, label, '2024-05-06' AS published, round(score, 6) AS score FROM f",
     "date_range_coverage": "SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS day, count(event_id) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) g(day) LEFT JOIN events ON CAST(ts AS DATE) = CAST(day AS DATE) GROUP BY day",

@@ -27,19 +27,26 @@ def _many(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _lexical(spark, d, lang=None, text=QUESTION):
-    docs, asked = _docs(spark, d, lang), _one(spark, text)
+def _lexical(spark, d, lang=None, text=QUESTION, asked=None):
+    docs, asked = _docs(spark, d, lang), asked if asked is not None else _one(spark, text)
     return R.top(R.with_zeros(R.bm25(docs, asked), docs, asked, R.DEPTH))
 
 
-def _query_vector(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id = 7").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("qvector"))
+def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of a search: every row whose id is divisible by 100."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvector"))
+
+
+def _fused(spark, d, *weights):
+    """The nearest vectors of every query vector, and the best documents of one question."""
+    asked = _query_vectors(spark, d).select("query_id", F.lit(QUESTION).alias("text"))
+    return R.fuse(_semantic(spark, d), _lexical(spark, d, asked=asked), *weights)
 
 
 def _semantic(spark, d, label=None):
     vectors = table(spark, d, "embeddings")
     vectors = vectors.where(F.col("label") == label) if label is not None else vectors
-    return R.top(R.semantic(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), _query_vector(spark, d)))
+    return R.top(R.semantic(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), _query_vectors(spark, d)))
 
 
 def tokenize_stats(spark, d):
@@ -77,15 +84,19 @@ def cosine_filtered(spark, d):
 
 
 def rrf_fusion(spark, d):
-    return R.fuse(_semantic(spark, d), _lexical(spark, d))
+    return _fused(spark, d)
 
 
 def rrf_weighted(spark, d):
-    return R.fuse(_semantic(spark, d), _lexical(spark, d), 0.4, 0.6)
+    return _fused(spark, d, 0.4, 0.6)
+
+
+def rrf_order(spark, d):
+    return R.ordered(_fused(spark, d, 0.6, 0.4)).select("query_id", "id", "position")
 
 
 def hybrid_rerank(spark, d):
-    fused = R.fuse(_semantic(spark, d), _lexical(spark, d))
+    fused = _fused(spark, d)
     rows = fused.join(_docs(spark, d), "id").withColumn("question", F.lit(QUESTION))
     return R.overlap_rerank(rows.select("query_id", "id", "question", "text"))
 
@@ -95,6 +106,12 @@ def query_weights(spark, d):
     return asked.select("conv_id", "turn", F.col("w.semantic").alias("w_semantic"), F.col("w.lexical").alias("w_lexical"))
 
 
+def model_weights(spark, d):
+    text = F.col("text")
+    w = R.tagged_weights(text, text.rlike(r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"), F.lit(None).cast("boolean"), F.col("turn") % 3 == 2)
+    return table(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).select("conv_id", "turn", F.col("w.semantic").alias("w_semantic"), F.col("w.lexical").alias("w_lexical"))
+
+
 ANCHORS = {"argentina": 1, "international": 2, "unknown": 3}
 
 
@@ -105,7 +122,7 @@ def anchor_margin(spark, d):
     return e.select("vec_id", anchor_scope(F.col("embedding"), anchors).alias("a")).select("vec_id", F.col("a.scope").alias("scope"), F.col("a.margin").alias("margin"), F.col("a.final").alias("final"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, stopword_filtered_tf, bm25_topk, bm25_filtered, bm25_zero_fill, bm25_batch, cosine_topk, cosine_filtered, rrf_fusion, rrf_weighted, hybrid_rerank, query_weights, anchor_margin)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, stopword_filtered_tf, bm25_topk, bm25_filtered, bm25_zero_fill, bm25_batch, cosine_topk, cosine_filtered, rrf_fusion, rrf_weighted, rrf_order, model_weights, hybrid_rerank, query_weights, anchor_margin)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOK = r"regexp_extract_all(regexp_replace(strip_accents(lower({})), '\p{{Mn}}+', '', 'g'), '[\p{{L}}\p{{N}}_]+')"
@@ -139,18 +156,18 @@ def _top_sql(source: str, k: int = R.DEPTH) -> str:
     return f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM {source} QUALIFY rank < {k}"
 
 
-def _lexical_sql(lang: str | None, text: str) -> str:
+def _lexical_sql(lang: str | None, text: str, asked: str = "SELECT CAST(0 AS BIGINT) AS query_id") -> str:
     docs = "SELECT doc_id AS id, text FROM documents" + (f" WHERE lang = '{lang}'" if lang else "")
-    return _bm25_sql(docs, f"SELECT CAST(0 AS BIGINT) AS query_id, '{text}' AS text") + ", " + _zero_sql()
+    return _bm25_sql(docs, f"SELECT query_id, '{text}' AS text FROM ({asked})") + ", " + _zero_sql()
 
 
 def _semantic_sql(where: str = "true") -> str:
     dot = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-    return f"sem AS (SELECT CAST(0 AS BIGINT) AS query_id, e.vec_id AS id, round({dot}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE {where})"
+    return f"sem AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({dot}, 6) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q WHERE {where})"
 
 
 def _fuse_sql(a: float, b: float) -> str:
-    return f"""WITH {_semantic_sql()}, {_lexical_sql(None, QUESTION)}, s AS ({_top_sql('sem')}), l AS ({_top_sql('filled')}),
+    return f"""WITH {_semantic_sql()}, {_lexical_sql(None, QUESTION, "SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0")}, s AS ({_top_sql('sem')}), l AS ({_top_sql('filled')}),
 fused AS (SELECT query_id, id, round(sum(part), 8) AS rrf, max(sr) AS semantic_rank, max(br) AS bm25_rank FROM (SELECT query_id, id, {a}::DOUBLE / (60 + rank) AS part, rank AS sr, NULL::BIGINT AS br FROM s UNION ALL SELECT query_id, id, {b}::DOUBLE / (60 + rank), NULL, rank FROM l) GROUP BY query_id, id)"""
 
 
@@ -163,9 +180,14 @@ SQL = {
     "bm25_zero_fill": "WITH " + _lexical_sql("de", "ciónmente xyzzy") + " " + _top_sql("filled"),
     "bm25_batch": "WITH " + _bm25_sql("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark") + " " + _top_sql("scores", 5),
     "cosine_topk": f"WITH {_semantic_sql()} {_top_sql('sem')}",
-    "cosine_filtered": f"WITH {_semantic_sql('label = 3')} {_top_sql('sem')}",
+    "cosine_filtered": f"WITH {_semantic_sql('e.label = 3')} {_top_sql('sem')}",
     "rrf_fusion": _fuse_sql(0.5, 0.5) + " SELECT * FROM fused",
     "rrf_weighted": _fuse_sql(0.4, 0.6) + " SELECT * FROM fused",
+    "rrf_order": _fuse_sql(0.6, 0.4) + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, semantic_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, id) - 1 AS position FROM fused",
+    "model_weights": f"""WITH w AS (SELECT conv_id, turn, regexp_matches(text, '\\p{{Lu}}\\p{{Ll}}+ \\p{{Lu}}\\p{{Ll}}+') OR turn % 3 = 2 OR len(list_filter({_W}, lambda x: lower(x) IN ({', '.join(f"'{m}'" for m in R.MONTHS)}))) > 0 OR regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])(19\\d{{2}}|20\\d{{2}}|\\d{{2}})([^\\p{{L}}\\p{{N}}_]|$)') AS fact,
+list_transform(regexp_extract_all(trim(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'), lambda x: lower(x)) AS t FROM conversations),
+i AS (SELECT conv_id, turn, fact, len(list_filter(t, lambda x: x IN ({', '.join(f"'{m}'" for m in (*R.IDEA_WORDS, *R.MORE_IDEA_WORDS))}))) > 0 OR len(list_filter(range(1, len(t)), lambda k: t[k] = 'por' AND t[k + 1] = 'que')) > 0 OR len(t) > 8 AS idea FROM w)
+SELECT conv_id, turn, CASE WHEN fact THEN 0.4 WHEN idea THEN 0.6 ELSE 0.5 END::DOUBLE AS w_semantic, CASE WHEN fact THEN 0.6 WHEN idea THEN 0.4 ELSE 0.5 END::DOUBLE AS w_lexical FROM i""",
     "hybrid_rerank": _fuse_sql(0.5, 0.5)
     + f""", r AS (SELECT query_id, f.id, round(len(list_intersect(list_distinct({_kept(f"'{QUESTION}'")}), {_kept('docs.text')})) / greatest(len(list_distinct({_kept(f"'{QUESTION}'")})), 1), 6) AS rerank_score FROM fused f JOIN docs ON docs.id = f.id)
 SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS rerank_position FROM r QUALIFY rerank_position <= {R.RERANK_DEPTH}""",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternmill.functions.html import MIN_TEXT, plain_text, title
+from lanternmill.functions.html import MIN_TEXT, author, plain_text, published, section, title
 from lanternmill.functions.text import repair_mojibake
-from lanternmill.functions.values import coerce_date
 
 MANIFEST = "date string, source string, mechanism_used string, total_urls int, scraped_at string, urls array<struct<url:string,title:string,snippet:string,section:string>>"
 SIDECAR = "source_url string, publication_date string, newspaper string, article_title string, section string, author string"
@@ -25,13 +26,21 @@ def _text(content):
 
 
 def read_markdown(spark: SparkSession, folder: str, min_chars: int = 10) -> DataFrame:
-    """path, file_name, text of all .md files below a folder with that much text."""
-    return _files(spark, folder, "*.md").select("path", "file_name", _text(F.col("content")).alias("text")).where(F.length(F.trim("text")) >= min_chars)
+    """path, file_name, source_file (the path below the folder), text of all .md files with that much text. A folder that
+    is not there, or has no such file, is an error."""
+    rows = _files(spark, folder, "*.md")
+    if rows.limit(1).isEmpty():
+        raise FileNotFoundError(f"no .md file below {folder}")
+    below = F.regexp_replace(F.element_at(F.split("path", f"{re.escape(folder.split('://')[-1].rstrip('/'))}/", 2), -1), "^/", "")
+    return rows.select("path", "file_name", below.alias("source_file"), _text(F.col("content")).alias("text")).where(F.length(F.trim("text")) >= min_chars)
 
 
 def read_pages(spark: SparkSession, folder: str, day: str | None = None) -> DataFrame:
-    """The .html files below a folder (of one day: names ending in -YYYY-MM-DD.html) with the .json of the same stem;
-    where that is missing or malformed, its columns are null."""
+    """The .html files below a folder with the .json of the same stem; where that is missing or malformed, its columns
+    are null. Of one day: names ending in -YYYY-MM-DD.html, in the day's folder YYYY/MM if there is one."""
+    if day:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{day[:4]}/{day[5:7]}")
+        folder = own.toString() if own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own) else folder
     html = _files(spark, folder, f"*-{day}.html" if day else "*.html").select("path", "file_name", _text(F.col("content")).alias("html"))
     side = _files(spark, folder, "*.json").select(F.regexp_replace("path", r"\.json$", "").alias("stem"), F.from_json(F.col("content").cast("string"), SIDECAR).alias("meta"))
     return html.withColumn("stem", F.regexp_replace("path", r"\.html$", "")).join(side, "stem", "left").select("path", "file_name", "html", "meta.*")
@@ -40,7 +49,8 @@ def read_pages(spark: SparkSession, folder: str, day: str | None = None) -> Data
 def parse_pages(pages: DataFrame, min_text: int = MIN_TEXT) -> DataFrame:
     """source_id, title, section, author, published, text of read_pages rows with enough text."""
     text = repair_mojibake(plain_text(F.col("html")))
-    rows = pages.select(F.coalesce("source_url", "path").alias("source_id"), title(F.col("html"), F.col("article_title")).alias("title"), "section", "author", "newspaper", "source_url", coerce_date(F.col("publication_date")).alias("published"), text.alias("text"))
+    html = F.col("html")
+    rows = pages.select(F.coalesce("source_url", "path").alias("source_id"), title(html, F.col("article_title")).alias("title"), section(html, F.col("section")).alias("section"), author(html, F.col("author")).alias("author"), "newspaper", "source_url", published(html, F.col("publication_date")).alias("published"), text.alias("text"))
     return rows.where(F.length("text") >= min_text)
 
 
@@ -59,13 +69,14 @@ def write_manifest(urls: DataFrame, path: str, source: str, mechanism: str) -> N
 
 
 def robots_blocked(lines: DataFrame, agent: str) -> DataFrame:
-    """The prefixes that a robots.txt (columns pos, line) disallows to an agent; a group applies if its agent is * or a
-    part of ours."""
+    """file, value: the prefixes that robots.txt files (columns pos, line and, for many, file) disallow to an agent; a
+    group applies if its agent is * or a part of ours."""
     from pyspark.sql import Window
 
     field = F.lower(F.trim(F.substring_index("line", ":", 1)))
     value = F.trim(F.regexp_extract("line", r":([^#]*)", 1))
-    rows = lines.select("pos", field.alias("field"), value.alias("value"))  # a file of a few lines
-    last = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), ignorenulls=True).over(Window.orderBy("pos"))
+    file = F.col("file") if "file" in lines.columns else F.lit("")
+    rows = lines.select(file.alias("file"), "pos", field.alias("field"), value.alias("value"))  # files of a few lines
+    last = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
     rows = rows.withColumn("agent", last).where((F.col("agent") == "*") | F.lit(agent.lower()).contains(F.col("agent")))
-    return rows.where("field = 'disallow' and value <> ''").select("value").distinct()
+    return rows.where("field = 'disallow' and value <> ''").select("file", "value").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def create_collection(spark: SparkSession, path: str, schema: str, force: bool = False) -> DataFrame:
@@ -23,3 +24,21 @@ def write_documents(documents: DataFrame, path: str, as_json: bool = False) -> N
     """Parsed documents, atomically: readers see all files or, until the commit, none."""
     writer = documents.write.mode("overwrite")
     writer.json(path) if as_json else writer.parquet(path)
+    if as_json:
+        count_header(documents).coalesce(1).write.mode("overwrite").json(f"{path}_header")
+
+
+def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Puts rows in the place of the collection they may have been read from: they are written beside it first."""
+    beside = f"{path.rstrip('/')}-next"
+    rows.write.partitionBy("year").mode("overwrite").parquet(beside)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = hadoop(beside), hadoop(path)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def count_header(documents: DataFrame) -> DataFrame:
+    """total_documents, generated_at: what heads a file of parsed documents."""
+    return documents.agg(F.count("*").alias("total_documents")).withColumn("generated_at", F.current_timestamp().cast("string"))
