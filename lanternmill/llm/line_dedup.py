@@ -85,7 +85,8 @@ def _prefix(words: Column, classes: Column, threshold: float) -> Column:
     """The rarest words, as numbers in the order of rarity, of which a set that similar has one too; none for a set so
     short that only an equal one is similar."""
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    ordered = F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), _CLASS_BIT).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    number = lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), _CLASS_BIT).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    ordered = F.sort_array(F.transform(words, lambda h: F.coalesce(number(h), F.lit(0).cast("long"))))  # without nulls, sorted as plain numbers
     n = F.size(words)
     alone = n / (n + 1) < threshold - 1e-9
     return F.when(alone, F.array().cast("array<long>")).otherwise(F.slice(ordered, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
@@ -123,12 +124,18 @@ def _sides(a: str, b: str) -> list[Column]:
     return [F.col(f"{own}.{c}").alias(c + side) for own, side in ((a, "a"), (b, "b")) for c in ("doc", "line", "n", "m0", "m1")]
 
 
+def _comes_later(a: str, b: str) -> Column:
+    """Whether the place doc, line of side a is after that of side b; plain comparisons, as joins ask this of every pair."""
+    doc, line = (F.col("doc" + a), F.col("doc" + b)), (F.col("line" + a), F.col("line" + b))
+    return (doc[0] > doc[1]) | ((doc[0] == doc[1]) & (line[0] > line[1]))
+
+
 def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
     """later, earlier, with repeats: sets, for each of their first words, with the earliest that has this word among its
     first, if the two could be similar. Both steps can be split where a word is hot."""
     filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES)))
     earliest = filed.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("members")).where("members > 1").select("token", "first")
-    pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where((F.struct("doca", "linea") > F.struct("docb", "lineb")) & _could_match(threshold))
+    pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
@@ -152,10 +159,10 @@ def _met(sets: DataFrame, threshold: float, part: int = 0, parts: int = 1) -> Da
     filed = _filed(sets, "open").where(F.pmod("token", F.lit(parts)) == part).select("token", "p", "open", "own.*")
     a, b = (filed.select("token", *[F.col(c).alias(c + side) for c in ("doc", "line", "n", "m0", "m1", "open", "p")]) for side in "ab")
     b = b.where(F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9))
-    a_later = F.struct("doca", "linea") > F.struct("docb", "lineb")
+    a_later = _comes_later("a", "b")
     together = a.join(b.hint("merge"), "token").where(
-        ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & a_later))
-        & _could_match(threshold)
+        _could_match(threshold)
+        & ((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & a_later))
         & F.when(a_later, F.col("opena")).otherwise(F.col("openb"))
         & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     )
@@ -213,20 +220,21 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     on, but for an n_lines or n_removed, which these replace.
     """
     kept = first_lines(documents, threshold)
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text", F.struct(*documents.columns).alias("row"))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.struct(*documents.columns).alias("row"))
     joined = rows.join(kept.hint("merge"), "doc", "left")  # a row a document
     dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda at: F.coalesce(F.element_at("bits", at), F.lit(0).cast("long")))
 
     def marked(bits: Column) -> Column:
         stays = lambda i: F.coalesce(F.getbit(F.get(bits, F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
-        return F.transform(F.split("text", "\n"), lambda x, i: let(F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "", lambda w: F.struct(x.alias("x"), w.alias("w"), (~w | stays(i)).alias("s"))))
+        return F.transform(F.split("row.text", "\n"), lambda x, i: let(F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "", lambda w: F.struct(x.alias("x"), w.alias("w"), (~w | stays(i)).alias("s"))))
 
     joined = joined.select("row", let(F.when(F.col("top").isNotNull(), dense), marked).alias("lines"))
     joined = joined.select("row", "lines", F.filter("lines", lambda x: x["s"]).alias("left"))
-    with_word = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x["w"])), F.lit(0)).cast("long")
-    text = F.when(F.col("row.text").isNotNull(), F.array_join(F.transform("left", lambda x: x["x"]), "\n"))
+    with_word = F.coalesce(F.size(F.filter("lines", lambda x: x["w"])), F.lit(0)).cast("long")
+    removed = F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long")  # only lines with a word go
+    text = F.when(removed == 0, F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda x: x["x"]), "\n"))
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, with_word("lines").alias("n_lines"), (with_word("lines") - with_word("left")).alias("n_removed"))
+    return joined.select(*columns, with_word.alias("n_lines"), removed.alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
