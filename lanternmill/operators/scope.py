@@ -50,8 +50,12 @@ def match_lexicon(docs: DataFrame, terms: DataFrame) -> DataFrame:
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
     none = F.array().cast("array<string>")
     runs = F.array_distinct(F.concat(*[F.when(F.size("w") >= n, grams(n)).otherwise(none) for n in sizes])) if sizes else none
-    met = own.select("id", "flat", F.explode(runs).alias("gram")).join(known, "gram")
-    return met.where(F.regexp(F.col("flat"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("plain"), F.lit(r"\E(?!\w)")))).select("id", "term").distinct()
+    met = own.select("id", F.explode(runs).alias("gram")).join(known, "gram")
+    # a text is read once for all the terms it may have, and isn't copied for every run of words
+    asked = met.groupBy("id").agg(F.collect_set(F.struct("term", "plain")).alias("asked"))
+    there = lambda x: F.regexp(F.col("flat"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), x["plain"], F.lit(r"\E(?!\w)")))
+    found = own.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id"))).select("d.id", F.filter("asked", there).alias("found"))
+    return found.select("id", F.explode("found.term").alias("term")).distinct()
 
 
 def is_known(value: Column, aliases: list[str]) -> Column:
@@ -137,22 +141,34 @@ def lexical_scope(text: Column, section: Column, organizations: Column, lexicon:
     )
 
 
+def _nearest(vector: Column, anchors: dict[str, list[list[float]]]) -> Column:
+    """The best cosine with an anchor of each of CLASSES, worked out once for all that is told of it."""
+    return F.array(*[F.array_max(F.transform(F.array(*[F.array(*map(F.lit, a)) for a in anchors[c]]), lambda a: cosine(vector, a))) for c in CLASSES])
+
+
+def _ahead(best: Column, margin: float) -> list[Column]:
+    """scope, margin, final of the best scores of CLASSES. Ties keep their order."""
+    ranked = F.sort_array(F.array(*[F.struct((-best[k]).alias("minus"), F.lit(k).alias("place"), F.lit(c).alias("name")) for k, c in enumerate(CLASSES)]))
+    gap = ranked[1]["minus"] - ranked[0]["minus"]
+    return [ranked[0]["name"].alias("scope"), F.round(gap, 6).alias("margin"), (gap > margin).alias("final")]
+
+
 def anchor_scope(vector: Column, anchors: dict[str, list[list[float]]], margin: float = MARGIN) -> Column:
     """struct<scope, margin, final>: the class with the nearest anchor, final if ahead of the next by over the margin.
     Ties keep the order of CLASSES."""
-    best = [F.struct((-F.array_max(F.array(*[cosine(vector, F.array(*map(F.lit, a))) for a in anchors[c]]))).alias("minus"), F.lit(k).alias("place"), F.lit(c).alias("name")) for k, c in enumerate(CLASSES)]
-    ranked = F.sort_array(F.array(*best))
-    gap = ranked[1]["minus"] - ranked[0]["minus"]
-    return F.struct(ranked[0]["name"].alias("scope"), F.round(gap, 6).alias("margin"), (gap > margin).alias("final"))
+    return F.transform(F.array(_nearest(vector, anchors)), lambda best: F.struct(*_ahead(best, margin)))[0]
 
 
 def anchor_scores(vector: Column, anchors: dict[str, list[list[float]]], margin: float = MARGIN) -> Column:
     """struct<scope, final, signals>: as anchor_scope, with the scores and the margin as signals."""
-    best = {c: F.array_max(F.array(*[cosine(vector, F.array(*map(F.lit, a))) for a in anchors[c]])) for c in CLASSES}
-    found, scores = anchor_scope(vector, anchors, margin), F.sort_array(F.array(*best.values()), asc=False)
     shown = lambda tag, x: F.format_string(f"emb_{tag}:%.3f", x)
-    signals = F.array(shown("arg", best["argentina"]), shown("int", best["international"]), shown("unknown", best["unknown"]), shown("margin", scores[0] - scores[1]))
-    return F.struct(F.when(found["final"], found["scope"]).otherwise("unknown").alias("scope"), found["final"].alias("final"), signals.alias("signals"))
+
+    def told(best: Column) -> Column:
+        (scope, _, final), scores = _ahead(best, margin), F.sort_array(best, asc=False)
+        signals = F.array(*[shown(tag, best[k]) for k, tag in enumerate(("arg", "int", "unknown"))], shown("margin", scores[0] - scores[1]))
+        return F.struct(F.when(final, scope).otherwise("unknown").alias("scope"), final.alias("final"), signals.alias("signals"))
+
+    return F.transform(F.array(_nearest(vector, anchors)), told)[0]
 
 
 #: Characters from which a model is asked, and how many it is shown.

@@ -14,15 +14,23 @@ from lanternmill.operators import chunks as C
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
-from lanternmill.session import shared_path, table
+from lanternmill.session import shared_path, spread, table
 from lanternmill.streaming import ingest
 
 TERMS = ["the", "of and", "ing", "nicht", "la", "des"]
 LEXICON = S.Lexicon(sections=["src1", "src2"], locations=["la", "der"], institutions=["in the", "tion"], terms=["nicht"], weak_institutions=["des"], contextual=["que"])
 
 
+def _texts(spark: SparkSession, d: str, *columns) -> DataFrame:
+    return spread(table(spark, d, "documents").select(*columns or ("doc_id", "text")))
+
+
+def _html(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages").select("page_id", "html"))
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
+    return _texts(spark, d, F.col("doc_id").cast("string").alias("source_id"), "text")
 
 
 def chunk_fixed(spark, d):
@@ -45,17 +53,17 @@ def rebuild_articles(spark, d):
 
 
 def lexicon_match(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(S.find_terms(F.col("text"), TERMS)).alias("pos", "term"))
+    rows = _texts(spark, d).select("doc_id", F.posexplode(S.find_terms(F.col("text"), TERMS)).alias("pos", "term"))
     return rows.select("doc_id", F.col("pos").cast("long"), "term")
 
 
 def primary_location(spark, d):
     found = S.find_terms(F.col("text"), TERMS)
-    return table(spark, d, "documents").select("doc_id", S.primary_location(found, "la").alias("location"))
+    return _texts(spark, d).select("doc_id", S.primary_location(found, "la").alias("location"))
 
 
 def _scopes(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _texts(spark, d, "doc_id", "lang", "source", "text")
     own = S.lexical_scope(F.col("text"), F.col("source"), F.array().cast("array<string>"), LEXICON)
     return docs.select("doc_id", "lang", "source", own.alias("s")).select("doc_id", "lang", "source", "s.scope", "s.signals")
 
@@ -109,26 +117,26 @@ def top_n_per_host(spark, d):
 
 
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", H.title(F.col("html")).alias("title"), F.md5(F.encode(H.plain_text(F.col("html")), "UTF-8")).alias("text_md5"), (F.length(H.plain_text(F.col("html"))) >= H.MIN_TEXT).alias("kept"))
+    return _html(spark, d).select("page_id", H.title(F.col("html")).alias("title"), F.md5(F.encode(H.plain_text(F.col("html")), "UTF-8")).alias("text_md5"), (F.length(H.plain_text(F.col("html"))) >= H.MIN_TEXT).alias("kept"))
 
 
 def html_parsed(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(H.parsed_text(F.col("html"))).cast("long").alias("n_chars"))
+    return _html(spark, d).select("page_id", F.length(H.parsed_text(F.col("html"))).cast("long").alias("n_chars"))
 
 
 def clean_text(spark, d):
     marked = F.concat(F.lit("{{< note >}}\n<b>"), F.col("text"), F.lit("</b>\n-----\n\n\n\n![x](a.png) end  \n"))
-    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(T.clean_markdown(marked), "UTF-8")).alias("text_md5"))
+    return _texts(spark, d).select("doc_id", F.md5(F.encode(T.clean_markdown(marked), "UTF-8")).alias("text_md5"))
 
 
 def whitespace(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(T.collapse(F.col("text")), "UTF-8")).alias("text_md5"), T.truncate(F.col("text"), 40).alias("preview"))
+    return _texts(spark, d).select("doc_id", F.md5(F.encode(T.collapse(F.col("text")), "UTF-8")).alias("text_md5"), T.truncate(F.col("text"), 40).alias("preview"))
 
 
 def mojibake(spark, d):
     broken = F.concat(F.lit("â€œ"), F.col("text"), F.lit("â€¦"))
     fixed = T.replace_broken_punctuation(F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(fixed, "UTF-8")).alias("text_md5"))
+    return _texts(spark, d).select("doc_id", F.md5(F.encode(fixed, "UTF-8")).alias("text_md5"))
 
 
 def year_extract(spark, d):
@@ -222,7 +230,7 @@ def planned_query(spark, d):
 
 def scope_cascade(spark, d):
     """All three layers: the lexicon, twelve stated anchors, and a stand-in for a model that is asked once a text."""
-    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    docs, e = _texts(spark, d, "doc_id", "text", "source"), table(spark, d, "embeddings")
     found = e.where("vec_id < 12").orderBy("vec_id").collect()  # twelve stated anchors, four a class
     anchors = {c: [list(map(float, r.embedding)) for r in found if r.vec_id % 3 == k] for k, c in enumerate(S.CLASSES)}
     rows = docs.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
@@ -235,7 +243,7 @@ def scope_cascade(spark, d):
 def lexicon_join(spark, d):
     """The matches of lexicon_match by an equi-join of runs of words."""
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    return S.match_lexicon(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), terms).select(F.col("id").alias("doc_id"), "term")
+    return S.match_lexicon(_texts(spark, d, F.col("doc_id").alias("id"), "text"), terms).select(F.col("id").alias("doc_id"), "term")
 
 
 def known_location(spark, d):
@@ -254,13 +262,13 @@ def page_metadata(spark, d):
         F.when(n % 5 == 0, "<meta name='section' content='Sociedad'>").otherwise("<p class='nota-seccion chica'>El <b>mundo</b></p>"), F.when(n % 4 == 0, '<meta itemprop="datePublished" content="2004-05-06T10:00">').otherwise(""),
     )
     page, own = F.concat(head, F.col("html")), F.when(n % 7 == 0, "Propio")
-    return table(spark, d, "pages").select("page_id", H.title(page, own).alias("title"), H.author(page).alias("author"), H.section(page, own).alias("section"), H.published(page).alias("published"))
+    return _html(spark, d).select("page_id", H.title(page, own).alias("title"), H.author(page).alias("author"), H.section(page, own).alias("section"), H.published(page).alias("published"))
 
 
 def markdown_documents(spark, d):
     n = F.col("doc_id")
     block = F.when(n % 3 == 0, "---\ntitle: 'Un t\u00edtulo'\nkeywords: [a, \"b c\"]\ntags: solo\n---\n").when(n % 3 == 1, "---\ndescription: d\ntags:\n- x\n- 'y z'\n---\n").otherwise("")
-    docs = table(spark, d, "documents").select("doc_id", F.concat(block, F.col("text"), F.lit("  \n\n\n\n<b>fin</b>")).alias("text"))
+    docs = _texts(spark, d).select("doc_id", F.concat(block, F.col("text"), F.lit("  \n\n\n\n<b>fin</b>")).alias("text"))
     return T.markdown_documents(docs).select("doc_id", "doc_title", "doc_description", "keywords", "tags", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -286,8 +294,10 @@ def edition_pages(spark, d):
 
 def archive_answers(spark, d):
     """All documents in, the questions of the benchmark table out, by the whole chain with its stand-in models."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("section"), F.col("lang").alias("newspaper"), F.lit("2001-05-06").alias("published"), "text")
-    indexed = archive.index(archive.enrich(docs, LEXICON), "all")
+    docs = _texts(spark, d, F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("section"), F.col("lang").alias("newspaper"), F.lit("2001-05-06").alias("published"), "text")
+    stored = shared_path(spark, "index")  # many branches of an answer read the index, which is made once
+    archive.index(archive.enrich(docs, LEXICON), "all").write.parquet(stored)
+    indexed = spark.read.parquet(stored)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return archive.answer(indexed, asked).select("query_id", "intent", "verdict", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
 

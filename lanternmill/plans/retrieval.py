@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanternmill.functions.text import STOP_WORDS, spanish_tokens, tokens
 from lanternmill.operators import retrieval as R
 from lanternmill.operators.scope import anchor_scope
-from lanternmill.session import table
+from lanternmill.session import spread, table
 
 QUESTION = "de la que para con por los una tion"
 LONG_QUESTION = "queaux entre ciónmente para los eau la la"
@@ -16,7 +16,7 @@ LONG_QUESTION = "queaux entre ciónmente para los eau la la"
 
 def _docs(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
     docs = table(spark, d, "documents")
-    return (docs.where(F.col("lang") == lang) if lang else docs).select(F.col("doc_id").alias("id"), "text")
+    return spread((docs.where(F.col("lang") == lang) if lang else docs).select(F.col("doc_id").alias("id"), "text"))
 
 
 def _one(spark: SparkSession, text: str) -> DataFrame:
@@ -54,8 +54,8 @@ def tokenize_stats(spark, d):
 
 
 def stopword_filtered_tf(spark, d):
-    words = _docs(spark, d).select(F.explode(spanish_tokens(F.col("text"))).alias("term"), "id")
-    return words.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("df")).where("df > 1")
+    words = _docs(spark, d).select("id", F.explode(spanish_tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    return words.groupBy("term").agg(F.sum("n").alias("tf"), F.count("id").alias("df")).where("df > 1")
 
 
 def bm25_topk(spark, d):

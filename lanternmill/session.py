@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -16,6 +16,18 @@ def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of input, about one task's share of a file, below which rows are dealt over all cores before long work on them.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt evenly over the cores if it reads less than SMALL bytes: one row group of a small file is one
+    task's work. Larger inputs are left to their readers, which split them without a shuffle."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if read < SMALL else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which all machines share; below a temporary folder only where it is unset
     and Spark is local."""
