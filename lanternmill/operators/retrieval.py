@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lanternmill.functions.text import spanish_tokens, tokens
 from lanternmill.functions.values import cosine
+from lanternmill.session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -41,13 +42,15 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     column part, a query is scored over the documents of its part, with that part's statistics.
 
     Two passes over the texts. The statistics shuffle a row a term and task, in which a term of none stands for the
-    document itself; the scores explode the words and keep those asked for before anything is shuffled.
+    document itself, and are stored, as sizes, rarities and their mean all come from them; the scores explode the words
+    and keep those asked for before anything is shuffled.
     """
     part = ["part"] if "part" in queries.columns else []
     words = docs.select(*part, "id", spanish_tokens(F.col("text")).alias("words"))
     one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("words"))
     marks = F.concat(F.transform(F.array_distinct("words"), lambda w: one(w, F.lit(0))), F.array(one(F.lit(None).cast("string"), F.size("words"))))
     counts = words.select(*part, F.explode(marks).alias("m")).groupBy(*part, "m.term").agg(F.count("*").alias("df"), F.sum("m.words").alias("words"))
+    counts = stored(counts, "bm25-counts")
     whole = F.col("term").isNull()
     sizes = counts.where(whole).select(*part, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
     per_term = counts.where(~whole)
@@ -60,7 +63,10 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     rated = rated.join(terms, [*part, "term"], "left_semi")
     rated = rated.join(means, "part") if part else rated.join(F.broadcast(means))
     rated = rated.select(*part, "term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    found = words.select(*part, "id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, [*part, "term"], "left_semi")
+    # the length is there before the words are exploded, so that no row has to carry all of them; and what is exploded is no
+    # plain column, from whose size Spark would make a filter that cuts every text into words once more
+    long = words.select(*part, "id", F.size("words").alias("dl"), "words")
+    found = long.select(*part, "id", "dl", F.explode(F.coalesce("words", F.array().cast("array<string>"))).alias("term")).join(terms, [*part, "term"], "left_semi")
     found = found.groupBy(*part, "id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf")
     score = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -14,7 +14,7 @@ from lanternmill.operators import chunks as C
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
-from lanternmill.session import shared_path, spread, table
+from lanternmill.session import shared_path, spread, stored, table
 from lanternmill.streaming import ingest
 
 TERMS = ["the", "of and", "ing", "nicht", "la", "des"]
@@ -295,9 +295,7 @@ def edition_pages(spark, d):
 def archive_answers(spark, d):
     """All documents in, the questions of the benchmark table out, by the whole chain with its stand-in models."""
     docs = _texts(spark, d, F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Nota "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("section"), F.col("lang").alias("newspaper"), F.lit("2001-05-06").alias("published"), "text")
-    stored = shared_path(spark, "index")  # many branches of an answer read the index, which is made once
-    archive.index(archive.enrich(docs, LEXICON), "all").write.parquet(stored)
-    indexed = spark.read.parquet(stored)
+    indexed = stored(archive.index(archive.enrich(docs, LEXICON), "all"), "index")  # many branches of an answer read it
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return archive.answer(indexed, asked).select("query_id", "intent", "verdict", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
 
