@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternmill.llm import classifier, embed_dedup, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
+from lanternmill.llm import classifier, divergence, embed_dedup, exact_search, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_quality_classifier": classifier.query,
         "op9_best_fit_packing": packing.query,
         "op10_token_files": token_files.query,
+        "op11_source_divergence": divergence.query,
+        "op12_exact_search": exact_search.query,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op11_source_divergence": divergence.SQL,
+        "op12_exact_search": exact_search.SQL,
     }
