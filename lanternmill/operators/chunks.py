@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 900, 120
@@ -65,6 +65,13 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
     return rows.select("source_id", "chunk_index", "total_chunks", F.substring(F.col("text"), F.col("chunk_index") * stride + 1, F.lit(size)).alias("text"))
 
 
+def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """The texts of `fixed` as an array, empty for an empty text, null for none."""
+    stride = size - overlap
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / stride).cast("int"))
+    return F.when(F.length(text) > 0, F.transform(starts, lambda k: F.substring(text, k * stride + 1, F.lit(size)))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def number(chunks: DataFrame, order: str) -> DataFrame:
     """Adds chunk_index (from 0, by `order`) and total_chunks within source_id; a missing source is 'unknown'."""
     named = chunks.withColumn("source_id", F.coalesce("source_id", F.lit("unknown")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternmill.functions.text import fold
@@ -204,17 +204,30 @@ def cascade(rows: DataFrame, lexicon: "Lexicon", anchors: dict[str, list[list[fl
     return rows.withColumn("scope", scope).withColumn("signals", signals).drop("_one", "_two", "_key", "_answer")
 
 
+def _votes() -> dict[str, Column]:
+    """How many chunks (scope, signals) speak for what."""
+    firm = F.exists("scope_signals", lambda s: F.lit(False) if not FIRM_SIGNALS else _any(s.startswith(p) for p in FIRM_SIGNALS))
+    model = F.exists("scope_signals", lambda s: s.startswith("llm_local:"))
+    here = F.col("country_scope") == "argentina"
+    return {"_firm": F.count_if(here & firm), "_model": F.count_if(here & ~firm & model), "_abroad": F.count_if(F.col("country_scope") == "international")}
+
+
+def _decided() -> Column:
+    return F.when(F.col("_firm") > 0, "argentina").when(F.col("_model") >= 2, "argentina").when(F.col("_abroad") > 0, "international").otherwise("unknown")
+
+
 def article_scope(chunks: DataFrame) -> DataFrame:
     """source_id, scope of source_id, scope, signals: a firm argentine chunk decides; then two that a model named; then
     any international one; else unknown."""
-    firm = F.exists("signals", lambda s: F.lit(False) if not FIRM_SIGNALS else _any(s.startswith(p) for p in FIRM_SIGNALS))
-    model = F.exists("signals", lambda s: s.startswith("llm_local:"))
-    here = F.col("scope") == "argentina"
-    sums = chunks.groupBy("source_id").agg(
-        F.count_if(here & firm).alias("firm"), F.count_if(here & ~firm & model).alias("model"), F.count_if(F.col("scope") == "international").alias("abroad")
-    )
-    scope = F.when(F.col("firm") > 0, "argentina").when(F.col("model") >= 2, "argentina").when(F.col("abroad") > 0, "international").otherwise("unknown")
-    return sums.select("source_id", scope.alias("scope"))
+    named = chunks.select("source_id", F.col("scope").alias("country_scope"), F.col("signals").alias("scope_signals"))
+    return named.groupBy("source_id").agg(*[v.alias(k) for k, v in _votes().items()]).select("source_id", _decided().alias("scope"))
+
+
+def with_article_scope(chunks: DataFrame) -> DataFrame:
+    """chunks (source_id, country_scope, scope_signals) with article_country_scope, for chunks that are dealt by their
+    source already: a window then needs no shuffle, where article_scope and a join would work out the chunks twice."""
+    own = Window.partitionBy("source_id")
+    return chunks.withColumns({k: v.over(own) for k, v in _votes().items()}).withColumn("article_country_scope", _decided()).drop(*_votes())
 
 
 def _any(tests) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternmill.functions.text import STOP_WORDS, spanish_tokens, tokens
+from lanternmill.operators import index
 from lanternmill.operators import retrieval as R
 from lanternmill.operators.scope import anchor_scope
 from lanternmill.session import spread, table
@@ -75,6 +76,11 @@ def bm25_batch(spark, d):
     return R.top(R.bm25(docs, _many(spark, d)), 5)
 
 
+def bm25_indexed(spark, d):
+    """The questions of bm25_batch by a stored index."""
+    return index.indexed(_docs(spark, d)).search(_many(spark, d), 5)
+
+
 def cosine_topk(spark, d):
     return _semantic(spark, d)
 
@@ -122,7 +128,7 @@ def anchor_margin(spark, d):
     return e.select("vec_id", anchor_scope(F.col("embedding"), anchors).alias("a")).select("vec_id", F.col("a.scope").alias("scope"), F.col("a.margin").alias("margin"), F.col("a.final").alias("final"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, stopword_filtered_tf, bm25_topk, bm25_filtered, bm25_zero_fill, bm25_batch, cosine_topk, cosine_filtered, rrf_fusion, rrf_weighted, rrf_order, model_weights, hybrid_rerank, query_weights, anchor_margin)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, stopword_filtered_tf, bm25_topk, bm25_filtered, bm25_zero_fill, bm25_batch, bm25_indexed, cosine_topk, cosine_filtered, rrf_fusion, rrf_weighted, rrf_order, model_weights, hybrid_rerank, query_weights, anchor_margin)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOK = r"regexp_extract_all(regexp_replace(strip_accents(lower({})), '\p{{Mn}}+', '', 'g'), '[\p{{L}}\p{{N}}_]+')"
@@ -198,3 +204,4 @@ SELECT conv_id, turn, CASE WHEN fact THEN 0.4 WHEN idea THEN 0.6 ELSE 0.5 END::D
 r AS (SELECT vec_id, place, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, place) AS k, score - lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, place) AS gap FROM s)
 SELECT vec_id, ['argentina', 'international', 'unknown'][place + 1] AS scope, round(gap, 6) AS margin, gap > 0.15 AS final FROM r WHERE k = 1""",
 }
+SQL["bm25_indexed"] = SQL["bm25_batch"]
