@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lanternmill.operators import archive, scope, store
 from lanternmill.sources import files, tables
@@ -25,13 +24,22 @@ def ingest_day(
     per_section: int | None = None, most: int | None = None, index_scope: str = "argentina", parsed: str | None = None,
 ) -> DataFrame:
     """Parses the day's pages below a folder, cuts and labels them, and writes what is in scope to the collection; gives
-    the documents (stage parse), the chunks (enrich, all) or their preview. Points that are there already are replaced."""
+    the documents (stage parse), the chunks (enrich, all) or their preview. Points that are there already are replaced,
+    all others stay, those of the same day too."""
+    pages = files.read_pages(spark, folder, day.isoformat())
+    return ingest_pages(spark, pages, collection, lexicon, stage, reset, sections, per_section, most, index_scope, parsed and f"{parsed}/{day:%Y/%m}/documents_{day:%d-%m-%Y}")
+
+
+def ingest_pages(
+    spark: SparkSession, pages: DataFrame, collection: str, lexicon: scope.Lexicon, stage: str = "all", reset: bool = False, sections: list[str] | None = None,
+    per_section: int | None = None, most: int | None = None, index_scope: str = "argentina", parsed: str | None = None,
+) -> DataFrame:
+    """ingest_day for pages (as of read_pages) that come from anywhere."""
     if stage not in STAGES:
         raise ValueError(f"stage is one of {STAGES}")
-    documents = files.parse_pages(files.read_pages(spark, folder, day.isoformat()))
-    documents = store.wanted(documents, "source_id", sections, per_section, most)
+    documents = store.wanted(files.parse_pages(pages), "source_id", sections, per_section, most)
     if parsed:
-        tables.write_documents(documents, f"{parsed}/{day:%Y/%m}/documents_{day:%d-%m-%Y}", as_json=True)
+        tables.write_documents(documents, parsed, as_json=True)
     if stage == "parse":
         return documents
     chunks = archive.enrich(documents, lexicon)
@@ -40,10 +48,7 @@ def ingest_day(
     if stage == "preview":
         return store.preview(chunks)
     there = tables.create_collection(spark, collection, archive.INDEX, reset)
-    old = there.where(F.col("publication_date") != day.isoformat()) if not reset else there.limit(0)
-    new = archive.index(chunks, index_scope, there.select("point_id", "vector"))
-    both = store.upsert(old, new.withColumn("seq", F.lit(0).cast("long")))
-    tables.replace(spark, both, collection)
+    tables.upsert_collection(spark, collection, archive.INDEX, archive.index(chunks, index_scope, there.select("point_id", "vector")))
     return chunks
 
 

@@ -15,6 +15,7 @@ from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
 from lanternmill.session import shared_path, spread, stored, table
+from lanternmill.sources import tables
 from lanternmill.streaming import ingest
 
 TERMS = ["the", "of and", "ing", "nicht", "la", "des"]
@@ -300,6 +301,21 @@ def archive_answers(spark, d):
     return archive.answer(indexed, asked).select("query_id", "intent", "verdict", F.round("top_score", 6).alias("top_score"), F.size("sources").cast("long").alias("n_sources"))
 
 
+COLLECTION = "point_id string, text string, section string, year int"
+
+
+def collection_upsert(spark, d):
+    """Two loads into one collection: all documents, then the labelled ones with a new text, some of them in another year.
+    What the second load does not name stays."""
+    path = shared_path(spark, "collection")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("point_id"), "text", F.col("source").alias("section"), (1990 + F.col("doc_id") % 7).cast("int").alias("year"))
+    tables.upsert_collection(spark, path, COLLECTION, docs)
+    labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("point_id"), "quality")
+    tables.upsert_collection(spark, path, COLLECTION, docs.join(labels, "point_id").withColumn("text", F.concat("text", F.lit(" (corregido)"))).withColumn("year", F.col("year") + F.col("quality")))
+    live = tables.collection(spark, path, COLLECTION)
+    return live.where("year between 1991 and 1994").select("point_id", "section", "year", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def stream_ingest(spark, d):
     """The same counts as per_day_ingest, of rows that a stream has loaded file by file."""
     base = shared_path(spark, "stream")
@@ -313,7 +329,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
     scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
-    query_plan, planned_query, scope_cascade, lexicon_join, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, stream_ingest, archive_answers,
+    query_plan, planned_query, scope_cascade, lexicon_join, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, collection_upsert, stream_ingest, archive_answers,
 )}
 
 
@@ -411,3 +427,5 @@ array_to_string(signals || CASE WHEN open THEN emb ELSE [] END || CASE WHEN NOT
     "per_day_ingest": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL",
 }
 SQL["stream_ingest"] = SQL["per_day_ingest"]
+SQL["collection_upsert"] = """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS point_id, source AS section, CAST(1990 + doc_id % 7 + coalesce(quality, 0) AS INTEGER) AS year, md5(text || CASE WHEN quality IS NULL THEN '' ELSE ' (corregido)' END) AS text_md5 FROM documents LEFT JOIN labels USING (doc_id))
+SELECT * FROM b WHERE year BETWEEN 1991 AND 1994"""

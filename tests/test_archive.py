@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lanternmill.functions import labels as L
 from lanternmill.operators import archive
 from lanternmill.operators.scope import Lexicon
-from lanternmill.sources.tables import check_dimension, create_collection
+from lanternmill.sources.tables import check_dimension, create_collection, upsert_collection
 
 LEXICON = Lexicon(sections=["sociedad"], locations=["La Plata"], institutions=["UNLP"])
 
@@ -58,7 +58,7 @@ def test_statistics_are_those_of_the_part(spark):
 def test_collection(spark, indexed, tmp_path):
     path = str(tmp_path / "collection")
     assert create_collection(spark, path, archive.INDEX).count() == 0
-    indexed.write.partitionBy("year").mode("append").parquet(path)
+    upsert_collection(spark, path, archive.INDEX, indexed)
     assert create_collection(spark, path, archive.INDEX).count() == indexed.count()
     check_dimension(create_collection(spark, path, archive.INDEX), 64)
     with pytest.raises(ValueError):
