@@ -87,7 +87,9 @@ def tables_for(rows: int, threshold: float) -> tuple[int, int]:
 
 
 def _near(sketches: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Whether rows a to b are within the radius of each row."""
+    """Whether rows a to b are within the radius of each row. Bits are counted in unsigned words: of a signed one numpy
+    counts those of its absolute value."""
+    sketches = np.ascontiguousarray(sketches).view(np.uint64)
     own = np.zeros((b - a, len(sketches)), np.int16)
     for w in range(sketches.shape[1]):
         own += np.bitwise_count(sketches[a:b, w, None] ^ sketches[None, :, w])

@@ -129,15 +129,30 @@ def test_embeddings_equal_brute_force(spark):
         if i is not None:
             members[root] = min(i, members.get(root, i))
     found = sum(x[0] for v in got.values() for x in v)
-    assert found >= 0.97 * count.sum()
+    assert found == count.sum()
     for at, (i, _, _) in enumerate(rows):
         for n_links, component, kept in got[i]:
-            assert n_links <= count[at] and kept == (i == component)
-            if n_links == count[at] and found == count.sum():
-                assert component == members.get(roots[at])
+            assert n_links == count[at] and kept == (i == component) and component == members.get(roots[at])
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """2,000 planted pairs of cosine 0.98 to 0.985 in 64 dimensions, and as many just below it."""
+    r = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(r.standard_normal((4000, 64)))
+    away = r.standard_normal((4000, 64))
+    away = unit(away - (away * x).sum(axis=1)[:, None] * x)
+    cos = np.concatenate([r.uniform(0.98001, 0.985, 2000), r.uniform(0.975, 0.97999, 2000)])[:, None]
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * away])
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.near_duplicates(frame).collect()
+    found = [g for g in got if g.n_links]
+    assert all(g.n_links == 1 and g.component_id == g.vec_id % 4000 and g.vec_id % 4000 < 2000 for g in found)
+    assert len(found) >= 0.999 * 4000
+    assert all(g.kept and g.component_id == g.vec_id for g in got if not g.n_links)
+
+
 def test_itq_codes_are_balanced_and_near_vectors_share_them():
     r = np.random.default_rng(0)
     x = r.standard_normal((2000, 16)) @ r.standard_normal((16, 16))
