@@ -220,7 +220,7 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     on, but for an n_lines or n_removed, which these replace.
     """
     kept = first_lines(documents, threshold)
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.struct(*documents.columns).alias("row"))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), scratch.whole_row(documents).alias("row"))
     joined = rows.join(kept.hint("merge"), "doc", "left")  # a row a document
     dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda at: F.coalesce(F.element_at("bits", at), F.lit(0).cast("long")))
 

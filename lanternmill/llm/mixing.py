@@ -121,7 +121,7 @@ def in_mixed_order(documents: DataFrame, **options) -> DataFrame:
     file and row.) Rows that repeat a doc_id stay next to each other; null texts and sources are rows like any other; an
     empty table stays empty."""
     places = mix(documents, **options).groupBy("doc_id").agg(F.min("position").alias("position"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*documents.columns).alias("row"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), scratch.whole_row(documents).alias("row"))
     joined = rows.join(places, F.col("id").eqNullSafe(F.col("doc_id")), "left")
     return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 

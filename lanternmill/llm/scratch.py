@@ -10,7 +10,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: str | None = None
@@ -87,6 +88,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none of them can clash with a working column."""
+    return F.struct(*map(quoted, df.columns))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -50,10 +50,12 @@ def prefix(hashes: np.ndarray, threshold: float, common: np.ndarray) -> np.ndarr
 
 
 def with_row_keys(documents: DataFrame) -> DataFrame:
-    """documents with _file and _at, which tell its rows apart and stay the same however often they are read."""
+    """doc_id, text, the whole row as `row`, and _file and _at, which tell rows apart and stay the same however often they
+    are read. Columns of documents can have any names."""
     if not documents._jdf.queryExecution().analyzed().children().isEmpty() or not documents.inputFiles():
         documents = scratch.saved(documents, "rows")
-    return documents.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    where = documents.metadataColumn("_metadata")
+    return documents.select("doc_id", "text", scratch.whole_row(documents).alias("row"), where["file_path"].alias("_file"), where["row_index"].alias("_at"))
 
 
 def _common(documents: DataFrame, size: int) -> np.ndarray:

@@ -108,6 +108,23 @@ def test_stages_keep_columns_and_empty_tables(spark, tables):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
 
 
+def test_stages_take_columns_of_any_name(spark, tables, tmp_path):
+    """Columns named as the stages' own working columns, with dots, spaces and quotes."""
+    folder, rows = tables
+    names = ["_file", "_at", "_metadata", "row", "_row", "id", "position", "part", "node", "key", "n", "kept", "ref", "a.b", "c d", "e`f", "uid", "n_lines2"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")).alias(c) for k, c in enumerate(names)])
+    plain, odd = docs, more
+    for name, stage in corpus_pipeline.STAGES:
+        plain, odd = scratch.saved(stage(spark, plain, folder), name), scratch.saved(stage(spark, odd, folder), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert odd.columns == more.columns
+            for r in odd.collect():
+                assert [r[c] for c in names] == [f"{k}-{r.doc_id}" for k in range(len(names))]
+        own = lambda df: sorted(tuple(r[c] for c in plain.columns if c not in ("sequence_id", "offset")) for r in df.collect())
+        assert own(plain) == own(odd)
+
+
 def test_mixing_decides_the_order(spark, tables):
     folder, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
