@@ -12,7 +12,7 @@ from lanternmill.llm import line_dedup, mixing, packing, quality_rules, scratch,
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, each row judged by itself; texts pass through the judgement, so no join
     follows it. A null, empty or blank text has too few words and goes; so an empty table gives an empty one."""
-    whole = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
+    whole = docs.select("doc_id", "lang", "text", scratch.whole_row(docs).alias("_row"))
     judged = quality_rules.judge(whole, "_row")
     # not where(): a filter would be pushed below the judgement and work all of it out twice
     return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("row")).select("row.*")
@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*map(scratch.quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or more: the one with the smallest doc_id, of rows that share it the first; rows without a doc_id come last. Null,
     empty and blank texts are one group. Other columns are passed on."""
     rows = simhash_texts.with_row_keys(docs)
-    return rows.join(simhash_texts.repeats(rows), simhash_texts.ROW, "left_anti").select(*docs.columns)
+    return rows.join(simhash_texts.repeats(rows), simhash_texts.ROW, "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
