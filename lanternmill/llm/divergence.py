@@ -25,8 +25,8 @@ from lanternmill.llm.runs import whole_runs
 
 #: Documents of a language that a kept word is in, at least; ranks of the part `term`.
 LEAST_DOCS, TOP = 3, 200
-#: Bytes of text that are cut at once; entries that a task holds before it passes them on.
-PIECE, HELD = 4 << 20, 300_000
+#: Bytes of text that are cut and counted at once.
+PIECE = 8 << 20
 #: Shares in a tile and sources in a block of it; sources up to which their sums are broadcast (see few()).
 ENTRIES, BLOCK, FEW_BYTES = 1 << 17, 256, 8 << 20
 #: Words up to this length are compared in lanes of eight bytes, longer ones whole.
@@ -93,60 +93,47 @@ def _pieces(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int, int,
         k = m
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, docs of lang, source, text (none null), added up as far as a task may hold."""
-    held: dict[tuple[str, str], dict[bytes, tuple[int, int]]] = {}
-    entries = 0
-
-    def add(group: tuple[str, str], terms: list[bytes], counts: list[int], docs: list[int]) -> int:
-        own = held.setdefault(group, {})
-        before = len(own)
-        for t, c, d in zip(terms, counts, docs):
-            old = own.get(t)
-            own[t] = (c, d) if old is None else (old[0] + c, old[1] + d)
-        return len(own) - before
-
-    def out() -> pa.RecordBatch:
-        rows = [(g, t, c) for g, own in held.items() for t, c in own.items()]
-        columns = [[g[0] for g, _, _ in rows], [g[1] for g, _, _ in rows], [t for _, t, _ in rows], [c[0] for _, _, c in rows], [c[1] for _, _, c in rows]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
+def _binary(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices as an Arrow array."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    data = low[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, docs of lang, source, text (none null), added up for each piece of texts."""
+    names = ["lang", "source", "term", "n", "docs"]
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = pc.cast(batch["text"], pa.large_string())
         cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: cuts[-1]]
-        names = list(zip(batch["lang"].to_pylist(), batch["source"].to_pylist()))
         codes: dict[tuple[str, str], int] = {}
-        group = np.array([codes.setdefault(g, len(codes)) for g in names])
-        kinds = list(codes)
+        group = np.array([codes.setdefault(g, len(codes)) for g in zip(batch["lang"].to_pylist(), batch["source"].to_pylist())])
+        langs, sources = (pa.array([g[k] for g in codes], pa.string()) for k in (0, 1))
         parts: dict[bytes, int] = {}  # of a text that comes in parts
         for k, m, a, b in _pieces(data, cuts):
             low = LOWER[data[a:b]]
-            raw = low.tobytes()
             starts, ends = words(low, cuts[k : m + 1] - a)
-            first, which = distinct(raw, starts, ends)
-            terms = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            first, which = distinct(low.tobytes(), starts, ends)
+            terms = _binary(low, starts[first], ends[first])
             if b - a < cuts[m] - cuts[k]:
-                for t, c in zip(terms, np.bincount(which).tolist()):
+                for t, c in zip(terms.to_pylist(), np.bincount(which).tolist()):
                     parts[t] = parts.get(t, 0) + c
                 if b == cuts[m]:
-                    entries += add(names[k], list(parts), list(parts.values()), [1] * len(parts))
+                    n = pa.array(parts.values(), pa.int64())
+                    own = pa.array(np.full(len(n), group[k]))
+                    yield pa.RecordBatch.from_arrays([langs.take(own), sources.take(own), pa.array(parts, pa.binary()), n, pa.array(np.ones(len(n), np.int64))], names=names)
                     parts = {}
-            elif terms:
+            elif len(terms):
                 doc = np.searchsorted(cuts[k : m + 1] - a, starts, "right") - 1 + k
                 pairs, count = np.unique(doc * len(terms) + which, return_counts=True)  # of texts and words
-                keys, back = np.unique(group[pairs // len(terms)] * len(terms) + pairs % len(terms), return_inverse=True)
+                keys, back = np.unique(group[pairs // len(terms)] * len(terms) + pairs % len(terms), return_inverse=True)  # of groups and words
+                own = pa.array(keys // len(terms))
                 n, docs = np.bincount(back, weights=count).astype(np.int64), np.bincount(back)
-                bounds = np.searchsorted(keys // len(terms), np.arange(len(kinds) + 1))
-                for g, (i, j) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-                    entries += add(kinds[g], [terms[t] for t in (keys[i:j] % len(terms)).tolist()], n[i:j].tolist(), docs[i:j].tolist())
-            if entries > HELD:
-                yield out()
-                held, entries = {}, 0
-    if entries:
-        yield out()
+                yield pa.RecordBatch.from_arrays([langs.take(own), sources.take(own), terms.take(pa.array(keys % len(terms))), pa.array(n), pa.array(docs)], names=names)
 
 
 def _share(count: str, size: str) -> str:

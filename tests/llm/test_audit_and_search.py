@@ -58,9 +58,9 @@ def test_audit_equals_brute_force(spark, seed):
 
 
 def test_audit_in_small_pieces_tiles_and_blocks(spark, monkeypatch):
-    """Texts in parts, many tiles, crossed blocks of sources, salted groups, early flushes: the same rows."""
+    """Texts in parts, many tiles, crossed blocks of sources, salted groups: the same rows."""
     rows = [(t, lang, s and f"{s}{i % 7}") for i, (t, lang, s) in enumerate(sample(3))]
-    for name, value in (("PIECE", 64), ("HELD", 20), ("ENTRIES", 16), ("BLOCK", 3), ("FEW_BYTES", 0), ("LANES", 8)):
+    for name, value in (("PIECE", 64), ("ENTRIES", 16), ("BLOCK", 3), ("FEW_BYTES", 0), ("LANES", 8)):
         monkeypatch.setattr(divergence, name, value)
     assert got_audit(spark, rows, top=5) == plain_audit(rows, top=5)
 
