@@ -33,13 +33,13 @@ def _folder(term="term"):
 
 
 def build(docs: DataFrame, path: str) -> None:
-    """Writes the index of docs (id, text) below a path, in the place of what is there. A null text has no words but counts as
-    a document, as in retrieval.bm25; ids are told apart by their values, so an id that repeats is one document whose
-    rows' counts add up. Rows are shuffled as postings, by document range and term."""
-    spark = docs.sparkSession
+    """Writes the index of docs (id, text) below a path, in the place of what is there. A null text is no document, an empty one
+    is a document without words, as in retrieval.bm25; ids are told apart by their values. Rows are shuffled as postings,
+    by document range and term."""
+    spark, docs = docs.sparkSession, docs.where("text is not null")
     staged = f"{path}/staged"
     n = docs.select("id").distinct().count()
-    words = docs.select("id", F.coalesce(spanish_tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    words = docs.select("id", spanish_tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(staged)
     postings = spark.read.parquet(staged)
     lengths = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
