@@ -11,6 +11,7 @@ from lanternmill.functions.labels import embed, entities
 from lanternmill.functions.text import collapse
 from lanternmill.functions.values import UNKNOWN_DATE, date_of, decade_of, point_id
 from lanternmill.operators import answers, chunks, retrieval, scope, store
+from lanternmill.operators.nearest import nearest
 
 INDEX = (
     "point_id string, chunk_id string, source_id string, newspaper string, section string, article_title string, publication_date string, date_imputed boolean, year int, decade int, "
@@ -63,13 +64,10 @@ def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None
     search = asked.where(answers.routed(F.col("p")) == "search").select("*", *keys).withColumn("part", F.sha2(F.to_json(F.struct(*[f"p_{f}" for f in answers.PLAN_FILTERS])), 256))
     rows = store.where_all(indexed, filters or {})
     docs = rows.select(F.col("point_id").alias("id"), "text")
-    # a row is in the part of every set of filters that it meets, of those that a question asks for
-    kinds = search.select("part", *[f"p_{f}" for f in answers.PLAN_FILTERS]).distinct()
-    meets = reduce(Column.__and__, [F.col(f"p_{f}").isNull() | F.coalesce(F.col(f) == F.col(f"p_{f}"), F.lit(False)) for f in answers.PLAN_FILTERS])
-    parts = rows.join(retrieval.if_few(kinds, retrieval.QUERY_BLOCK), meets).select(F.col("point_id").alias("id"), "text", "vector", "part")
+    parts = _parts(rows, search).select(F.col("point_id").alias("id"), "text", "vector", "part")
     lexical = retrieval.top(retrieval.bm25(parts.select("part", "id", "text"), search.select("query_id", "part", "text")))
     vectors = search.select("query_id", "part", embedder(F.col("text"), prefix="query: ").alias("qvector"))
-    semantic = retrieval.top(retrieval.semantic(parts.select("part", "id", "vector"), vectors))
+    semantic = nearest(parts.select("part", "id", "vector"), vectors)
     weights = search.select("query_id", "w")
     fused = retrieval.fuse(semantic.join(weights, "query_id"), lexical.join(weights, "query_id"), F.col("w.semantic"), F.col("w.lexical"))
     ranked = retrieval.overlap_rerank(fused.join(docs, "id").join(search.select("query_id", F.col("text").alias("question")), "query_id"))
@@ -91,5 +89,24 @@ def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None
     return out.select("query_id", "intent", "verdict", "top_score", F.when(enough, F.col("sources")).alias("sources"), F.when(enough, F.col("context")).alias("context"))
 
 
+def _parts(rows: DataFrame, search: DataFrame) -> DataFrame:
+    """rows with the part of every set of filters that they meet, of those that a question asks for: one join by equality.
+    A row has a key for each choice of columns that questions filter by, of which there are at most two to the number
+    of filters: the values in these columns, none if one is missing."""
+    kinds = search.select("part", *[F.col(f"p_{f}").alias(f) for f in answers.PLAN_FILTERS]).distinct()
+    used = F.concat(*[F.when(F.col(f).isNull(), "0").otherwise("1") for f in answers.PLAN_FILTERS])
+    choices = sorted(r[0] for r in kinds.select(used).distinct().collect())
+
+    def key(choice: str) -> Column:
+        names = [f for f, c in zip(answers.PLAN_FILTERS, choice) if c == "1"]
+        there = reduce(Column.__and__, [F.col(f).isNotNull() for f in names], F.lit(True))
+        return F.when(there, F.concat(F.lit(choice), F.to_json(F.struct(F.lit(choice).alias("_"), *[F.col(f).cast("string").alias(f) for f in names]))))
+
+    if not choices:
+        return rows.withColumn("part", F.lit("")).limit(0)
+    asked = kinds.select("part", reduce(lambda out, c: F.when(used == c, key(c)).otherwise(out), choices, F.lit(None).cast("string")).alias("_key"))
+    return rows.withColumn("_key", F.explode(F.array_compact(F.array(*map(key, choices))))).join(asked, "_key").drop("_key")
+
+
 def _answered(verdict: Column) -> Column:
     return verdict.isin("SUFFICIENT", "LOW_CONFIDENCE")

@@ -1,24 +1,21 @@
-"""Retrieval: BM25, exact cosine, rank fusion, query-adaptive weights, reranking.
+"""Retrieval: BM25, rank fusion, query-adaptive weights, reranking.
 
 All take batches of queries; ties go to the smaller document id.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternmill.functions.text import spanish_tokens, tokens
-from lanternmill.functions.values import cosine
 from lanternmill.session import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 DEPTH, RERANK_DEPTH = 20, 8
-#: Distinct query terms up to which they are broadcast; queries that one pass over the vectors answers.
-FEW_TERMS, QUERY_BLOCK = 1 << 16, 4096
+#: Distinct query terms up to which they are broadcast.
+FEW_TERMS = 1 << 16
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,29 +79,22 @@ def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -
 
 def top(scores: DataFrame, k: int = DEPTH) -> DataFrame:
     """query_id, id, score, rank (from 0) of the k best of each query."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     # the bound is on the row number itself, so each task keeps its k best before the shuffle
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
-def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score (cosine) of id, vector and query_id, qvector: a stated set of queries against all rows, or,
-    where both sides have a column part, against the rows of their part. The queries are broadcast in blocks of at most
-    QUERY_BLOCK, each a pass over the vectors."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    on = "part" if "part" in queries.columns else None
-    pairs = [vectors.join(F.broadcast(queries.where(block == k) if blocks > 1 else queries), on) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, pairs).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("qvector")), 6).alias("score"))
-
-
 def fuse(semantic_top: DataFrame, lexical_top: DataFrame, w_semantic: Column | float = 0.5, w_lexical: Column | float = 0.5) -> DataFrame:
-    """Weighted reciprocal ranks: query_id, id, rrf, semantic_rank, bm25_rank. One shuffle: a union and a sum."""
+    """Weighted reciprocal ranks: query_id, id, rrf, semantic_rank, bm25_rank, by a union and a sum. Both lists, some rows a
+    query, are dealt alike and to a stated number of partitions first: a union of sides that Spark has dealt by
+    themselves fails where it then splits or joins partitions of one of them."""
     lit = lambda w: w if isinstance(w, Column) else F.lit(w)
     none = F.lit(None).cast("long")
     a = semantic_top.select("query_id", "id", (lit(w_semantic) / (RRF_K + F.col("rank"))).alias("part"), F.col("rank").alias("sr"), none.alias("br"))
     b = lexical_top.select("query_id", "id", (lit(w_lexical) / (RRF_K + F.col("rank"))).alias("part"), none.alias("sr"), F.col("rank").alias("br"))
-    return a.unionByName(b).groupBy("query_id", "id").agg(F.round(F.sum("part"), 8).alias("rrf"), F.max("sr").alias("semantic_rank"), F.max("br").alias("bm25_rank"))
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = a.repartition(n, "query_id", "id").unionByName(b.repartition(n, "query_id", "id"))
+    return both.groupBy("query_id", "id").agg(F.round(F.sum("part"), 8).alias("rrf"), F.max("sr").alias("semantic_rank"), F.max("br").alias("bm25_rank"))
 
 
 # Months and words that mark a question about facts or about ideas.

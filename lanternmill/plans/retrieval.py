@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanternmill.functions.text import STOP_WORDS, spanish_tokens, tokens
 from lanternmill.operators import index
 from lanternmill.operators import retrieval as R
+from lanternmill.operators.nearest import nearest
 from lanternmill.operators.scope import anchor_scope
 from lanternmill.session import spread, table
 
@@ -47,7 +48,7 @@ def _fused(spark, d, *weights):
 def _semantic(spark, d, label=None):
     vectors = table(spark, d, "embeddings")
     vectors = vectors.where(F.col("label") == label) if label is not None else vectors
-    return R.top(R.semantic(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), _query_vectors(spark, d)))
+    return nearest(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), _query_vectors(spark, d))
 
 
 def tokenize_stats(spark, d):
