@@ -20,18 +20,27 @@ INDEX = (
 )
 
 
-def enrich(documents: DataFrame, lexicon: scope.Lexicon, country: str = "Argentina") -> DataFrame:
+def enrich(documents: DataFrame, lexicon: scope.Lexicon, country: str = "Argentina", anchors: dict[str, list[list[float]]] | None = None, ask=None, model: str = "", embedder=embed) -> DataFrame:
     """Chunks with all metadata of documents (source_id, title, section, newspaper, published, text). Tagging, lexicon and
-    scope run once a chunk; the article's scope comes back to its chunks by one join on the source."""
+    scope run once a chunk; the article's scope comes back to its chunks by one join on the source.
+
+    With anchors or a model (ask, as of scope.cascade) a chunk's scope is that of all its layers, and the vectors that the
+    anchors are held against are the chunks' own, which index then stores.
+    """
     parts = chunks.recursive(documents.select("source_id", "text"))
     rows = parts.join(documents.drop("text").withColumn("source_id", F.col("source_id").cast("string")), "source_id")
     rows = rows.withColumn("found", entities(F.col("text"))).withColumn("location_mentions", scope.find_terms(F.col("text"), lexicon.locations))
-    rows = rows.withColumn("s", scope.lexical_scope(F.col("text"), F.col("section"), F.col("found.organizations"), lexicon))
+    if anchors or ask:
+        rows = rows.withColumn("organizations", F.col("found.organizations")).withColumn("vector", embedder(F.col("text")) if anchors else F.lit(None).cast("array<float>"))
+        rows = scope.cascade(rows, lexicon, anchors, ask, model).withColumn("s", F.struct("scope", "signals"))
+    else:
+        rows = rows.withColumn("s", scope.lexical_scope(F.col("text"), F.col("section"), F.col("found.organizations"), lexicon))
     day = date_of(F.col("published"))
     rows = rows.select(
         "source_id", "newspaper", "section", F.col("title").alias("article_title"), day.cast("string").alias("publication_date"), (day == F.lit(UNKNOWN_DATE).cast("date")).alias("date_imputed"),
         F.year(day).alias("year"), decade_of(F.year(day)).alias("decade"), "found.persons", "found.organizations", "location_mentions", scope.primary_location(F.col("location_mentions"), country).alias("primary_location"),
         F.col("s.scope").alias("country_scope"), F.col("s.signals").alias("scope_signals"), "text", collapse(F.col("text")).alias("text_clean"), "chunk_index", "total_chunks",
+        *(["vector"] if anchors else []),
     )
     rows = rows.withColumn("chunk_id", F.concat_ws("::", "source_id", F.lit("chunk"), F.col("chunk_index").cast("string")))
     articles = scope.article_scope(rows.select("source_id", F.col("country_scope").alias("scope"), F.col("scope_signals").alias("signals")))
@@ -39,9 +48,12 @@ def enrich(documents: DataFrame, lexicon: scope.Lexicon, country: str = "Argenti
 
 
 def index(enriched: DataFrame, index_scope: str = "argentina", known: DataFrame | None = None, embedder=embed) -> DataFrame:
-    """The rows to store: those in the index scope, with vectors that are known by point_id or else made."""
+    """The rows to store: those in the index scope, with the vectors they have, or that are known by point_id, or else
+    made."""
     rows = enriched.where(scope.in_index_scope(F.col("article_country_scope"), F.col("country_scope"), index_scope))
-    if known is None:
+    if "vector" in rows.columns:
+        pass
+    elif known is None:
         rows = rows.withColumn("vector", embedder(F.col("text")))
     else:
         rows = store.fill_vectors(rows, known, "point_id", embedder(F.col("text"))).drop("reused")

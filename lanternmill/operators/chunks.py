@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternmill.session import stored
+
 SIZE, OVERLAP = 900, 120
 # Where a text is split, the strongest break first.
 SEPARATORS = ("\n## ", "\n### ", "\n#### ", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
@@ -74,9 +76,17 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def number(chunks: DataFrame, order: str) -> DataFrame:
     """Adds chunk_index (from 0, by `order`) and total_chunks within source_id; a missing source is 'unknown'."""
+    # rows are sorted by range, so that a source of any size is dealt over tasks; a row's number is its place in its
+    # partition and the count of its source's rows in the partitions before
     named = chunks.withColumn("source_id", F.coalesce("source_id", F.lit("unknown")))
-    own = Window.partitionBy("source_id")
-    return named.withColumn("chunk_index", F.row_number().over(own.orderBy(order)).cast("long") - 1).withColumn("total_chunks", F.count("*").over(own))
+    placed = named.repartitionByRange("source_id", order).sortWithinPartitions("source_id", order).withColumn("_row", F.monotonically_increasing_id())
+    placed = stored(placed, "placed").withColumn("_part", F.shiftright("_row", 33))
+    runs = placed.groupBy("source_id", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    own = Window.partitionBy("source_id")  # a row for each partition that a source is in
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("source_id", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("_total"))
+    out = placed.join(runs, ["source_id", "_part"]).withColumn("chunk_index", F.col("_row") + F.col("_shift")).withColumn("total_chunks", F.col("_total"))
+    return out.drop("_row", "_part", "_shift", "_total")
 
 
 def rebuild(chunks: DataFrame, ranked: DataFrame, n: int = 3) -> DataFrame:

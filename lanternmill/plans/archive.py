@@ -11,9 +11,12 @@ from lanternmill.functions import values as V
 from lanternmill.operators import answers as A
 from lanternmill.operators import archive
 from lanternmill.operators import chunks as C
+from lanternmill.operators import lexicon, models
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
+from lanternmill.plans import stand_ins
+from lanternmill.plans.retrieval import _bm25_sql as bm25_sql
 from lanternmill.session import shared_path, spread, stored, table
 from lanternmill.sources import tables
 from lanternmill.streaming import ingest
@@ -247,6 +250,26 @@ def lexicon_join(spark, d):
     return S.match_lexicon(_texts(spark, d, F.col("doc_id").alias("id"), "text"), terms).select(F.col("id").alias("doc_id"), "term")
 
 
+def lexicon_automaton(spark, d):
+    """All words of the benchmark texts as a lexicon, looked for in every document by one automaton."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    terms = table(spark, d, "benchmark").select(F.explode(words).alias("term")).distinct()
+    found = lexicon.match(_texts(spark, d, F.col("doc_id").alias("id"), "text"), terms)
+    per = found.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set(T.fold(F.col("term"), "NFKD")).alias("t"))
+    return per.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.encode(F.array_join(F.sort_array("t"), " "), "UTF-8")).alias("terms_md5"))
+
+
+def model_rerank(spark, d):
+    """Two stand-in models over the benchmark's questions and their five best documents: one that counts letters, and one
+    that fails on some texts, whose questions keep the order they had."""
+    docs, asked = _texts(spark, d, F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    best = R.top(R.bm25(docs, asked), 5)
+    pairs = stored(best.join(docs, "id").join(asked.withColumnRenamed("text", "question"), "query_id").withColumn("position", F.col("rank")), "pairs")
+    cache = shared_path(spark, "answers")
+    rows = [models.rerank(pairs, m, 3, cache).withColumn("model", F.lit(m.name)) for m in (models.Model("letters", stand_ins.letters), models.Model("brittle", stand_ins.brittle, tries=1))]
+    return rows[0].unionByName(rows[1]).select("model", "query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_position", F.col("error").isNotNull().alias("failed"))
+
+
 def known_location(spark, d):
     place = F.concat(F.when(F.col("doc_id") % 2 == 0, " Córdoba ").otherwise(" x"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")))
     return table(spark, d, "documents").select("doc_id", S.is_known(place, ["CORDOBA", "Xsrc1"]).alias("known"))
@@ -329,7 +352,7 @@ QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
     scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
-    query_plan, planned_query, scope_cascade, lexicon_join, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, collection_upsert, stream_ingest, archive_answers,
+    query_plan, planned_query, scope_cascade, lexicon_join, lexicon_automaton, model_rerank, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, collection_upsert, stream_ingest, archive_answers,
 )}
 
 
@@ -429,3 +452,10 @@ array_to_string(signals || CASE WHEN open THEN emb ELSE [] END || CASE WHEN NOT
 SQL["stream_ingest"] = SQL["per_day_ingest"]
 SQL["collection_upsert"] = """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS point_id, source AS section, CAST(1990 + doc_id % 7 + coalesce(quality, 0) AS INTEGER) AS year, md5(text || CASE WHEN quality IS NULL THEN '' ELSE ' (corregido)' END) AS text_md5 FROM documents LEFT JOIN labels USING (doc_id))
 SELECT * FROM b WHERE year BETWEEN 1991 AND 1994"""
+SQL["lexicon_automaton"] = r"""WITH b AS (SELECT DISTINCT strip_accents(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS t FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) AS t FROM documents)
+SELECT doc_id, count(*) AS n_terms, md5(string_agg(t, ' ' ORDER BY t)) AS terms_md5 FROM w JOIN b USING (t) GROUP BY doc_id"""
+SQL["model_rerank"] = "WITH " + bm25_sql("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark") + """, b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM scores QUALIFY position <= 5),
+p AS (SELECT b.query_id, b.id, position, docs.text AS t, lower(substr(asked.text, 1, 1)) AS c FROM b JOIN docs USING (id) JOIN asked ON asked.query_id = b.query_id),
+r AS (SELECT query_id, id, position, CASE WHEN c = '' THEN 0 ELSE round((length(lower(t)) - length(replace(lower(t), c, ''))) / greatest(1, length(t)), 6) END AS score, bool_or(length(t) % 2 = 1) OVER (PARTITION BY query_id) AS odd FROM p),
+m AS (SELECT model, query_id, id, position, CASE WHEN model = 'letters' OR NOT odd THEN score END AS rerank_score, model = 'brittle' AND odd AS failed FROM r, (VALUES ('letters'), ('brittle')) v(model))
+SELECT model, query_id, id, rerank_score, row_number() OVER (PARTITION BY model, query_id ORDER BY rerank_score DESC NULLS LAST, position) AS rerank_position, failed FROM m QUALIFY rerank_position <= 3"""
