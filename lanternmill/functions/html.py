@@ -13,6 +13,13 @@ from lanternmill.functions.text import collapse
 from lanternmill.functions.values import coerce_date, is_archive_url, resolved, url_section, without_fragment
 
 MIN_TEXT = 120
+# Meta tags that give an author, a section, a date and a title, the first found first; words in the class of
+# an element that names a section; elements whose text is not the page's.
+AUTHOR_META = (("name", "author"), ("property", "article:author"))
+SECTION_META = (("property", "article:section"), ("name", "section"), ("name", "categoria"))
+DATE_META = (("property", "article:published_time"), ("name", "date"), ("name", "pubdate"), ("itemprop", "datePublished"))
+TITLE_META = (("property", "og:title"), ("name", "twitter:title"))
+SECTION_CLASSES = ("section", "seccion", "category", "categoria")
 _DROPPED = {"script", "style", "nav", "footer", "aside", "noscript", "header", "form"}
 
 
@@ -43,27 +50,27 @@ def _own(sidecar: Column | None) -> list[Column]:
 
 
 def author(html: Column, sidecar: Column | None = None) -> Column:
-    return F.coalesce(*_own(sidecar), meta_first(html, ("name", "author"), ("property", "article:author")))
+    return F.coalesce(*_own(sidecar), meta_first(html, *AUTHOR_META))
 
 
 def section_in_markup(html: Column) -> Column:
     """The text of the first element whose class names a section or category, up to the next end of such a tag."""
-    found = F.regexp_extract(html, r"(?is)<(\w+)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:section|seccion|category|categoria)[^\"']*[\"'][^>]*>(.*?)</\1>", 2)
+    found = F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:{'|'.join(SECTION_CLASSES)})[^\"']*[\"'][^>]*>(.*?)</\1>", 2)
     return F.nullif(collapse(F.regexp_replace(found, r"<[^>]*>", " ")), F.lit(""))
 
 
 def section(html: Column, sidecar: Column | None = None) -> Column:
-    named = meta_first(html, ("property", "article:section"), ("name", "section"), ("name", "categoria"))
+    named = meta_first(html, *SECTION_META)
     return F.coalesce(*_own(sidecar), named, section_in_markup(html))
 
 
 def published(html: Column, sidecar: Column | None = None) -> Column:
-    found = meta_first(html, ("property", "article:published_time"), ("name", "date"), ("name", "pubdate"), ("itemprop", "datePublished"))
+    found = meta_first(html, *DATE_META)
     return coerce_date(F.coalesce(*_own(sidecar), found))
 
 
 def title(html: Column, sidecar: Column | None = None) -> Column:
-    options = [meta_first(html, ("property", "og:title"), ("name", "twitter:title")), inner(html, "h[12]"), inner(html, "title")]
+    options = [meta_first(html, *TITLE_META), inner(html, "h[12]"), inner(html, "title")]
     return F.coalesce(*([F.nullif(sidecar, F.lit(""))] if sidecar is not None else []), *options)
 
 

@@ -111,15 +111,21 @@ def repair_mojibake(text: Column) -> Column:
     return F.pandas_udf(_redecode, "string")(replace_broken_punctuation(text))
 
 
+# What is not prose in markdown, what stands for a local image, and the block that heads a document.
+SHORTCODE, TAG, RULE_LINE = r"\{\{[<%][\s\S]*?[%>]\}\}", r"</?[a-zA-Z][^>]*>", r"(?m)^\s*[-=_]{3,}\s*$"
+LOCAL_IMAGE, IMAGE_NOTE = r"!\[([^\]]*)\]\((?!https?://)([^)]+)\)", "[Imagen: $1]"
+FRONT_MATTER = r"\A---\s*\n([\s\S]*?)\n---\s*\n"
+
+
 def clean_markdown(text: Column) -> Column:
     """Template shortcodes, tags, separator lines, trailing blanks and surplus empty lines go; local images become
     [Imagen: alt]; fenced code stays as it is."""
 
     def prose(part: Column) -> Column:
-        part = F.regexp_replace(part, r"\{\{[<%][\s\S]*?[%>]\}\}", "")
-        part = F.regexp_replace(part, r"</?[a-zA-Z][^>]*>", "")
-        part = F.regexp_replace(part, r"!\[([^\]]*)\]\((?!https?://)([^)]+)\)", "[Imagen: $1]")
-        part = F.regexp_replace(part, r"(?m)^\s*[-=_]{3,}\s*$", "")
+        part = F.regexp_replace(part, SHORTCODE, "")
+        part = F.regexp_replace(part, TAG, "")
+        part = F.regexp_replace(part, LOCAL_IMAGE, IMAGE_NOTE)
+        part = F.regexp_replace(part, RULE_LINE, "")
         part = F.regexp_replace(part, r"(?m)[ \t]+$", "")
         return F.regexp_replace(part, r"\n{3,}", "\n\n")
 
@@ -129,14 +135,14 @@ def clean_markdown(text: Column) -> Column:
 
 def front_matter(text: Column) -> Column:
     """The simple `key: value` lines of a leading --- block as a map; null without a block."""
-    block = F.regexp_extract(text, r"\A---\s*\n([\s\S]*?)\n---\s*\n", 1)
+    block = F.regexp_extract(text, FRONT_MATTER, 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\w+\s*:"))
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)), F.lit(" \"'")).alias("value")))
     return F.when(block != "", F.map_from_entries(entries))
 
 
 def without_front_matter(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A---\s*\n([\s\S]*?)\n---\s*\n", "")
+    return F.regexp_replace(text, FRONT_MATTER, "")
 
 
 def years(text: Column) -> Column:
@@ -166,7 +172,7 @@ def front_matter_field(block: Column, key: str, lists_only: bool = False) -> Col
 def markdown_documents(files: DataFrame) -> DataFrame:
     """files (text and other columns) with clean texts and doc_title, doc_description, keywords, tags of the front
     matter; documents with fewer than MIN_CLEAN characters left go. The block goes whether it can be read or not."""
-    block = F.regexp_extract("text", r"\A---\s*\n([\s\S]*?)\n---\s*\n", 1)
+    block = F.regexp_extract("text", FRONT_MATTER, 1)
     fields = {"doc_title": "title", "doc_description": "description", "keywords": "keywords", "tags": "tags"}
     out = files.withColumns({c: front_matter_field(block, k, k == "tags") for c, k in fields.items()})
     return out.withColumn("text", clean_markdown(without_front_matter(F.col("text")))).where(F.length(F.trim("text")) >= MIN_CLEAN)

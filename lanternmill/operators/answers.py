@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from lanternmill.functions.text import fold, years
 
 RELEVANT, SURE = 0.25, 0.3
+# What is taken for a question where none was asked; the first day of a month; labels of cited sources and of
+# the blocks that a model is shown.
 DEFAULT_QUESTION = "Hola"
+FIRST_DAY = r"\b(1|uno|primero|1ro)\b"
+NO_TITLE, NO_ARTICLE_TITLE, NO_DATE = "Fuente sin título", "Artículo sin título", "s/f"
+BLOCK_HEAD, BLOCK_TITLE, BLOCK_DATE, BLOCK_URL = "[Documento ", "]\nTítulo: ", "\nFecha: ", "\nURL: "
 # Small talk that needs no search.
 SMALL_TALK = (
     r"^\s*(hola|hello|hi|hey|buenas|buen\s?d[ií]a|buen(o|a)s?\s?(d[ií]as|tardes|noches))(\s*,\s*(hola|hello|hi|hey|buenas|buen\s?d[ií]a|buen(o|a)s?\s?(d[ií]as|tardes|noches)))?\s*[!.?]*\s*$",
@@ -38,7 +43,7 @@ def planned_section(section: Column) -> Column:
 
 def planned_date(value: Column, question: Column) -> Column:
     """An ISO date; the first of a month only if the question names that day."""
-    named = F.lower(fold(question)).rlike(r"\b(1|uno|primero|1ro)\b")
+    named = F.lower(fold(question)).rlike(FIRST_DAY)
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & (~value.endswith("-01") | named), value)
 
 
@@ -70,7 +75,7 @@ def verdict(ranked: DataFrame) -> DataFrame:
 def citations(context: DataFrame) -> DataFrame:
     """query_id, sources: an array of (citation_id, label, url, published, score), in rank order, repeats by label, url
     and date left out."""
-    label = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("url"), F.lit("")), F.lit("Fuente sin título"))
+    label = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("url"), F.lit("")), F.lit(NO_TITLE))
     date = F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd")
     rows = context.groupBy("query_id", label.alias("label"), "url", date.alias("published")).agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
     listed = F.sort_array(F.collect_list(F.struct("rank", "label", "url", "published", "score")))
@@ -87,7 +92,7 @@ def cited(answer: Column, n: Column | int) -> Column:
 
 def context(docs: Column) -> Column:
     """Numbered blocks of an array of structs title, published, url, text."""
-    block = lambda d, i: F.concat(F.lit("[Documento "), (i + 1).cast("string"), F.lit("]\nTítulo: "), F.coalesce(d["title"], F.lit("Artículo sin título")), F.lit("\nFecha: "), F.coalesce(d["published"], F.lit("s/f")), F.lit("\nURL: "), F.coalesce(d["url"], F.lit("")), F.lit("\n---\n"), d["text"], F.lit("\n---"))
+    block = lambda d, i: F.concat(F.lit(BLOCK_HEAD), (i + 1).cast("string"), F.lit(BLOCK_TITLE), F.coalesce(d["title"], F.lit(NO_ARTICLE_TITLE)), F.lit(BLOCK_DATE), F.coalesce(d["published"], F.lit(NO_DATE)), F.lit(BLOCK_URL), F.coalesce(d["url"], F.lit("")), F.lit("\n---\n"), d["text"], F.lit("\n---"))
     return F.array_join(F.transform(docs, block), "\n\n")
 
 

@@ -79,7 +79,7 @@ def read_gazetteer(spark, path: str) -> "Lexicon":
     return Lexicon(of("direct_argentina_sections"), places, own["institutions"], own["political_organizations"], own["clubs"], own["keywords"], of("ambiguous_institutions"), of("contextual_terms"))
 
 
-#: Kinds of signals of which a preview shows the first chunk each.
+# Kinds of signals of which a preview shows the first chunk each.
 SIGNAL_KINDS = {"section": ("seccion:",), "lexicon": ("gazetteer:", "term:", "institution:", "political_org:", "club:"), "anchors": ("emb_",), "model": ("llm_",)}
 
 
