@@ -29,8 +29,8 @@ def _many(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _lexical(spark, d, lang=None, text=QUESTION, asked=None):
-    docs, asked = _docs(spark, d, lang), asked if asked is not None else _one(spark, text)
+def _lexical(spark, d, lang=None, text=QUESTION):
+    docs, asked = _docs(spark, d, lang), _one(spark, text)
     return R.top(R.with_zeros(R.bm25(docs, asked), docs, asked, R.DEPTH))
 
 
@@ -41,8 +41,9 @@ def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark, d, *weights):
     """The nearest vectors of every query vector, and the best documents of one question."""
-    asked = _query_vectors(spark, d).select("query_id", F.lit(QUESTION).alias("text"))
-    return R.fuse(_semantic(spark, d), _lexical(spark, d, asked=asked), *weights)
+    best = _lexical(spark, d).withColumnRenamed("query_id", "question")  # the question is searched once
+    lexical = _query_vectors(spark, d).select("query_id", F.lit(0).cast("long").alias("question")).join(F.broadcast(best), "question").drop("question")  # DEPTH rows
+    return R.fuse(_semantic(spark, d), lexical, *weights)
 
 
 def _semantic(spark, d, label=None):
