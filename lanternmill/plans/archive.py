@@ -120,6 +120,14 @@ def top_n_per_host(spark, d):
     return ST.top_per_group(pages, "host", "page_id", 3)
 
 
+def edition_links(spark, d):
+    """The links to articles of a dated archive in each page, to which two are added: an article's and an index's."""
+    n = F.col("page_id").cast("string")
+    more = F.concat("html", F.lit('<div><a href="../x/../diario/elpais/1-'), n, F.lit('-2024-05-06.html#top">Nota <b>'), n, F.lit('</b></a></div><a href="/diario/secciones/index-2024-05-06.html">no</a>'))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://archivo.example.com/a/"), n).alias("url"), more.alias("html"))
+    return H.edition_links(pages).select("page_id", "link", "title", "section")
+
+
 def html_text(spark, d):
     return _html(spark, d).select("page_id", H.title(F.col("html")).alias("title"), F.md5(F.encode(H.plain_text(F.col("html")), "UTF-8")).alias("text_md5"), (F.length(H.plain_text(F.col("html"))) >= H.MIN_TEXT).alias("kept"))
 
@@ -350,7 +358,7 @@ def stream_ingest(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     chunk_fixed, chunk_recursive, chunk_index_totals, rebuild_articles, lexicon_match, primary_location, scope_lexical, article_scope, index_scope_filter,
-    scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, html_text, html_parsed, clean_text, whitespace, mojibake,
+    scope_histogram, facets, url_parts, url_predicate, link_explode, first_links, top_n_per_host, edition_links, html_text, html_parsed, clean_text, whitespace, mojibake,
     year_extract, date_coerce, point_ids, upsert_latest, dedupe_by_hash, skip_existing, vector_reuse, evidence_verdict, last_user_turn, chitchat_intent,
     query_plan, planned_query, scope_cascade, lexicon_join, lexicon_automaton, model_rerank, known_location, signal_previews, page_metadata, markdown_documents, section_limit, inspect_listing, inspect_facets, edition_pages, cited_sources, citations, date_range_coverage, per_day_ingest, collection_upsert, stream_ingest, archive_answers,
 )}
@@ -459,3 +467,4 @@ p AS (SELECT b.query_id, b.id, position, docs.text AS t, lower(substr(asked.text
 r AS (SELECT query_id, id, position, CASE WHEN c = '' THEN 0 ELSE round((length(lower(t)) - length(replace(lower(t), c, ''))) / greatest(1, length(t)), 6) END AS score, bool_or(length(t) % 2 = 1) OVER (PARTITION BY query_id) AS odd FROM p),
 m AS (SELECT model, query_id, id, position, CASE WHEN model = 'letters' OR NOT odd THEN score END AS rerank_score, model = 'brittle' AND odd AS failed FROM r, (VALUES ('letters'), ('brittle')) v(model))
 SELECT model, query_id, id, rerank_score, row_number() OVER (PARTITION BY model, query_id ORDER BY rerank_score DESC NULLS LAST, position) AS rerank_position, failed FROM m QUALIFY rerank_position <= 3"""
+SQL["edition_links"] = "SELECT page_id, 'https://archivo.example.com/diario/elpais/1-' || page_id || '-2024-05-06.html' AS link, 'Nota ' || page_id AS title, 'elpais' AS section FROM pages"
