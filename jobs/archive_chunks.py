@@ -61,13 +61,16 @@ def labelled(documents: DataFrame, config: dict) -> DataFrame:
 
 
 def run(spark: SparkSession, documents: str, collection: str, checkpoint: str, config: dict) -> None:
-    """Takes the files of `documents` (a folder, or a pattern of files) that the checkpoint does not know, and stops."""
+    """Takes the files of `documents` (a folder, or a pattern of files) that the checkpoint does not know, and stops. A
+    checkpoint that starts anew over a collection that has later batches is an error: they would hide what it writes."""
     names = [c.strip().split(" ")[0] for c in COLLECTION.split(", ")]
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(documents)
     stream = stream.select("*", F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"))
     spark.createDataFrame([], COLLECTION).write.mode("ignore").partitionBy("batch", "lang").parquet(collection)
 
     def take(batch: DataFrame, number: int) -> None:
+        if number == 0 and not spark.read.schema(COLLECTION).parquet(collection).where("batch > 0").isEmpty():
+            raise ValueError(f"{checkpoint} is not the checkpoint that {collection} was written with")
         read, wrote = Observation(), Observation()
         rows = batch.observe(read, F.count(F.lit(1)).alias("rows"))
         rows = labelled(newest_versions(rows), config).observe(wrote, F.count("chunk_index").alias("chunks"), F.count_if(F.coalesce("chunk_index", F.lit(0)) == 0).alias("documents"))

@@ -72,6 +72,9 @@ def test_second_run_takes_only_what_is_new(spark, tmp_path, caplog):
     caplog.clear()
     take(spark, tmp_path)
     assert "read " not in caplog.text and chunks_of(spark, tmp_path) == second
+    with pytest.raises(Exception, match="not the checkpoint"):
+        archive_chunks.run(spark, f"{tmp_path}/documents", f"{tmp_path}/collection", f"{tmp_path}/other", config("archive_chunks"))
+    assert chunks_of(spark, tmp_path) == second
 
     final = [row(1, LONG * 20), row(2, LONG * 9), row(3, "nothing here " * 30, "en"), row(4, LONG * 4), row(5, ""), row(6, LONG * 2, None)]
     add(spark, tmp_path / "whole/documents", final)
