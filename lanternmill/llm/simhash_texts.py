@@ -5,7 +5,7 @@ shingle sets have the similarity. Fingerprints of sets at the threshold of 0.8 d
 what files of equal bit ranges can find, so the pairs that the fingerprints leave open are found exactly: shingles are
 put in one order for all texts, and two texts of a similarity of t or more share one of the first n - t n + 1 of the n
 shingles of each (prefix filtering), so no pair is missed. The order is that of the shingles' hashes, with shingles
-that a sample finds common last; the sample changes what is compared, never the result.
+that a share of the texts finds common last; that changes what is compared, never the result.
 
 First each text is held against the one that its fingerprint is near to and one that often comes with it in the files
 of first shingles; then whatever is not connected by then against each other, where the prefixes share so much that
@@ -26,8 +26,8 @@ from lanternmill.llm import scratch, simhash
 from lanternmill.llm.components import components
 from lanternmill.llm.url_filter import Level
 
-#: Documents in the sample for common shingles, and in how many of them a common one is.
-SAMPLE, COMMON = 2048, 3
+#: One document in so many is counted for common shingles; in how many of them a common one is; how many are kept.
+SHARE, COMMON, MOST = 16, 3, 1 << 20
 ROW = ["_file", "_at"]
 
 
@@ -59,17 +59,23 @@ def with_row_keys(documents: DataFrame) -> DataFrame:
 
 
 def _common(documents: DataFrame, size: int) -> np.ndarray:
-    n = documents.count()
-    picked = documents.where(F.pmod(F.xxhash64(*ROW), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    """Shingles that a fixed share of the documents finds common: so those that are in more documents than some number
+    come last in the order, whatever the number of documents. The most frequent MOST of them are kept, 8 bytes each."""
+    picked = documents.where(F.pmod(F.xxhash64(*ROW), F.lit(SHARE)) == 0).select("text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch["text"]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), size).view(np.int64))], names=["h"])
 
-    often = picked.mapInArrow(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    top = often.orderBy(F.desc("n"), "h").limit(1 << 17).collect()  # an order is right with any of them
-    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+    often = scratch.saved(picked.mapInArrow(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "often")
+    cut, kept = COMMON, 0
+    for n, shingles_ in sorted(((r["n"], r["count"]) for r in often.groupBy("n").count().collect()), reverse=True):  # a row a count
+        if kept + shingles_ > MOST:
+            cut = n + 1
+            break
+        kept += shingles_
+    return np.sort(often.where(F.col("n") >= cut).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 def _may_fit(shared: str, n: str, m: str, threshold: float) -> Column:
@@ -95,7 +101,8 @@ def repeats(documents: DataFrame, threshold: float = 0.8, size: int = 5, radius:
     gives none; other columns are not read.
     """
     documents = documents.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = documents.sparkSession.sparkContext.broadcast(_common(documents, size))
+    with scratch.passing():
+        common = documents.sparkSession.sparkContext.broadcast(_common(documents, size))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
