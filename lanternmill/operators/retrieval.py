@@ -33,41 +33,57 @@ def if_few(side: DataFrame, most: int) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score of every document (id, text) that has a term of the query (Okapi, negative idf raised to a
-    share of the mean idf). Filter docs before: all statistics are those of what is left. Where both sides have a
-    column part, a query is scored over the documents of its part, with that part's statistics.
+def rated_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, part (where queries have one), term, weight, w (weight by idf), df, n, avgdl of the terms of queries that docs
+    have. Where both sides have a column part, the statistics are those of the query's part.
 
-    Two passes over the texts. The statistics shuffle a row a term and task, in which a term of none stands for the
-    document itself, and are stored, as sizes, rarities and their mean all come from them; the scores explode the words
-    and keep those asked for before anything is shuffled.
+    The statistics shuffle a row a term and task, in which a term of none stands for the document itself. What is stored of
+    them is a row for each term that is asked for, and of the others how many there are of each df, from which the mean
+    comes: the words of the texts stay out of it.
     """
     part = ["part"] if "part" in queries.columns else []
-    words = docs.select(*part, "id", spanish_tokens(F.col("text")).alias("words"))
+    words = docs.select(*part, spanish_tokens(F.col("text")).alias("words"))
     one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("words"))
     marks = F.concat(F.transform(F.array_distinct("words"), lambda w: one(w, F.lit(0))), F.array(one(F.lit(None).cast("string"), F.size("words"))))
     counts = words.select(*part, F.explode(marks).alias("m")).groupBy(*part, "m.term").agg(F.count("*").alias("df"), F.sum("m.words").alias("words"))
-    counts = stored(counts, "bm25-counts")
-    whole = F.col("term").isNull()
-    sizes = counts.where(whole).select(*part, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    per_term = counts.where(~whole)
-    rated = per_term.join(sizes, "part") if part else per_term.join(F.broadcast(sizes))  # one row
-    rated = rated.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    means = rated.groupBy(*part).agg(F.avg("idf").alias("mean"))
     asked = query_terms(queries)
     asked = asked.join(queries.select("query_id", "part"), "query_id") if part else asked
-    terms = if_few(asked.select(*part, "term").distinct(), FEW_TERMS)
-    rated = rated.join(terms, [*part, "term"], "left_semi")
+    asked = stored(asked, "terms")
+    terms = if_few(asked.select(*part, "term").distinct().withColumn("_asked", F.lit(True)), FEW_TERMS)
+    kept = F.when(F.col("_asked"), F.col("term")).alias("kept")
+    marked = counts.join(terms, [*part, "term"], "left").groupBy(*part, F.col("term").isNull().alias("whole"), kept, "df", "words").agg(F.count("*").alias("terms"))
+    counts = stored(marked, "bm25-counts")
+    sizes = counts.where("whole").select(*part, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    per_df = counts.where("not whole").select(*part, F.col("kept").alias("term"), "df", "terms")
+    rated = per_df.join(sizes, "part") if part else per_df.join(F.broadcast(sizes))  # one row
+    rated = rated.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    means = rated.groupBy(*part).agg((F.sum(F.col("terms") * F.col("idf")) / F.sum("terms")).alias("mean"))
+    rated = rated.where("term is not null")
     rated = rated.join(means, "part") if part else rated.join(F.broadcast(means))
-    rated = rated.select(*part, "term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    idf = F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))
+    return asked.join(rated, [*part, "term"]).select("query_id", *part, "term", "weight", (F.col("weight") * idf).alias("w"), "df", "n", "avgdl")
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of every document (id, text) that has a term of the query (Okapi, negative idf raised to a
+    share of the mean idf). Filter docs before: all statistics are those of what is left. Where both sides have a
+    column part, a query is scored over the documents of its part, with that part's statistics.
+
+    A row a query and document: for the best of many queries there is batch.bm25_top. Two passes over the texts; the scores
+    explode the words and keep those asked for before anything is shuffled.
+    """
+    part = ["part"] if "part" in queries.columns else []
+    words = docs.select(*part, "id", spanish_tokens(F.col("text")).alias("words"))
+    asked = stored(rated_terms(docs, queries), "rated")
+    terms = if_few(asked.select(*part, "term").distinct(), FEW_TERMS)
     # the length is there before the words are exploded, so that no row has to carry all of them; and what is exploded is no
     # plain column, from whose size Spark would make a filter that cuts every text into words once more
     long = words.select(*part, "id", F.size("words").alias("dl"), "words")
     found = long.select(*part, "id", "dl", F.explode(F.coalesce("words", F.array().cast("array<string>"))).alias("term")).join(terms, [*part, "term"], "left_semi")
     found = found.groupBy(*part, "id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf")
-    score = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(rated, [*part, "term"]).join(asked, [*part, "term"]).groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+    score = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return found.join(asked, [*part, "term"]).groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
 
 
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

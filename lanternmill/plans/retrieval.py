@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternmill.functions.text import STOP_WORDS, spanish_tokens, tokens
-from lanternmill.operators import index
+from lanternmill.operators import batch, index
 from lanternmill.operators import retrieval as R
 from lanternmill.operators.nearest import nearest
 from lanternmill.operators.scope import anchor_scope
@@ -74,8 +74,7 @@ def bm25_zero_fill(spark, d):
 
 
 def bm25_batch(spark, d):
-    docs = _docs(spark, d)
-    return R.top(R.bm25(docs, _many(spark, d)), 5)
+    return batch.bm25_top(_docs(spark, d), _many(spark, d), 5)
 
 
 def bm25_indexed(spark, d):
