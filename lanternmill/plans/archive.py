@@ -11,7 +11,7 @@ from lanternmill.functions import values as V
 from lanternmill.operators import answers as A
 from lanternmill.operators import archive
 from lanternmill.operators import chunks as C
-from lanternmill.operators import lexicon, models
+from lanternmill.operators import batch, lexicon, models
 from lanternmill.operators import retrieval as R
 from lanternmill.operators import scope as S
 from lanternmill.operators import store as ST
@@ -271,7 +271,7 @@ def model_rerank(spark, d):
     """Two stand-in models over the benchmark's questions and their five best documents: one that counts letters, and one
     that fails on some texts, whose questions keep the order they had."""
     docs, asked = _texts(spark, d, F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    best = R.top(R.bm25(docs, asked), 5)
+    best = batch.bm25_top(docs, asked, 5)
     pairs = stored(best.join(docs, "id").join(asked.withColumnRenamed("text", "question"), "query_id").withColumn("position", F.col("rank")), "pairs")
     cache = shared_path(spark, "answers")
     rows = [models.rerank(pairs, m, 3, cache).withColumn("model", F.lit(m.name)) for m in (models.Model("letters", stand_ins.letters), models.Model("brittle", stand_ins.brittle, tries=1))]
