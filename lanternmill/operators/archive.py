@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanternmill.functions.labels import embed, entities
 from lanternmill.functions.text import collapse
 from lanternmill.functions.values import UNKNOWN_DATE, date_of, decade_of, point_id
-from lanternmill.operators import answers, chunks, retrieval, scope, store
+from lanternmill.operators import answers, batch, chunks, retrieval, scope, store
 from lanternmill.operators.nearest import nearest
 
 INDEX = (
@@ -77,7 +77,7 @@ def answer(indexed: DataFrame, questions: DataFrame, filters: dict | None = None
     rows = store.where_all(indexed, filters or {})
     docs = rows.select(F.col("point_id").alias("id"), "text")
     parts = _parts(rows, search).select(F.col("point_id").alias("id"), "text", "vector", "part")
-    lexical = retrieval.top(retrieval.bm25(parts.select("part", "id", "text"), search.select("query_id", "part", "text")))
+    lexical = batch.bm25_top(parts.select("part", "id", "text"), search.select("query_id", "part", "text"))
     vectors = search.select("query_id", "part", embedder(F.col("text"), prefix="query: ").alias("qvector"))
     semantic = nearest(parts.select("part", "id", "vector"), vectors)
     weights = search.select("query_id", "w")
