@@ -50,7 +50,8 @@ def labelled(documents: DataFrame, config: dict) -> DataFrame:
     that an article's scope is a window that shuffles nothing."""
     lexicon = scope.Lexicon(**config["lexicon"])
     pieces = chunks.windows(replace_broken_punctuation(F.col("text")), config["chunk_size"], config["overlap"])
-    rows = documents.select("source_id", "lang", "section", F.size(pieces).alias("total_chunks"), F.posexplode_outer(pieces).alias("chunk_index", "text"))
+    cut = documents.select("source_id", "lang", "section", pieces.alias("pieces"))
+    rows = cut.select("source_id", "lang", "section", F.size("pieces").alias("total_chunks"), F.posexplode_outer("pieces").alias("chunk_index", "text"))
     label = scope.lexical_scope(F.coalesce("text", F.lit("")), F.col("section"), F.array().cast("array<string>"), lexicon)
     rows = rows.withColumn("s", label).select("*", F.col("s.scope").alias("country_scope"), F.col("s.signals").alias("scope_signals")).drop("s")
     rows = scope.with_article_scope(rows).withColumn("chunk_id", F.concat_ws("::", "source_id", F.lit("chunk"), F.col("chunk_index").cast("string")))

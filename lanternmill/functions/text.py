@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -27,6 +28,11 @@ MOJIBAKE_PUNCTUATION = {
 }
 
 
+def once(value: Column, told: Callable[[Column], Column]) -> Column:
+    """told of a value that is worked out once, however often told names it."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
+
+
 @lru_cache
 def _map(form: str) -> tuple[str, str]:
     """Characters that the normal form turns into one base character and marks, and these base characters."""

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternmill.functions.text import once
 from lanternmill.session import stored
 
 SIZE, OVERLAP = 900, 120
@@ -68,10 +69,15 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """The texts of `fixed` as an array, empty for an empty text, null for none."""
+    """The texts of `fixed` as an array, empty for an empty text, null for none. The text is worked out once, not for
+    each of its windows."""
     stride = size - overlap
-    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / stride).cast("int"))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda k: F.substring(text, k * stride + 1, F.lit(size)))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(t) - 1) / stride).cast("int"))
+        return F.when(F.length(t) > 0, F.transform(starts, lambda k: F.substring(t, k * stride + 1, F.lit(size)))).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return once(text, cut)
 
 
 def number(chunks: DataFrame, order: str) -> DataFrame:

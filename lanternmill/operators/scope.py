@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternmill.functions.text import fold
+from lanternmill.functions.text import fold, once
 from lanternmill.functions.values import cosine
 
 MIN_CHARS, MARGIN = 100, 0.15
@@ -29,12 +29,16 @@ def term_pattern(term: str, loose_spaces: bool = False) -> str:
 
 def find_terms(text: Column, terms: list[str], loose_spaces: bool = False) -> Column:
     """The terms that a text has, in the list's order and spelling, each once. The lexicon is a parameter, so it is
-    part of the plan; matching is one pass of native patterns."""
-    folded = norm(text)
+    part of the plan; matching is one pass of native patterns over a text that is folded once."""
+    return once(norm(text), lambda flat: find_folded(flat, terms, loose_spaces))
+
+
+def find_folded(flat: Column, terms: list[str], loose_spaces: bool = False) -> Column:
+    """find_terms of a text that norm has folded."""
     from unicodedata import combining, normalize
 
     plain = lambda t: "".join(c for c in normalize("NFKD", t) if not combining(c)).lower()
-    found = [F.when(folded.rlike(term_pattern(plain(t), loose_spaces)), F.lit(t)) for t in dict.fromkeys(terms)]
+    found = [F.when(flat.rlike(term_pattern(plain(t), loose_spaces)), F.lit(t)) for t in dict.fromkeys(terms)]
     return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
 
 
@@ -115,29 +119,39 @@ class Lexicon:
 
 
 def lexical_scope(text: Column, section: Column, organizations: Column, lexicon: Lexicon) -> Column:
-    """struct<scope, signals> by the lexicon alone: a direct section decides; else any strong signal does."""
+    """struct<scope, signals> by the lexicon alone: a direct section decides; else any strong signal does. The text is
+    folded once for all lists of terms, and not at all where its length or section decides."""
     tagged = lambda tag, found: F.transform(found, lambda t: F.concat(F.lit(tag), t))
-    joined = F.concat_ws(" ", text, F.array_join(organizations, " "))
 
     def named(term: str) -> Column:
         return F.when(F.exists(organizations, lambda o: norm(o) == norm(F.lit(term))), F.lit(term))
 
     inside = lambda terms: F.filter(F.array(*map(named, terms)), lambda x: x.isNotNull()) if terms else F.array().cast("array<string>")
-    strong = F.array_distinct(F.concat(
-        tagged("gazetteer:", find_terms(text, lexicon.locations)), tagged("institution:", inside(lexicon.institutions)),
-        tagged("political_org:", inside(lexicon.political)), tagged("club:", inside(lexicon.clubs)),
-        tagged("institution:", find_terms(joined, Lexicon.direct(lexicon.institutions), True)),
-        tagged("political_org:", find_terms(joined, Lexicon.direct(lexicon.political), True)), tagged("term:", find_terms(joined, lexicon.terms, True)),
-    ))
-    weak = F.concat(tagged("weak_institution:", find_terms(joined, lexicon.weak_institutions, True)), tagged("contextual_term:", find_terms(joined, lexicon.contextual, True)))
-    own = F.lower(F.trim(F.coalesce(section, F.lit(""))))
+
+    def strong(flat: Column, joined: Column) -> Column:
+        return F.array_distinct(F.concat(
+            tagged("gazetteer:", find_folded(flat, lexicon.locations)), tagged("institution:", inside(lexicon.institutions)),
+            tagged("political_org:", inside(lexicon.political)), tagged("club:", inside(lexicon.clubs)),
+            tagged("institution:", find_folded(joined, Lexicon.direct(lexicon.institutions), True)),
+            tagged("political_org:", find_folded(joined, Lexicon.direct(lexicon.political), True)), tagged("term:", find_folded(joined, lexicon.terms, True)),
+        ))
+
+    def weak(joined: Column) -> Column:
+        return F.concat(tagged("weak_institution:", find_folded(joined, lexicon.weak_institutions, True)), tagged("contextual_term:", find_folded(joined, lexicon.contextual, True)))
+
     result = lambda scope, signals: F.struct(F.lit(scope).alias("scope"), signals.alias("signals"))
     none = F.array().cast("array<string>")
+
+    def by_terms(flat: Column) -> Column:
+        # folding takes one character at a time, so the folded parts are those of the text and organizations put together
+        joined = F.concat_ws(" ", flat["own"], flat["others"])
+        return once(F.struct(strong(flat["own"], joined).alias("strong"), weak(joined).alias("weak")), lambda f: F.when(F.size(f["strong"]) > 0, result("argentina", F.concat(f["strong"], f["weak"]))).otherwise(result("unknown", f["weak"])))
+
+    own = F.lower(F.trim(F.coalesce(section, F.lit(""))))
     return (
         F.when(F.length(F.trim(text)) < MIN_CHARS, result("unknown", none))
         .when(own.isin([s.lower() for s in lexicon.sections]) if lexicon.sections else F.lit(False), result("argentina", F.array(F.concat(F.lit("seccion:"), own))))
-        .when(F.size(strong) > 0, result("argentina", F.concat(strong, weak)))
-        .otherwise(result("unknown", weak))
+        .otherwise(once(F.struct(norm(text).alias("own"), norm(F.array_join(organizations, " ")).alias("others")), by_terms))
     )
 
 

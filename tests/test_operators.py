@@ -163,3 +163,16 @@ def test_links_and_titles(spark):
     assert got.t == "Meta" and got.p == "Uno Texto & más B c" and got.q == "Uno Texto & más B c"
     urls = frame(spark, [("/x",), ("y#f",), ("//o/z",), ("http://q/",), ("",)], "h string").select(H.absolute(F.col("h"), F.lit("https://a.b/c/d"))).collect()
     assert [r[0] for r in urls] == ["https://a.b/x", "https://a.b/c/y", "https://o/z", "http://q/", "https://a.b/c/d"]
+
+
+def test_texts_are_folded_and_cut_once(spark):
+    """However many terms, a text is folded once for them; a text is repaired once, not for each of its windows."""
+    rows = frame(spark, [("x", "y", ["z"])], "t string, s string, o array<string>")
+    lexicon = S.Lexicon(locations=list("abcdef"), terms=list("ghi"), contextual=list("jkl"))
+    plan = rows.select(S.lexical_scope(F.col("t"), F.col("s"), F.col("o"), lexicon).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2  # the text, the organizations
+    plan = rows.select(C.windows(F.replace("t", F.lit("a"), F.lit("b"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 1
+    want = [("", []), ("é" * 25, ["é" * 10, "é" * 10, "é" * 9, "é"]), (None, None)]
+    got = frame(spark, [(t,) for t, _ in want], "t string").select("t", C.windows(F.col("t"), 10, 2).alias("w")).collect()
+    assert [tuple(r) for r in got] == want
