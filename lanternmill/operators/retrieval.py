@@ -132,13 +132,31 @@ def query_weights(text: Column) -> Column:
 def overlap_rerank(candidates: DataFrame, n: int = RERANK_DEPTH) -> DataFrame:
     """query_id, id, rerank_score, rerank_position of query_id, id, question, text: a deterministic stand-in for a
     cross-encoder, the share of the question's words that the text has."""
-    asked = F.array_distinct(spanish_tokens(F.col("question")))
-    score = F.size(F.array_intersect(asked, spanish_tokens(F.col("text")))) / F.greatest(F.size(asked), F.lit(1))
+    return best_overlaps(candidates.select("query_id", "id", overlap(F.array_distinct(spanish_tokens(F.col("question"))), spanish_tokens(F.col("text"))).alias("rerank_score")), n)
+
+
+def overlap(asked: Column, words: Column) -> Column:
+    """The share of the distinct words asked that are among words."""
+    return F.round(F.size(F.array_intersect(asked, words)) / F.greatest(F.size(asked), F.lit(1)), 6)
+
+
+def best_overlaps(rated: DataFrame, n: int = RERANK_DEPTH) -> DataFrame:
+    """The n best of each query (query_id, id, rerank_score) with rerank_position, ties to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id")
-    rated = candidates.select("query_id", "id", F.round(score, 6).alias("rerank_score"))
     return rated.withColumn("rerank_position", F.row_number().over(best)).where(F.col("rerank_position") <= n).withColumn("rerank_position", F.col("rerank_position").cast("long"))
 
 
+def overlap_reranked(found: DataFrame, docs: DataFrame, questions: DataFrame, n: int = RERANK_DEPTH) -> DataFrame:
+    """overlap_rerank of found (query_id, id), docs (id, text) and questions (query_id, question). A text that was found is
+    cut into words once, not for each question that it is found for, and is dealt by its id alone; the questions meet it
+    there with their own words."""
+    found = stored(found.select("query_id", "id"), "found")
+    asked = questions.select("query_id", F.array_distinct(spanish_tokens(F.col("question"))).alias("asked"))
+    words = docs.join(found.select("id").distinct(), "id", "left_semi").select("id", spanish_tokens(F.col("text")).alias("words"))
+    rated = words.join(found.join(asked, "query_id"), "id").select("query_id", "id", overlap(F.col("asked"), F.col("words")).alias("rerank_score"))
+    return best_overlaps(rated, n)
+
+
 # More words that mark a question about ideas, where a tagger has read it.
 MORE_IDEA_WORDS = ("filosofia", "definicion", "resumen", "contexto")
 

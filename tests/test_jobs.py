@@ -166,3 +166,11 @@ def test_command_line(tmp_path):
     assert "read 200 rows" in out.stderr and os.path.isdir(tmp_path / "collection/batch=0/lang=es")
     with pytest.raises(ValueError):
         config("archive_chunks", nothing=1)
+
+
+def test_a_report_stores_no_postings(spark, tmp_path):
+    """Beside the answers a run leaves a row a question and one a document shown, no row a word of the documents."""
+    docs = [(i, f"huelga portuaria rosario {' '.join(f'w{i}x{k}' for k in range(200))}", "es", "a", "c", 1) for i in range(100)]
+    got = report(spark, tmp_path, [(c, 1, "user", f"huelga w{c}x1", "clash") for c in range(80)], docs)
+    assert all(got[c].cited[0].doc_id == c for c in range(80))
+    assert sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(tmp_path / "report") for f in names) < 100_000
