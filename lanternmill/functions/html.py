@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,21 +105,32 @@ class _Text(HTMLParser):
                 self.main.append(data)
 
 
+#: Pages that are parsed, and characters of what is found, before they leave a task.
+PAGES, CHARS = 256, 1 << 22
+
+
+def _page_text(page: str | None) -> str | None:
+    if page is None:
+        return None
+    p = _Text()
+    p.feed(page)
+    p.close()
+    return " ".join(" ".join(p.main or p.all).split())
+
+
+def parse_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Pages become Python's some at a time, whatever the size of a batch."""
+    for pages in batches:
+        parts = [pa.array([_page_text(x) for x in pages.slice(k, PAGES).to_pylist()], pa.string()) for k in range(0, len(pages), PAGES)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 def parsed_text(html: Column) -> Column:
     """The same by a parser, for markup that patterns misread. A stand-in for a full extractor."""
 
-    @F.pandas_udf("string")
-    def extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(page: str | None) -> str | None:
-            if page is None:
-                return None
-            p = _Text()
-            p.feed(page)
-            p.close()
-            return " ".join(" ".join(p.main or p.all).split())
-
-        for s in pages:
-            yield s.map(one)
+    @F.arrow_udf("string")
+    def extract(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from parse_texts(pages)
 
     return extract(html)
 
@@ -205,24 +216,37 @@ def _around(anchor) -> tuple[str, str]:
     return _said(block), " ".join(t for t in near if t)
 
 
+def parse_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of anchors of page_id, url, html. A page's anchors can repeat its text many times, so rows go out as soon
+    as they have about CHARS characters."""
+    text = pa.string()
+    for batch in batches:
+        kinds = [batch["page_id"].type, text, pa.int64(), text, text, text, text]
+        rows, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "pos", "href", "title", "snippet", "nearby"])
+
+        for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"]):
+            tree = _Tree()
+            tree.feed(page.as_py() or "")
+            tree.close()
+            for pos, a in enumerate(tree.anchors):
+                snippet, nearby = _around(a)
+                rows.append((page_id.as_py(), url.as_py(), pos, a[1]["href"], _said(a) or None, snippet or None, nearby or None))
+                size += len(snippet) + len(nearby)
+                if size >= CHARS:
+                    yield out()
+                    rows, size = [], 0
+        yield out()
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, href, title, snippet, nearby of every anchor of page_id, url, html, in page order. Python, as
     only a parser knows what is around an anchor."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"]):
-                tree = _Tree()
-                tree.feed(page or "")
-                tree.close()
-                for pos, a in enumerate(tree.anchors):
-                    snippet, nearby = _around(a)
-                    rows.append((page_id, url, pos, a[1]["href"], _said(a) or None, snippet or None, nearby or None))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "title", "snippet", "nearby"])
-
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInPandas(parse, f"page_id {kind}, url string, pos long, href string, title string, snippet string, nearby string")
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(parse_anchors, f"page_id {kind}, url string, pos long, href string, title string, snippet string, nearby string")
 
 
 def edition_links(pages: DataFrame, expected: Column | None = None) -> DataFrame:

@@ -48,3 +48,26 @@ def test_messages_and_payloads(spark):
     got = [r.m for r in rows.orderBy("k").select(answers.messages(F.col("q"), F.col("c"), "Leé: {context}", "P: {question}").alias("m")).collect()]
     assert [(m.role, m.content) for m in got[0]] == [("system", "Leé: [Documento 1]"), ("user", "P: que paso")] and got[1][1].content == "P: "
     assert {r.point_id: json.loads(r.payload) for r in store.payload(rows, ["q", "section"]).collect()} == {"p1": {"q": "que paso"}, "p2": {"section": "x"}}
+
+
+def test_pages_are_parsed_some_at_a_time():
+    """Anchors that each repeat a large block, and texts of many pages, do not pile up in a worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<div>" + "texto " * 700 + "".join(f"<a href='/{k}'>x</a>" for k in range(100)) + "</div>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(["https://a.example.com/"] * 60), pa.array([page] * 60)], names=["page_id", "url", "html"])
+
+    def peak(found):
+        tracemalloc.start()
+        n = sum(found)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    n, most = peak(b.num_rows for b in H.parse_anchors(iter([batch])))
+    assert n == 6000 and most < 20e6  # all of them have 26 million characters
+    n, most = peak(len(a) for a in H.parse_texts(iter([pa.array([page] * 1000)])))
+    assert n == 1000 and most < 6e6  # all pages have 6 million characters, their texts 4
+    assert next(H.parse_texts(iter([pa.array([None, "<p>a</p>"])]))).to_pylist() == [None, "a"] and len(next(H.parse_texts(iter([pa.array([], pa.string())])))) == 0
