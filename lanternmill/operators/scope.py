@@ -42,10 +42,19 @@ def find_folded(flat: Column, terms: list[str], loose_spaces: bool = False) -> C
     return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
 
 
+def whole_term(plain: Column) -> Column:
+    """The pattern of a folded term between characters that are not of words."""
+    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), plain, F.lit(r"\E(?!\w)"))
+
+
+#: Terms of match_lexicon up to which they are broadcast.
+BROADCAST_TERMS = 1 << 16
+
+
 def match_lexicon(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """id, term of docs (id, text) and terms (term): the same matches as find_terms, for lexicons too large for a plan.
     Texts and terms meet by equal runs of words, so it is an equi-join whatever the number of terms; the text between
-    the words is verified after."""
+    the words is verified after. Up to BROADCAST_TERMS terms go to the texts, which then are not shuffled."""
     words = lambda c: F.regexp_extract_all(norm(c), F.lit(r"(?U)\w+"), F.lit(0))
     known = terms.where(F.trim("term") != "").dropDuplicates(["term"]).select("term", norm(F.trim("term")).alias("plain"), words(F.col("term")).alias("w")).where(F.size("w") > 0)
     known = known.select("term", "plain", F.size("w").alias("size"), F.array_join("w", " ").alias("gram"))
@@ -54,10 +63,14 @@ def match_lexicon(docs: DataFrame, terms: DataFrame) -> DataFrame:
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
     none = F.array().cast("array<string>")
     runs = F.array_distinct(F.concat(*[F.when(F.size("w") >= n, grams(n)).otherwise(none) for n in sizes])) if sizes else none
+    if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # a run keeps a reference to its text, which is written for none but those that are a term
+        met = own.select("id", "flat", F.explode(runs).alias("gram")).join(F.broadcast(known), "gram")
+        return met.where(F.regexp(F.col("flat"), whole_term(F.col("plain")))).select("id", "term").distinct()
     met = own.select("id", F.explode(runs).alias("gram")).join(known, "gram")
     # a text is read once for all the terms it may have, and isn't copied for every run of words
     asked = met.groupBy("id").agg(F.collect_set(F.struct("term", "plain")).alias("asked"))
-    there = lambda x: F.regexp(F.col("flat"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), x["plain"], F.lit(r"\E(?!\w)")))
+    there = lambda x: F.regexp(F.col("flat"), whole_term(x["plain"]))
     found = own.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id"))).select("d.id", F.filter("asked", there).alias("found"))
     return found.select("id", F.explode("found.term").alias("term")).distinct()
 

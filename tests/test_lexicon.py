@@ -51,3 +51,15 @@ def test_no_window_over_a_source(spark):
     frame = spark.createDataFrame([("s", i) for i in range(50)], "source_id string, at long")
     plan = chunks.number(frame, "at")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "_part" in plan
+
+
+def test_few_terms_go_to_the_texts(spark, monkeypatch):
+    """One join, with the terms broadcast: no text is joined with what was found in it."""
+    docs = spark.createDataFrame([(1, "La Plata, y en  la plata"), (1, "el río"), (2, "aplata"), (None, "LA PLATA"), (3, None)], "id long, text string")
+    terms = spark.createDataFrame([("la plata",), ("La Plata",), ("rio",), (" ",), (None,)], "term string")
+    few = scope.match_lexicon(docs, terms)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "broadcast" in plan
+    got = sorted(map(repr, few.collect()))
+    monkeypatch.setattr(scope, "BROADCAST_TERMS", 0)
+    assert got == sorted(map(repr, scope.match_lexicon(docs, terms).collect())) and len(got) == 5
