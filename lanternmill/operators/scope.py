@@ -211,6 +211,7 @@ def cascade(rows: DataFrame, lexicon: "Lexicon", anchors: dict[str, list[list[fl
     """
     none = F.array().cast("array<string>")
     one = lexical_scope(F.col("text"), F.col("section"), F.col("organizations"), lexicon)
+    own = rows.columns
     rows = rows.withColumn("_one", one)
     is_open = (F.col("_one.scope") == "unknown") & (F.length(F.trim("text")) >= MIN_CHARS)
     two = F.when(is_open & F.col("vector").isNotNull(), anchor_scores(F.col("vector"), anchors, margin)) if anchors else F.lit(None).cast("struct<scope:string,final:boolean,signals:array<string>>")
@@ -220,7 +221,10 @@ def cascade(rows: DataFrame, lexicon: "Lexicon", anchors: dict[str, list[list[fl
     rows = rows.withColumn("_key", F.when(asked, F.sha2("text", 256)) if ask else F.lit(None).cast("string"))
     if ask:
         texts = rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first(F.substring("text", 1, PROMPT_CHARS)).alias("prompt"))
-        rows = rows.join(ask(texts).select(F.col("key").alias("_key"), F.col("answer").alias("_answer")), "_key", "left")
+        # rows that nothing is asked for have a key of their own, which no answer has: by null they would all be one task's
+        plain = [c for c in own if not any(k in dict(rows.dtypes)[c] for k in ("map<", "variant", "interval"))]
+        dealt = F.coalesce("_key", F.concat(F.lit("-"), F.xxhash64(*[rows[c] for c in plain]).cast("string")))
+        rows = rows.withColumn("_key", dealt).join(ask(texts).select(F.col("key").alias("_key"), F.col("answer").alias("_answer")), "_key", "left")
     label = label_of(F.col("_answer")) if ask else F.lit("unknown")
     said = F.when(~asked, F.lit("llm_skipped:short_text")).otherwise(F.lit("llm_skipped:disabled"))
     if ask:

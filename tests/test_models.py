@@ -101,3 +101,23 @@ def test_all_layers_reach_the_index(spark, tmp_path):
     assert got["u5"].country_scope == "unknown" and not noted(log)
     alone = archive.index(archive.enrich(docs, Lexicon(locations=["La Plata"]), ask=ask, model="label"), "all").where("source_id = 'u4'").first()
     assert alone.scope_signals == ["llm_local:label:argentina"] and alone.article_country_scope == "unknown"  # one word of a model is not enough
+
+
+def test_rows_that_no_model_is_asked_for_are_dealt(spark):
+    """Texts that the lexicon decides have no key; they are not all one task's."""
+    from pyspark.sql import functions as F
+
+    from lanternmill.operators import scope
+
+    rows = spark.range(400).select("id", F.concat(F.lit("en la plata " + "x" * 150), F.col("id").cast("string")).alias("text"), F.lit("s").alias("section"), F.array().cast("array<string>").alias("organizations"), F.lit(None).cast("array<double>").alias("vector"))
+    ask = lambda texts: texts.select("key", F.lit("argentina").alias("answer"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "-1")):
+            spark.conf.set(n, v)
+        got = scope.cascade(rows, scope.Lexicon(locations=["la plata"]), ask=ask, model="m").select("scope", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(got) == 400 and {r.scope for r in got} == {"argentina"} and len({r.p for r in got}) == 4
