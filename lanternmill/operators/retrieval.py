@@ -87,10 +87,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Adds, with score 0, the k smallest ids of docs to each query that lacks them, so that every query has k rows."""
+    """Adds, with score 0, the k smallest ids of docs to each query that lacks them, so that every query has k rows. By a
+    group, not a join: scores are worked out once."""
     few = docs.select("id").orderBy("id").limit(2 * k)
     fill = queries.select("query_id").join(F.broadcast(few)).select("query_id", "id")  # 2 k rows a query
-    return scores.unionByName(fill.join(scores, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0)))
+    both = scores.select("query_id", "id", "score").unionByName(fill.withColumn("score", F.lit(None).cast("double")))
+    return both.groupBy("query_id", "id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
 
 
 def top(scores: DataFrame, k: int = DEPTH) -> DataFrame:

@@ -103,9 +103,8 @@ def rrf_order(spark, d):
 
 
 def hybrid_rerank(spark, d):
-    fused = _fused(spark, d)
-    rows = fused.join(_docs(spark, d), "id").withColumn("question", F.lit(QUESTION))
-    return R.overlap_rerank(rows.select("query_id", "id", "question", "text"))
+    questions = _query_vectors(spark, d).select("query_id", F.lit(QUESTION).alias("question"))
+    return R.overlap_reranked(_fused(spark, d), _docs(spark, d), questions)
 
 
 def query_weights(spark, d):

@@ -38,3 +38,27 @@ def test_shuffles_the_best_alone(spark):
     assert len(best.collect()) == 100
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") and "HashAggregate" not in plan
+
+
+def test_zeros_work_scores_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from lanternmill.operators import retrieval
+
+    scores = spark.range(12345).where("id >= 2").select(F.lit(0).cast("long").alias("query_id"), "id", (-F.col("id")).cast("double").alias("score"))
+    docs, asked = spark.range(20000).select("id"), spark.createDataFrame([(0,), (1,)], "query_id long")
+    filled = retrieval.with_zeros(scores, docs, asked, 2)
+    assert filled._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 12345") == 1
+    got = {(r.query_id, r.id): r.score for r in filled.where("id < 4").collect()}
+    assert got == {(0, 0): 0, (0, 1): 0, (0, 2): -2, (0, 3): -3, (1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 0}
+
+
+def test_reranking_of_found_texts(spark):
+    from lanternmill.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "huelga portuaria"), (2, "huelga"), (3, None), (4, "nunca")], "id long, text string")
+    found = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 1), (8, 4)], "query_id long, id long")
+    asked = spark.createDataFrame([(7, "huelga portuaria"), (8, "nunca huelga"), (9, "nada")], "query_id long, question string")
+    want = retrieval.overlap_rerank(found.join(docs, "id").join(asked, "query_id"), 2)
+    got = retrieval.overlap_reranked(found, docs, asked, 2)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
