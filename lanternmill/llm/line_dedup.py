@@ -8,8 +8,9 @@ lengths, positions and 128-bit word maps still allow the similarity. They are ve
 if an earlier line (by doc_id, then line number) is that similar; equal sets are similarity 1.
 
 Large families of variants would give pairs with the square of their size, though one earlier match settles a line. So
-each set is first held against the earliest set filed under the same word, one candidate for each of its first words;
-sets that this settles are no longer asked about in the join.
+each set is first held against the earliest set filed under the same word, one candidate for each of its first words
+that is not rare; sets that this settles are no longer asked about in the join. A rare word, of at most 127 lines, brings
+a set together with so few others that the join takes them as they are.
 
 Words are compared by 64-bit hashes, sets that count as equal by 128 bits.
 """
@@ -34,12 +35,14 @@ DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 _CLASS_BIT = 58
 #: With how many of its first words a set is held against the earliest set before the join.
 GUESSES = 6
+#: Class of frequency from which these are words of 128 lines or more, or share a bucket with others that make it so many.
+COMMON = 7
 #: Places (of 12 bytes each) up to which a set of them is broadcast.
 BROADCAST_PLACES = 1 << 18
 #: The join goes over the words in so many parts, one after the other, each with its share of the shuffle files.
 PARTS = 2
 #: Words up to which a set's map has 64 bits.
-SHORT = 56
+SHORT = 80
 _LOW = (1 << _CLASS_BIT) - 1
 _FIRST = -(1 << 63)  # stands for a null doc_id, which comes before all others
 
@@ -54,7 +57,7 @@ def _words(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc", F.when(other, F.translate("low", "\t\r\x0b\x0c", "    ")).otherwise(F.col("low")).alias("flat"))
     rows = rows.select("doc", F.posexplode(F.split("flat", "\n")).alias("line", "flat")).where(F.trim("flat") != "")
     hashes = F.transform(F.split("flat", " "), lambda w: F.xxhash64(w))
-    return rows.select("doc", "line", F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))).alias("words"))
+    return rows.select("doc", "line", F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))).alias("words"))  # array_except leaves each once
 
 
 def rarity(words: DataFrame) -> DataFrame:
@@ -73,12 +76,13 @@ def rarity(words: DataFrame) -> DataFrame:
     return parts.agg(F.flatten(in_order("part", "classes")).alias("classes"))
 
 
-def _maps(words: Column) -> list[Column]:
-    """m0, m1: 128 bits, of which each word flips one. A short set has all of them in the first half, folded."""
+def _with_maps(rows: DataFrame) -> DataFrame:
+    """rows with m0, m1: 128 bits, of which each of the words flips one. A short set has all of them in the first half,
+    folded. The second half is a projection of its own, and the first starts from it, so that neither is worked out twice."""
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    flipped = lambda bit: F.aggregate(words, none, lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", bit(h), F.shiftrightunsigned(h, 58).cast("int"))))
-    second = F.when(F.size(words) <= SHORT, none).otherwise(flipped(lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(one)))
-    return [flipped(lambda h: one).bitwiseXOR(second).alias("m0"), second.alias("m1")]
+    flipped = lambda start, bit: F.aggregate("words", start, lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", bit(h), F.shiftrightunsigned(h, 58).cast("int"))))
+    second = F.when(F.size("words") <= SHORT, none).otherwise(flipped(none, lambda h: F.shiftrightunsigned(h, 57).bitwiseAND(one)))
+    return rows.withColumn("m1", second).withColumn("m0", flipped(F.col("m1"), lambda h: one))
 
 
 def _prefix(words: Column, classes: Column, threshold: float) -> Column:
@@ -96,9 +100,9 @@ def _sets(words: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """doc, line (of the earliest line), n, m0, m1, prefix of every distinct set."""
     w = F.col("words")
     # the table of classes passes through a column, as a subquery may not stand in a lambda function
-    rows = words.withColumn("classes", classes.scalar()).select(
+    rows = _with_maps(words).withColumn("classes", classes.scalar()).select(
         F.struct("doc", "line").alias("place"), F.xxhash64("words").alias("s0"), F.xxhash64(F.lit(1), "words").alias("s1"),
-        F.size(w).alias("n"), *_maps(w), _prefix(w, F.col("classes"), threshold).alias("prefix"),
+        F.size(w).alias("n"), "m0", "m1", _prefix(w, F.col("classes"), threshold).alias("prefix"),
     )
     out = rows.groupBy("s0", "s1", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("m0", "m1", "prefix")])
     return out.select("place.doc", "place.line", "n", "m0", "m1", "prefix")
@@ -131,9 +135,9 @@ def _comes_later(a: str, b: str) -> Column:
 
 
 def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
-    """later, earlier, with repeats: sets, for each of their first words, with the earliest that has this word among its
-    first, if the two could be similar. Both steps can be split where a word is hot."""
-    filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES)))
+    """later, earlier, with repeats: sets, for each of their first words that is not rare, with the earliest that has this
+    word among its first, if the two could be similar. Both steps can be split where a word is hot."""
+    filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES))).where(F.shiftright("token", _CLASS_BIT) >= COMMON)
     earliest = filed.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("members")).where("members > 1").select("token", "first")
     pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))

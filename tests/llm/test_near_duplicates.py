@@ -223,3 +223,15 @@ def test_long_lines_many_lines_and_families_equal_brute_force(spark, monkeypatch
 def test_rows_that_share_a_doc_id_do_not_crash(spark):
     out = line_dedup.remove_lines(docs(spark, [(1, "a b c d\nz"), (1, "a b c d\nz"), (2, "z\nq")])).collect()
     assert sorted((x.doc_id, x.text) for x in out) == [(1, "a b c d\nz"), (1, "a b c d\nz"), (2, "q")]
+
+
+@pytest.mark.parametrize(("size", "guessed"), [(60, False), (200, True)])
+def test_only_words_of_many_lines_are_guessed_with(spark, size, guessed):
+    r = random.Random(5)
+    base = [f"v{i}" for i in range(81)]
+    rows = [(i, " ".join(base[r.randint(0, 4):] + [f"own{i}"] * r.randint(0, 1)) + f"\nx{i} y{i} z{i} q{i} u{i}") for i in range(size)]
+    words = line_dedup._words(docs(spark, rows))
+    assert all(list(x.words) == sorted(set(x.words)) for x in words.collect())
+    sets = line_dedup._sets(words, line_dedup.rarity(words), 0.8)
+    assert bool(line_dedup._guesses(sets, 0.8).count()) == guessed
+    assert {x.doc_id: x.text for x in line_dedup.remove_lines(docs(spark, rows)).collect()} == brute_lines(rows, 0.8)
