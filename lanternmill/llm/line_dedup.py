@@ -9,8 +9,9 @@ if an earlier line (by doc_id, then line number) is that similar; equal sets are
 
 Large families of variants would give pairs with the square of their size, though one earlier match settles a line. So
 each set is first held against the earliest set filed under the same word, one candidate for each of its first words
-that is not rare; sets that this settles are no longer asked about in the join. A rare word, of at most 127 lines, brings
-a set together with so few others that the join takes them as they are.
+that is not rare; sets that this settles are no longer asked about in the join. A rare word, of at most 127 lines or
+of fewer than HOT sets that have it among their first, brings a set together with so few others that the join takes them
+as they are.
 
 Words are compared by 64-bit hashes, sets that count as equal by 128 bits.
 """
@@ -23,24 +24,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternmill.llm import scratch
-from lanternmill.llm.quality_rules import let
 from lanternmill.llm.url_filter import Level
 
 #: Buckets of the table of word frequencies; it has a byte for each and goes into every plan.
 BUCKETS = 1 << 18
-#: Most words repeat: a Parquet dictionary of this size holds those of a file, so that a row has short numbers for its
-#: hashes.
-DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
+#: Buckets up to twice as many as these are counted in the quick one of Spark's two hash maps, which by itself holds 2^16 keys.
+WIDE = ("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "19")
+#: Tables of word hashes are written without Parquet's dictionary, which looks up each word in a large table. Most words of
+#: the texts repeat; Zstandard finds that at less cost.
+PLAIN = {"parquet.enable.dictionary": "false"}
+PACKED = PLAIN | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+#: Classes of frequency for each doubling of it.
+STEPS = 4
 #: A word's place in the order: its class of frequency in the bits above these, then its hash.
-_CLASS_BIT = 58
+_CLASS_BIT = 56
 #: With how many of its first words a set is held against the earliest set before the join.
 GUESSES = 6
 #: Class of frequency from which these are words of 128 lines or more, or share a bucket with others that make it so many.
-COMMON = 7
+COMMON = 7 * STEPS
+#: Sets that have such a word among their first from which it is guessed with.
+HOT = 64
+#: Words (of 64 bytes with their earliest set) up to which a set of them is broadcast.
+BROADCAST_WORDS = 1 << 16
 #: Places (of 12 bytes each) up to which a set of them is broadcast.
 BROADCAST_PLACES = 1 << 18
 #: The join goes over the words in so many parts, one after the other, each with its share of the shuffle files.
-PARTS = 2
+PARTS = 3
 #: Words up to which a set's map has 64 bits.
 SHORT = 80
 _LOW = (1 << _CLASS_BIT) - 1
@@ -61,11 +70,11 @@ def _words(documents: DataFrame) -> DataFrame:
 
 
 def rarity(words: DataFrame) -> DataFrame:
-    """One row, `classes`: for each hash bucket, the base-2 logarithm of the number of lines with its words, 0 only if
-    that is one line or none."""
+    """One row, `classes`: for each hash bucket, STEPS times the base-2 logarithm of the number of lines with its words,
+    0 only if that is one line or none."""
     bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
     counts = words.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
-    classes = counts.select("bucket", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("class"))
+    classes = counts.select("bucket", F.least(F.lit(31 * STEPS), F.floor(F.log2("n") * STEPS)).cast("int").alias("class"))
     every = classes.unionByName(words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("class")))
     dense = every.groupBy("bucket").agg(F.max("class").cast("tinyint").alias("class"))
 
@@ -118,9 +127,9 @@ def _could_match(threshold: float) -> Column:
 
 
 def _filed(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each word among the first of a set: token, p (place in the order), own (struct of place and map). Words
+    """A row for each word among the first of a set: the set's place, size and map, p (place in the order), token. Words
     that a single line has bring no sets together and are not filed."""
-    rows = sets.select(F.struct("doc", "line", "n", "m0", "m1").alias("own"), *more, F.posexplode("prefix").alias("p", "token"))
+    rows = sets.select("doc", "line", "n", "m0", "m1", *more, F.posexplode("prefix").alias("p", "token"))
     return rows.where(F.col("token") > _LOW)
 
 
@@ -135,11 +144,15 @@ def _comes_later(a: str, b: str) -> Column:
 
 
 def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
-    """later, earlier, with repeats: sets, for each of their first words that is not rare, with the earliest that has this
-    word among its first, if the two could be similar. Both steps can be split where a word is hot."""
+    """later, earlier, with repeats: sets, for each of their first words that HOT sets or more have among theirs, with the
+    earliest of these, if the two could be similar. Up to BROADCAST_WORDS such words are broadcast; else both steps can
+    be split where a word is hot."""
     filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES))).where(F.shiftright("token", _CLASS_BIT) >= COMMON)
-    earliest = filed.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("members")).where("members > 1").select("token", "first")
-    pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
+    hot = scratch.saved(filed.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= HOT).select("token"), "hot")
+    how = "broadcast" if hot.count() <= BROADCAST_WORDS else "merge"
+    filed = filed.join(hot.hint(how), "token", "left_semi").select("token", F.struct("doc", "line", "n", "m0", "m1").alias("own"))
+    earliest = filed.groupBy("token").agg(F.min("own").alias("first"))
+    pairs = filed.join(earliest.hint(how), "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
@@ -151,7 +164,7 @@ def _flagged(sets: scratch.Saved, settled: DataFrame) -> DataFrame:
     out = sets.df.join(done.hint("broadcast" if few else "merge"), ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
     if few:
         return out
-    out = scratch.saved(out, "flagged")
+    out = scratch.Saved(out, "flagged", **PLAIN).df
     sets.drop()
     return out
 
@@ -160,7 +173,9 @@ def _met(sets: DataFrame, threshold: float, part: int = 0, parts: int = 1) -> Da
     """later, earlier, with repeats: sets that share a word among their first and could be similar, where the later one
     is open. Of two sets the longer (or, of equal length, the later) is asked with all its first words, the other filed
     under those from which the rest could still reach the threshold. Only words of the part, by hash, are looked at."""
-    filed = _filed(sets, "open").where(F.pmod("token", F.lit(parts)) == part).select("token", "p", "open", "own.*")
+    filed = _filed(sets, "open").where(F.pmod("token", F.lit(parts)) == part)
+    # no column is null; said here, as tables that are read again do not say so, it spares the join asking for each pair
+    filed = filed.select("p", *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in filed.dtypes if c not in ("p", "open")], F.coalesce("open", F.lit(False)).alias("open"))
     a, b = (filed.select("token", *[F.col(c).alias(c + side) for c in ("doc", "line", "n", "m0", "m1", "open", "p")]) for side in "ab")
     b = b.where(F.col("pb") <= F.col("nb") - F.ceil(F.col("nb") * (2 * threshold / (1 + threshold)) - 1e-9))
     a_later = _comes_later("a", "b")
@@ -203,16 +218,18 @@ def first_lines(documents: DataFrame, threshold: float) -> DataFrame:
     """doc, top, bits: by document, the numbers of the lines that no earlier line is similar to, as set bits of numbers
     (place, value) of 64 bits each, and the largest place."""
     with scratch.passing():
-        words = scratch.Saved(_words(documents), "words", **DICTIONARY).df
-        classes = scratch.saved(rarity(words), "rarity")
-        sets = scratch.Saved(_sets(words, classes, threshold), "sets")
+        words = scratch.Saved(_words(documents), "words", **PACKED).df
+        with scratch.setting(documents.sparkSession, *WIDE):
+            classes = scratch.saved(rarity(words), "rarity")
+        sets = scratch.Saved(_sets(words, classes, threshold), "sets", **PLAIN)
         settled = scratch.saved(_verified(_guesses(sets.df, threshold), words, threshold), "settled")
         flagged = _flagged(sets, settled)
         met = [scratch.saved(_met(flagged, threshold, part, PARTS).distinct(), "met") for part in range(PARTS)]
         matched = scratch.saved(_verified(reduce(DataFrame.unionByName, met), words, threshold), "matched")
-        kept = flagged.where("open").select("doc", "line").join(matched.select("later.*").hint("merge"), ["doc", "line"], "left_anti")
+        lines = flagged.where("open").select("doc", "line", F.lit(False).alias("gone")).unionByName(matched.select("later.*", F.lit(True).alias("gone")))
         one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line").bitwiseAND(63))
-        bits = kept.groupBy("doc", F.shiftright("line", 6).alias("at")).agg(F.bit_or(one).alias("value"))
+        bits = lines.groupBy("doc", F.shiftright("line", 6).alias("at")).agg(F.bit_or(one).alias("all"), F.bit_or(F.when(F.col("gone"), one).otherwise(F.lit(0).cast("long"))).alias("gone"))
+        bits = bits.select("doc", "at", F.col("all").bitwiseXOR(F.col("gone")).alias("value")).where("value != 0")  # what is gone is among all
         bits = bits.groupBy("doc").agg(F.max("at").alias("top"), F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("bits"))
         return scratch.keep(scratch.Saved(bits, "kept")).df
 
@@ -228,15 +245,13 @@ def remove_lines(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     joined = rows.join(kept.hint("merge"), "doc", "left")  # a row a document
     dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda at: F.coalesce(F.element_at("bits", at), F.lit(0).cast("long")))
 
-    def marked(bits: Column) -> Column:
-        stays = lambda i: F.coalesce(F.getbit(F.get(bits, F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
-        return F.transform(F.split("row.text", "\n"), lambda x, i: let(F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "", lambda w: F.struct(x.alias("x"), w.alias("w"), (~w | stays(i)).alias("s"))))
-
-    joined = joined.select("row", let(F.when(F.col("top").isNotNull(), dense), marked).alias("lines"))
-    joined = joined.select("row", "lines", F.filter("lines", lambda x: x["s"]).alias("left"))
-    with_word = F.coalesce(F.size(F.filter("lines", lambda x: x["w"])), F.lit(0)).cast("long")
+    has_word = lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != ""  # noqa: E731  ltrim stops at the first word, btrim goes over the whole line
+    stays = lambda i: F.coalesce(F.getbit(F.get("bits", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
+    joined = joined.select("row", F.when(F.col("top").isNotNull(), dense).alias("bits"), F.split("row.text", "\n").alias("lines"))
+    joined = joined.select("row", "lines", F.filter("lines", lambda x, i: stays(i) | ~has_word(x)).alias("left"))
+    with_word = F.coalesce(F.size(F.filter("lines", has_word)), F.lit(0)).cast("long")
     removed = F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long")  # only lines with a word go
-    text = F.when(removed == 0, F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda x: x["x"]), "\n"))
+    text = F.when(removed == 0, F.col("row.text")).otherwise(F.array_join("left", "\n"))
     columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, with_word.alias("n_lines"), removed.alias("n_removed"))
 

@@ -36,14 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def _without_shuffle_files(spark: SparkSession):
-    """Spark removes the shuffle files of what runs within when it has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """Spark's setting key is value for what runs within, and then what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 class Saved:
@@ -55,7 +55,7 @@ class Saved:
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        with _without_shuffle_files(self.spark):
+        with setting(self.spark, _CLEANUP, "true"):  # Spark removes the shuffle files of what runs within when it has ended
             df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         if _open:
