@@ -9,9 +9,8 @@ if an earlier line (by doc_id, then line number) is that similar; equal sets are
 
 Large families of variants would give pairs with the square of their size, though one earlier match settles a line. So
 each set is first held against the earliest set filed under the same word, one candidate for each of its first words
-that is not rare; sets that this settles are no longer asked about in the join. A rare word, of at most 127 lines or
-of fewer than HOT sets that have it among their first, brings a set together with so few others that the join takes them
-as they are.
+that is not rare; sets that this settles are no longer asked about in the join. A rare word, of at most 127 lines, brings
+a set together with so few others that the join takes them as they are.
 
 Words are compared by 64-bit hashes, sets that count as equal by 128 bits.
 """
@@ -42,10 +41,6 @@ _CLASS_BIT = 56
 GUESSES = 6
 #: Class of frequency from which these are words of 128 lines or more, or share a bucket with others that make it so many.
 COMMON = 7 * STEPS
-#: Sets that have such a word among their first from which it is guessed with.
-HOT = 64
-#: Words (of 64 bytes with their earliest set) up to which a set of them is broadcast.
-BROADCAST_WORDS = 1 << 16
 #: Places (of 12 bytes each) up to which a set of them is broadcast.
 BROADCAST_PLACES = 1 << 18
 #: The join goes over the words in so many parts, one after the other, each with its share of the shuffle files.
@@ -144,15 +139,12 @@ def _comes_later(a: str, b: str) -> Column:
 
 
 def _guesses(sets: DataFrame, threshold: float) -> DataFrame:
-    """later, earlier, with repeats: sets, for each of their first words that HOT sets or more have among theirs, with the
-    earliest of these, if the two could be similar. Up to BROADCAST_WORDS such words are broadcast; else both steps can
-    be split where a word is hot."""
+    """later, earlier, with repeats: sets, for each of their first words that is not rare, with the earliest that has this
+    word among its first, if the two could be similar. Both steps can be split where a word is hot."""
     filed = _filed(sets.withColumn("prefix", F.slice("prefix", 1, GUESSES))).where(F.shiftright("token", _CLASS_BIT) >= COMMON)
-    hot = scratch.saved(filed.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= HOT).select("token"), "hot")
-    how = "broadcast" if hot.count() <= BROADCAST_WORDS else "merge"
-    filed = filed.join(hot.hint(how), "token", "left_semi").select("token", F.struct("doc", "line", "n", "m0", "m1").alias("own"))
-    earliest = filed.groupBy("token").agg(F.min("own").alias("first"))
-    pairs = filed.join(earliest.hint(how), "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
+    filed = filed.select("token", F.struct("doc", "line", "n", "m0", "m1").alias("own"))
+    earliest = filed.groupBy("token").agg(F.min("own").alias("first"), F.count("*").alias("members")).where("members > 1").select("token", "first")
+    pairs = filed.join(earliest, "token").select(*_sides("own", "first")).where(_could_match(threshold) & _comes_later("a", "b"))
     return pairs.select(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")).alias("later"), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")).alias("earlier"))
 
 
