@@ -51,8 +51,8 @@ def write(spark: SparkSession, conversations: str, documents: str, report: str,
     questions = spark.read.parquet(f"{report}/questions")
     search = questions.where("intent = 'ARCHIVE_SEARCH'").select("query_id", "question", retrieval.query_weights(F.col("question"))["lexical"].alias("lexical_weight")).dropDuplicates(["query_id"])
     texts = spread(docs.select("id", "text"))
-    found = batch.bm25_top(texts, search.select("query_id", F.col("question").alias("text")), config["depth"])
-    best = retrieval.overlap_reranked(found, texts, search, config["rerank_depth"])
+    found = batch.bm25_top(texts, search.select("query_id", F.col("question").alias("text")), config["depth"], matched=True)
+    best = retrieval.matched_reranked(found, search, config["rerank_depth"])
     log.info("searching %s for the questions", documents)
     best.write.mode("overwrite").parquet(f"{report}/ranked")
     best = spark.read.parquet(f"{report}/ranked")

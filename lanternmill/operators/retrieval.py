@@ -159,6 +159,14 @@ def overlap_reranked(found: DataFrame, docs: DataFrame, questions: DataFrame, n:
     return best_overlaps(rated, n)
 
 
+def matched_reranked(found: DataFrame, questions: DataFrame, n: int = RERANK_DEPTH) -> DataFrame:
+    """overlap_rerank of found (query_id, id, matched: how many of the question's distinct words the document has) and
+    questions (query_id, question): no text is read again."""
+    asked = questions.select("query_id", F.size(F.array_distinct(spanish_tokens(F.col("question")))).alias("asked"))
+    share = F.round(F.col("matched") / F.greatest(F.col("asked"), F.lit(1)), 6)
+    return best_overlaps(found.join(asked, "query_id").select("query_id", "id", share.alias("rerank_score")), n)
+
+
 # More words that mark a question about ideas, where a tagger has read it.
 MORE_IDEA_WORDS = ("filosofia", "definicion", "resumen", "contexto")
 
