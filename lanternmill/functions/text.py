@@ -55,13 +55,29 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
+@lru_cache
+def _short_map() -> tuple[str, str]:
+    """_map of the Latin letters that most accented words are written with."""
+    pairs = [(a, b) for a, b in zip(*_map("NFD")) if a < "\u0180"]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold_word(word: Column) -> Column:
+    """fold of a word. Spark holds the whole table against the last one for each text that it translates, and a short one
+    does for most words."""
+    return once(F.translate(word, *_short_map()), lambda short: F.when(is_ascii(short), short).otherwise(fold(word)))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased, folded words of letters, digits and underscores. Words are cut before they are folded, as letters and
     their marks are both parts of words; so only the few words with other than ASCII are folded."""
-    low = F.lower(text)
-    cut = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
-    folded = F.array_remove(F.transform(cut, lambda w: F.when(is_ascii(w), w).otherwise(fold(w))), "")
-    return F.when(is_ascii(low), F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))).otherwise(folded)
+
+    def cut(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+        folded = F.array_remove(F.transform(words, lambda w: F.when(is_ascii(w), w).otherwise(fold_word(w))), "")
+        return F.when(is_ascii(low), F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))).otherwise(folded)
+
+    return once(F.lower(text), cut)
 
 
 def without_stop_words(words: Column) -> Column:

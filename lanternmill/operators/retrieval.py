@@ -43,9 +43,9 @@ def rated_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     part = ["part"] if "part" in queries.columns else []
     words = docs.select(*part, spanish_tokens(F.col("text")).alias("words"))
-    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("words"))
-    marks = F.concat(F.transform(F.array_distinct("words"), lambda w: one(w, F.lit(0))), F.array(one(F.lit(None).cast("string"), F.size("words"))))
-    counts = words.select(*part, F.explode(marks).alias("m")).groupBy(*part, "m.term").agg(F.count("*").alias("df"), F.sum("m.words").alias("words"))
+    marks = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))
+    counts = words.select(*part, F.size("words").cast("long").alias("words"), F.explode(marks).alias("term"))
+    counts = counts.groupBy(*part, "term").agg(F.count("*").alias("df"), F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("words"))), F.lit(0).cast("long")).alias("words"))
     asked = query_terms(queries)
     asked = asked.join(queries.select("query_id", "part"), "query_id") if part else asked
     asked = stored(asked, "terms")
