@@ -174,3 +174,29 @@ def test_a_report_stores_no_postings(spark, tmp_path):
     got = report(spark, tmp_path, [(c, 1, "user", f"huelga w{c}x1", "clash") for c in range(80)], docs)
     assert all(got[c].cited[0].doc_id == c for c in range(80))
     assert sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(tmp_path / "report") for f in names) < 100_000
+
+
+def test_a_later_run_searches_for_new_questions_alone(spark, tmp_path, caplog, monkeypatch):
+    """As long as the documents and settings stay; the answers are those of a run that searches for all. A lost run is made
+    up for, and no old ranks are left."""
+    caplog.set_level(logging.INFO, "jobs.question_report")
+    docs = [(i, f"huelga {'portuaria' if i % 2 else 'naval'} {'rosario' if i < 4 else ''}", "es", "ab"[i % 2], "c", 1) for i in range(9)]
+    turns = [(c, 1, "user", q, "clash") for c, q in enumerate(["huelga rosario", "naval", "nada parecido", "hola"])]
+    more = turns[1:] + [(9, 1, "user", "portuaria naval rosario", "clash")]
+    new = lambda: [r.getMessage().split(" ")[0] for r in caplog.records if "are new" in r.getMessage()][-1]
+    first = report(spark, tmp_path, turns, docs)
+    assert new() == "3" and report(spark, tmp_path, turns, docs) == first and new() == "0"
+    second = report(spark, tmp_path, more, docs)
+    assert new() == "1" and second == report(spark, tmp_path / "whole", more, docs) and new() == "3" and set(second) == {1, 2, 3, 9}
+    assert report(spark, tmp_path, turns, docs) == first and new() == "1"
+
+    changed = docs[:-1] + [(8, "nada parecido", "es", "a", "c", 1)]
+    real = question_report.retrieval.matched_reranked
+    monkeypatch.setattr(question_report.retrieval, "matched_reranked", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        report(spark, tmp_path, turns, changed)
+    monkeypatch.setattr(question_report.retrieval, "matched_reranked", real)
+    third = report(spark, tmp_path, turns, changed)
+    assert new() == "3" and third[2].verdict != first[2].verdict and third == report(spark, tmp_path / "whole", turns, changed)
+    assert report(spark, tmp_path, turns, changed, depth=1) != third and new() == "3"
+    assert len(list((tmp_path / "report/ranked").iterdir())) == 1
