@@ -18,13 +18,12 @@ import json
 import logging
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import main
 from lanternmill.operators import answers, batch, retrieval
-from lanternmill.session import deleted, spread, without_shuffle_files
+from lanternmill.session import deleted, exists, spread, without_shuffle_files
 
 log = logging.getLogger("jobs.question_report")
 
@@ -55,10 +54,7 @@ def made_of(docs: DataFrame, config: dict) -> str:
 def last_state(spark: SparkSession, report: str) -> tuple[str | None, str | None]:
     """(what the ranks that the last run left are made of, their folder). The state is written when the ranks are there, so a
     lost run leaves none, or the one before with its ranks."""
-    try:
-        state = spark.read.schema(STATE).json(f"{report}/state").first()
-    except AnalysisException:  # no such folder
-        state = None
+    state = spark.read.schema(STATE).json(f"{report}/state").first() if exists(spark, f"{report}/state") else None
     return (state["made"], state["place"]) if state else (None, None)
 
 
